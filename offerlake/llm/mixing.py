@@ -11,7 +11,7 @@ from .common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 4096
-_STATE = "doc_id bigint, source string, size bigint, source_size bigint, target double, base int, p double, block bigint"
+_STATE = "doc_id bigint, source string, size bigint, source_size bigint, target double, base int, p double, home bigint, block bigint"
 
 
 def source_targets(sized: DataFrame, cap: int = 3) -> DataFrame:
@@ -70,6 +70,24 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def settle(taken: np.ndarray, size: np.ndarray, base: np.ndarray, over: float) -> np.ndarray:
+    """Take or leave one copy of documents of falling size, as long as this brings the total nearer to its target."""
+    taken = taken.copy()
+    for k in np.argsort(-size, kind="stable").tolist():
+        if over > 0 and taken[k] > base[k] and abs(over - size[k]) < abs(over):
+            taken[k], over = taken[k] - 1, over - size[k]
+        elif over < 0 and taken[k] == base[k] and abs(over + size[k]) < abs(over):
+            taken[k], over = taken[k] + 1, over + size[k]
+    return taken
+
+
+def _settle(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values(["doc_id", "size"], kind="stable")
+    base = part["base"].to_numpy(dtype=np.int64)
+    taken = settle(base + part["p"].to_numpy(dtype=np.int64), part["size"].to_numpy(dtype=np.int64), base, float(part["over"].iloc[0]))
+    return part.assign(p=(taken - base).astype(float)).drop(columns="over")
+
+
 def _fly(seed: int, last: bool):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["turn", "doc_id", "size"], kind="stable")
@@ -88,7 +106,8 @@ def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 7, block: int = BLOCK
     fraction is an inclusion probability. Blocks of about ``block`` documents of one source each run the
     flight phase of the cube method, which keeps the number of documents and of words and leaves at most two
     undecided; those of all blocks of a source form the next, ``block / 2`` times smaller round, until one block
-    is left, which lands. So a source's words miss its target by no more than one or two documents.
+    is left, which lands. A very long document among the last would leave its source far from the target: so the
+    source's first block, which is bounded too, then takes or leaves documents until the total is nearest.
 
     Returns doc_id, source, size, source_size, target, taken. Random draws follow from ``seed`` and the rows
     alone. Null text: size 0. A source without words has target 0. Repeated rows count as documents.
@@ -98,9 +117,9 @@ def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 7, block: int = BLOCK
     targets = cut(source_targets(sized, cap))
     most = targets.agg(F.max("n")).first()[0] or 0
     turn = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    wanted = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
+    wanted = F.when(F.col("source_size") > 0, F.least(F.try_divide("target", "source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     blocks = F.ceil(F.col("n") / block)
-    state = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", F.floor(wanted).cast("int").alias("base"), (wanted - F.floor(wanted)).alias("p"), F.pmod(turn, blocks).alias("block"))
+    state = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", F.floor(wanted).cast("int").alias("base"), (wanted - F.floor(wanted)).alias("p"), F.pmod(turn, blocks).alias("home"), F.pmod(turn, blocks).alias("block"))
     done = state.filter("p = 0")
     state = state.filter("p > 0")
     left = -(-most // block)
@@ -114,4 +133,9 @@ def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 7, block: int = BLOCK
         done = done.unionByName(flown.filter("p in (0, 1)"))
         state = flown.filter("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") * 2 / block))
         left = -(-2 * left // block)
+    done = cut(done)
+    over = done.groupBy("source").agg((F.sum((F.col("base") + F.col("p")) * F.col("size")) - F.first("target")).alias("over"))
+    open_ = done.filter("home = 0 and base < try_divide(target, source_size)")
+    mended = open_.alias("d").join(over.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source"))).select("d.*", "over").groupBy("source").applyInPandas(_settle, _STATE)
+    done = done.filter("not coalesce(home = 0 and base < try_divide(target, source_size), false)").unionByName(mended)
     return done.select("doc_id", "source", "size", "source_size", "target", ((F.col("base") + F.col("p").cast("int")) * F.col("size")).alias("taken"))

@@ -21,6 +21,11 @@ _powers: dict[int, np.ndarray] = {}
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All but ASCII letters and the bytes of other code points.
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -75,11 +80,14 @@ def groups(batches: Iterator[pa.RecordBatch], text: str, group_bytes: int) -> It
 
 
 class Words:
-    """The words of a group of texts: byte bounds ``start``/``end``, and ``first`` word of each text."""
+    """The words of a group of texts: byte bounds ``start``/``end``, and ``first`` word of each text.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    ``space`` marks the bytes that part words.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         self.raw, self.offsets = raw, offsets
-        solid = ~SPACE[raw]
+        solid = ~space[raw]
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[offsets] = True
         before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
@@ -94,15 +102,24 @@ class Words:
     def of(cls, column: pa.Array) -> Words:
         return cls(*text_buffer(column))
 
-    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None, raw: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each byte range, by differences of polynomial prefix sums."""
-        start = self.start if start is None else start
-        end = self.end if end is None else end
-        return range_hashes(self.raw if raw is None else raw, start, end)
+    @classmethod
+    def letters(cls, column: pa.Array) -> Words:
+        """Runs of letters, ASCII ones in lower case."""
+        raw, offsets = text_buffer(column)
+        return cls(LOWER[raw], offsets, NOT_LETTER)
+
+    def hashes(self) -> np.ndarray:
+        return range_hashes(self.raw, self.start, self.end)
+
+    def text_of_word(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.count)), self.count)
 
 
 def range_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges, which ascend by their start. Runs over segments to bound memory."""
+    """A 64-bit hash of each byte range, by differences of polynomial prefix sums.
+
+    The ranges ascend by their start. Runs over segments to bound memory.
+    """
     out = np.empty(len(start), dtype=U64)
     at = 0
     with np.errstate(over="ignore"):
