@@ -10,6 +10,7 @@ from .common import table
 from .decontamination import find_contamination
 from .languages import identify_languages
 from .mixing import mix_sources
+from .near_duplicates import near_duplicates
 from .substrings import substring_dedup
 from .tokens import count_tokens
 from .toxicity import score_toxicity
@@ -19,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -60,5 +65,5 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 FROM words w LEFT JOIN kept k USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_toxicity, op6_decontamination, op7_language_id, op8_mixing, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_language_id, op8_mixing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": OP10_SQL}

@@ -65,8 +65,8 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[first : offsets[-1]], offsets - first
 
 
-def groups(batches: Iterator[pa.RecordBatch], text: str, group_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about ``group_bytes`` of text each, one row at least."""
+def groups(batches: Iterator[pa.RecordBatch], text: str, group_bytes: int, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about ``group_bytes`` of text and at most ``rows`` rows each, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -74,7 +74,7 @@ def groups(batches: Iterator[pa.RecordBatch], text: str, group_bytes: int) -> It
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offsets, offsets[at] + group_bytes, side="right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
+            to = min(max(to, at + 1), batch.num_rows, at + rows)
             yield batch.slice(at, to - at)
             at = to
 
