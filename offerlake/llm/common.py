@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as Parquet: for texts, and for tables whose size is to decide how they are joined."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/offerlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -11,6 +11,7 @@ from .decontamination import find_contamination
 from .languages import identify_languages
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .pages import main_text
 from .substrings import substring_dedup
 from .tokens import count_tokens
 from .toxicity import score_toxicity
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,5 +70,5 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 FROM words w LEFT JOIN kept k USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_language_id, op8_mixing, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_language_id, op8_mixing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": OP10_SQL}

@@ -16,7 +16,7 @@ from .vec import groups
 HUGE = 32_768
 CHUNK = 16_384
 OVERLAP = 256
-MEMO = 600_000
+MEMO = 1_200_000
 _RUNS = re.compile(r"\s[ ]|\s\Z")
 _PIECES = re.compile(r"(?<=\S)(?=[ \n])")
 _loaded: dict[str, object] = {}
