@@ -12,6 +12,7 @@ from .languages import identify_languages
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .pages import main_text
+from .personal_data import digest, personal_data
 from .substrings import substring_dedup
 from .tokens import count_tokens
 from .toxicity import score_toxicity
@@ -45,6 +46,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -70,5 +75,5 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 FROM words w LEFT JOIN kept k USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_language_id, op8_mixing, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_language_id, op8_mixing, op9_personal_data, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
