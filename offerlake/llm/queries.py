@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import find_contamination
+from .fingerprints import fingerprint_versions
 from .languages import identify_languages
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
@@ -34,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_versions(table(spark, sf_dir, "documents")).drop("differ_edited", "differ_next")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,5 +80,5 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 FROM words w LEFT JOIN kept k USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_near_duplicates, op4_toxicity, op6_decontamination, op7_language_id, op8_mixing, op9_personal_data, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_near_duplicates, op4_toxicity, op5_fingerprints, op6_decontamination, op7_language_id, op8_mixing, op9_personal_data, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
