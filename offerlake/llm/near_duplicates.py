@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stash
 from .vec import LOWER, SPACE, Words, groups, mix, text_buffer, window_hashes
 
 SHINGLE = 5
@@ -72,24 +72,28 @@ def _frequent(counters: int):
 
 
 class Idf:
-    """Inverse document frequencies: of frequent shingles as counted, of all others as at the bound of being frequent."""
+    """Smoothed TF-IDF weights: ``(1 + ln tf) * (1 + idf / largest idf)``.
+
+    The idf of frequent shingles is as counted, of all others that at the bound of being frequent, the largest.
+    A weight is thus between one and twice a plain shingle's, and weighted similarity stays near the plain one.
+    """
 
     def __init__(self, docs: int, shingle: np.ndarray, df: np.ndarray):
         order = np.argsort(shingle)
         self.shingle = shingle[order]
         self.rare = float(np.log(1 + docs / max(LEAST, docs / FREQUENT)))
-        self.idf = np.log(1 + docs / df[order])
+        self.idf = 1 + np.log(1 + docs / df[order]) / self.rare
         self.slot = np.zeros(1 << 20, dtype=bool)
         self.slot[(self.shingle >> np.uint64(32)).astype(np.int64)] = True
 
     def weights(self, shingle: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        out = np.full(len(shingle), self.rare)
+        out = np.full(len(shingle), 2.0)
         maybe = np.flatnonzero(self.slot[(shingle >> np.uint64(32)).astype(np.int64)])
         if len(maybe):
             at = np.minimum(np.searchsorted(self.shingle, shingle[maybe]), len(self.shingle) - 1)
             hit = self.shingle[at] == shingle[maybe]
             out[maybe[hit]] = self.idf[at[hit]]
-        return out * tf
+        return out * (1 + np.log(tf))
 
 
 def document_frequencies(texts: DataFrame, counters: int = COUNTERS) -> Idf:
@@ -219,15 +223,43 @@ def connected(links: DataFrame) -> DataFrame:
         labels = step.select("node", "component")
 
 
+def _in_bucket_pairs(members: DataFrame, leaders: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of a bucket's members of different components of which one leads, and the members with whether they do.
+
+    About ``leaders`` members of each bucket lead, the one of the least hash always; of at most so many, all.
+    """
+    h = F.xxhash64("key", "band", F.lit(turn))
+    marked = members.withColumn("h", h)
+    sizes = marked.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+    leads = (F.col("n") <= leaders) | (F.col("h") == F.col("least")) | (F.pmod("h", F.col("n")) < leaders)
+    marked = cut(marked.join(sizes, ["band", "bucket"]).withColumn("leads", leads).select("band", "bucket", "key", "rep", "component", "leads"))
+    lead = marked.filter("leads").select("band", "bucket", F.col("key").alias("lead_key"), F.col("rep").alias("lead_rep"), F.col("component").alias("led"))
+    met = marked.join(lead, ["band", "bucket"]).filter(F.col("component") != F.col("led"))
+    first = F.col("key") < F.col("lead_key")
+    ends = [F.struct("key", "rep"), F.struct(F.col("lead_key").alias("key"), F.col("lead_rep").alias("rep"))]
+    return met.select(F.when(first, ends[0]).otherwise(ends[1]).alias("x"), F.when(first, ends[1]).otherwise(ends[0]).alias("y")).distinct(), marked
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that are similar enough. Their texts are fetched once each."""
+    needed = pairs.select("x.*").union(pairs.select("y.*")).distinct()
+    found = keyed.alias("d").join(needed.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.rep")) & (F.col("d.key") == F.col("i.key"))).select("d.key", "d.doc_id", "d.text")
+    found = stash(found.dropDuplicates(["doc_id", "key"]).select("key", "text"))
+    both = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).join(found.withColumnsRenamed({"key": "a", "text": "text_a"}), "a").join(found.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(idf, threshold), "a string, b string, similarity double"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of equal and near-equal texts of ``docs`` (doc_id, text).
 
     Equal texts are one text from the start. Each text takes ``bands * rows`` consistent weighted samples of its
     five-word shingles, weighted by TF-IDF; texts that agree on all ``rows`` samples of a band meet in
-    a bucket. A bucket compares its members with one leader, other leaders in other bands, instead of with each
-    other; what is not in the leader's component then goes on to the bucket's next round, until every bucket
-    is used up. A pair is linked if its weighted Jaccard similarity is ``threshold`` or more. Pairs that are
-    linked share a band with a probability of 1 - (1 - s ** rows) ** bands, 0.998 at 0.8.
+    a bucket. There they are compared with a few leaders, others in other bands, instead of with each other.
+    What that joins into one component needs no more comparing; where a bucket still holds several components, it
+    has eight times as many leaders in the next round, and is done once all its members have led. So every
+    two texts of a bucket end in one component or have been compared. A pair is linked if its weighted
+    Jaccard similarity is ``threshold`` or more. Similar pairs share a band with a probability of
+    1 - (1 - s ** rows) ** bands, 0.998 at 0.8.
 
     Returns one row for each row of ``docs``: doc_id, class_id (least doc_id of the connected texts), n_links (of
     its text to different texts, as compared). Empty and null texts equal each other; texts without words
@@ -242,37 +274,25 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     sketch = cut(keyed.mapInArrow(_bands(idf, bands, rows), "doc_id bigint, key string, " + ", ".join(f"{b} bigint" for b in names)))
     # equal texts have equal bands
     unique = sketch.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in names])
-    members = unique.select("key", "rep", F.posexplode(F.array(*names)).alias("band", "bucket")).filter("bucket is not null")
-    shared = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = cut(members.join(shared, ["band", "bucket"]).select("band", "bucket", "key", "rep"))
-    links, of = None, None
-    turn = 0
+    members = unique.select("key", "rep", F.posexplode(F.array(*names)).alias("band", "bucket")).filter("bucket is not null").withColumn("component", F.col("key"))
+    of = cut(members.select("key", "component").distinct())
+    links, turn, leaders = None, 0, 2
     while True:
-        first = members.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("h"), "key", "rep")).alias("lead"))
-        led = members.join(first, ["band", "bucket"]).filter(F.col("key") != F.col("lead.key"))
-        a_first = F.col("key") < F.col("lead.key")
-        ends = [F.struct("key", "rep"), F.struct("lead.key", "lead.rep")]
-        pairs = cut(led.select(F.when(a_first, ends[0]).otherwise(ends[1]).alias("x"), F.when(a_first, ends[1]).otherwise(ends[0]).alias("y")).distinct())
+        mixed = members.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "bucket")
+        members = members.join(mixed, ["band", "bucket"])
+        pairs, marked = _in_bucket_pairs(members, leaders, turn)
+        pairs = cut(pairs)
         if pairs.isEmpty():
             break
-        needed = pairs.select("x.*").union(pairs.select("y.*")).distinct()
-        found = keyed.alias("d").join(needed.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.rep")) & (F.col("d.key") == F.col("i.key"))).select("d.key", "d.doc_id", "d.text")
-        found = found.dropDuplicates(["doc_id", "key"]).select("key", "text")
-        both = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).join(found.withColumnsRenamed({"key": "a", "text": "text_a"}), "a").join(found.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
-        good = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(idf, threshold), "a string, b string, similarity double"))
+        good = _verified(pairs, keyed, idf, threshold)
         links = good if links is None else links.unionByName(good)
-        of = connected(links)
-        # the leader's component is settled; the others meet again
-        leads = first.select("band", "bucket", F.col("lead.key").alias("lead")).join(of.withColumnsRenamed({"node": "lead", "component": "led"}), "lead", "left").select("band", "bucket", F.coalesce("led", "lead").alias("led"))
-        mine = members.join(of.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        members = cut(mine.join(leads, ["band", "bucket"]).filter("component <> led").select("band", "bucket", "key", "rep"))
-        turn += 1
-    rows_ = sketch.select("doc_id", "key")
-    if links is None:
-        own = unique.select("key", F.col("rep").alias("class_id"))
-        return rows_.join(own, "key").select("doc_id", "class_id", F.lit(0).cast("bigint").alias("n_links"))
-    degree = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    mine = unique.select("key", "rep").join(of.withColumnsRenamed({"node": "key"}), "key", "left").join(degree, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        ends = good.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        joined = connected(ends)
+        of = cut(of.join(joined.toDF("component", "now"), "component", "left").select("key", F.coalesce("now", "component").alias("component")))
+        members = marked.filter("not leads").drop("component", "leads").join(of, "key")
+        turn, leaders = turn + 1, leaders * 8
+    degree = unique.select("key", F.lit(0).cast("bigint").alias("n_links")) if links is None else links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    mine = unique.select("key", "rep").join(of, "key", "left").join(degree, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = mine.groupBy("component").agg(F.min("rep").alias("class_id"))
     classes = mine.join(least, "component").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return rows_.join(classes, "key").select("doc_id", "class_id", "n_links")
+    return sketch.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "n_links")
