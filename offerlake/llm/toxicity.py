@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -104,15 +104,18 @@ class BlockMaxIndex:
     toxic: np.ndarray
     lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each feature: examples, weights, where each block starts
     top: np.ndarray
+    worth: np.ndarray  # of each example: how many labelled rows of its class it stands for
     prior: float
     silent: float  # how likely texts without any feature are toxic
+    knots: tuple[np.ndarray, np.ndarray] = field(default=(np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
     @classmethod
-    def build(cls, wanted, idf, doc_id, toxic, text, value, count) -> BlockMaxIndex:
+    def build(cls, wanted, idf, doc_id, toxic, text, value, count, rates: tuple[float, float] = (1.0, 1.0), neighbours: int = NEIGHBOURS) -> BlockMaxIndex:
         weight = _weights(value, count, text, idf, len(doc_id)) if len(value) else np.zeros(0)
         seen = np.bincount(text, minlength=len(doc_id)) > 0
-        prior = float((toxic.sum() + 0.5) / (len(toxic) + 2.0))
-        silent = float((toxic[~seen].sum() + 2 * prior) / ((~seen).sum() + 2.0))
+        worth = np.array(rates)[toxic] if len(toxic) else np.zeros(0)
+        prior = float((worth @ toxic + 0.5) / (worth.sum() + 2.0))
+        silent = float(((worth * toxic)[~seen].sum() + 2 * prior) / (worth[~seen].sum() + 2.0))
         # examples that share their heaviest feature are neighbours: their blocks have tight bounds
         lead = np.full(len(doc_id), len(wanted))
         best = np.lexsort((value, -weight, text))
@@ -131,7 +134,15 @@ class BlockMaxIndex:
             ids, w = at[cuts[f] : cuts[f + 1]], weight[cuts[f] : cuts[f + 1]]
             lists.append((ids, w, np.searchsorted(ids, np.arange(blocks + 1) * BLOCK)))
             np.maximum.at(top[f], ids // BLOCK, w)
-        return cls(wanted, idf, doc_id[order], toxic[order], lists, top, prior, silent)
+        index = cls(wanted, idf, doc_id[order], toxic[order], lists, top, worth[order], prior, silent)
+        # every example as a query that does not see itself: how often such votes were right
+        turn = np.lexsort((value, at))
+        value, at, weight = value[turn], at[turn], weight[turn]
+        cuts = np.searchsorted(at, np.arange(len(order) + 1))
+        votes = np.array([index.votes(value[a:b], weight[a:b], neighbours, own=i)[0] for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        if len(votes):
+            index.knots = monotone(votes, index.toxic.astype(float), index.worth)
+        return index
 
     def nearest(self, f: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine with the query and their similarities, exactly."""
@@ -150,15 +161,36 @@ class BlockMaxIndex:
             ids, sims = ids[best], sims[best]
         return ids, sims
 
+    def votes(self, f: np.ndarray, q: np.ndarray, k: int, own: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """The toxic share of the nearest examples, by similarity and worth; the prior has a vote that grows with their
+        distance. ``own`` is an example to leave out."""
+        ids, sims = self.nearest(f, q, k + (own >= 0))
+        ids, sims = ids[ids != own][:k], sims[ids != own][:k]
+        if not len(ids):
+            return self.silent, ids, sims
+        rest = 1.25 - min(1.0, float(sims.mean()))
+        vote = sims * self.worth[ids]
+        return float((vote @ self.toxic[ids] + rest * self.prior) / (vote.sum() + rest)), ids, sims
+
     def score(self, f: np.ndarray, q: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
-        """Votes weigh by similarity; the class prior counts as one vote at the distance that they leave."""
+        """The votes' share, read as how often examples with such votes are toxic."""
         if not len(f):
             return self.silent, np.zeros(0, np.int64), np.zeros(0)
-        ids, sims = self.nearest(f, q, k)
-        if not len(ids):
-            return self.silent, ids, sims
-        rest = 1.0 - min(1.0, float(sims.mean())) + 0.25
-        return float((sims @ self.toxic[ids] + rest * self.prior) / (sims.sum() + rest)), ids, sims
+        share, ids, sims = self.votes(f, q, k)
+        return (float(np.interp(share, *self.knots)) if len(ids) else share), ids, sims
+
+
+def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising step fit of y to x (pooled neighbours), from 0 to 1, a little drawn to the diagonal."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []
+    for a, b, c in zip(x[order].tolist(), y[order].tolist(), w[order].tolist(), strict=True):
+        pools.append([c * b, c, c * a])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
+    at = [s / n for _, n, s in pools]
+    return np.array([0.0, *at, 1.0]), np.array([0.0, *((t + a) / (n + 1) for (t, n, _), a in zip(pools, at, strict=True)), 1.0])
 
 
 def _score(index, k: int):
@@ -190,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     turn = F.xxhash64("doc_id")
+    there = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [known.filter(F.col("toxic") == y).orderBy(turn, "doc_id").limit(max_examples) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most 2 * max_examples ids
@@ -197,6 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     counts = sample.select("toxic", "text").mapInArrow(_class_counts, "feature bigint, n bigint, n_toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    rates = tuple(there.get(y, 0) / min(max_examples, max(1, there.get(y, 0))) for y in (0, 1))
     a, b = F.col("n_toxic"), F.col("n") - F.col("n_toxic")
     c, d = F.lit(pos) - a, F.lit(neg) - b
     chi = (a * d - b * c) * (a * d - b * c) * float(pos + neg) / F.greatest(F.lit(1.0), F.col("n").cast("double") * (c + d) * float(max(pos, 1)) * float(max(neg, 1)))
@@ -209,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     rows = sample.mapInArrow(_vectors(wanted), "doc_id bigint, toxic int, k array<int>, n array<int>").orderBy("doc_id").collect()
     text = np.repeat(np.arange(len(rows)), [len(r["k"]) for r in rows]) if rows else np.zeros(0, np.int64)
     value, count = (np.array([x for r in rows for x in r[c]], dtype=np.int64) for c in ("k", "n"))
-    return BlockMaxIndex.build(wanted, idf, np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), text, value, count)
+    return BlockMaxIndex.build(wanted, idf, np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), text, value, count, rates)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -217,7 +251,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBO
 
     Labels are learnt only where crc32 of the id is not 0 modulo 5. A text's vector has the TF-IDF weights
     of the telling features; its ``neighbours`` nearest examples by exact cosine vote, weighted by similarity
-    and tempered by the class prior. A text without any telling feature (also an empty or null one) gets
+    and by how many labelled rows of their class they stand for, tempered by the class prior; the share is then
+    calibrated on the examples' own leave-one-out votes. A text without any telling feature (also an empty or null one) gets
     the share of toxic examples among such. Without labels all scores are the prior, 0.25.
 
     Returns doc_id, held_out, score, predicted, evidence (the voting examples). A null doc_id has null
