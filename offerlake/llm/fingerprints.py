@@ -148,7 +148,8 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     and differ_edited, differ_next (digests). A null text is empty; a null doc_id counts as the largest. Rows
     that repeat a doc_id each get their row; the next document's text is then its least.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # both joins take the same columns, so that the texts cross one shuffle that both read
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sizes = cut(rows.groupBy("id").agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")))
     before = next_documents(sizes).join(sizes, "id").select(F.col("id").alias("previous"), F.col("next_id").alias("id"), F.floor(F.col("n") / 4).cast("int").alias("need"))
     heads = rows.join(before, "id").select(F.col("previous").alias("id"), F.expr("substring(text, 1, need)").alias("head"), digests(F.col("text")).alias("next_keys"))
@@ -158,7 +159,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     both = rows.join(heads, "id").withColumn("n_chars", n.cast("bigint"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - quarter).cast("int")), F.substring(F.col("head"), F.lit(1), quarter)))
-    both = both.withColumn("keys", digests(F.col("text"))).withColumn("edited_keys", digests(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256)).select("doc_id", "n_chars", "edited_sha256", "keys", "edited_keys", "next_keys")
+    both = both.withColumn("keys", digests(F.col("text"))).withColumn("edited_keys", digests(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256)).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", "keys", "edited_keys", "next_keys")
     size = F.lit(CELLS)
     both = both.withColumns({"own": sketch(F.col("keys"), size), "changed": sketch(F.col("edited_keys"), size), "after": sketch(F.col("next_keys"), size)})
     both = differences(both, "differ_edited", "keys", "edited_keys", "own", "changed")
