@@ -224,28 +224,31 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _in_bucket_pairs(members: DataFrame, leaders: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y) of a bucket's members of different components of which one leads, and the members with whether they do.
+    """Pairs (a, b) of a bucket's members of different components of which one leads, and the members with whether they do.
 
     About ``leaders`` members of each bucket lead, the one of the least hash always; of at most so many, all.
     """
-    h = F.xxhash64("key", "band", F.lit(turn))
+    # by text alone: a family of texts has the same leaders in all its buckets, and each pair is compared once
+    h = F.xxhash64("key", F.lit(turn))
     marked = members.withColumn("h", h)
     sizes = marked.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
     leads = (F.col("n") <= leaders) | (F.col("h") == F.col("least")) | (F.pmod("h", F.col("n")) < leaders)
-    marked = cut(marked.join(sizes, ["band", "bucket"]).withColumn("leads", leads).select("band", "bucket", "key", "rep", "component", "leads"))
-    lead = marked.filter("leads").select("band", "bucket", F.col("key").alias("lead_key"), F.col("rep").alias("lead_rep"), F.col("component").alias("led"))
+    marked = cut(marked.join(sizes, ["band", "bucket"]).withColumn("leads", leads).select("band", "bucket", "key", "component", "leads"))
+    lead = marked.filter("leads").select("band", "bucket", F.col("key").alias("lead_key"), F.col("component").alias("led"))
     met = marked.join(lead, ["band", "bucket"]).filter(F.col("component") != F.col("led"))
-    first = F.col("key") < F.col("lead_key")
-    ends = [F.struct("key", "rep"), F.struct(F.col("lead_key").alias("key"), F.col("lead_rep").alias("rep"))]
-    return met.select(F.when(first, ends[0]).otherwise(ends[1]).alias("x"), F.when(first, ends[1]).otherwise(ends[0]).alias("y")).distinct(), marked
+    return met.select(F.least("key", "lead_key").alias("a"), F.greatest("key", "lead_key").alias("b")).distinct(), marked
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that are similar enough. Their texts are fetched once each."""
-    needed = pairs.select("x.*").union(pairs.select("y.*")).distinct()
+def _bucket_texts(keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, text) of the texts that share a bucket, once each: the only time that whole texts are shuffled to be found."""
+    needed = members.select("key", "rep").distinct()
     found = keyed.alias("d").join(needed.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.rep")) & (F.col("d.key") == F.col("i.key"))).select("d.key", "d.doc_id", "d.text")
-    found = stash(found.dropDuplicates(["doc_id", "key"]).select("key", "text"))
-    both = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).join(found.withColumnsRenamed({"key": "a", "text": "text_a"}), "a").join(found.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
+    return stash(found.dropDuplicates(["doc_id", "key"]).select("key", "text"))
+
+
+def _verified(pairs: DataFrame, found: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) that are similar enough."""
+    both = pairs.join(found.withColumnsRenamed({"key": "a", "text": "text_a"}), "a").join(found.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(idf, threshold), "a string, b string, similarity double"))
 
 
@@ -254,7 +257,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
 
     Equal texts are one text from the start. Each text takes ``bands * rows`` consistent weighted samples of its
     five-word shingles, weighted by TF-IDF; texts that agree on all ``rows`` samples of a band meet in
-    a bucket. There they are compared with a few leaders, others in other bands, instead of with each other.
+    a bucket. There they are compared with a few leaders instead of with each other.
     What that joins into one component needs no more comparing; where a bucket still holds several components, it
     has eight times as many leaders in the next round, and is done once all its members have led. So every
     two texts of a bucket end in one component or have been compared. A pair is linked if its weighted
@@ -275,21 +278,29 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     # equal texts have equal bands
     unique = sketch.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in names])
     members = unique.select("key", "rep", F.posexplode(F.array(*names)).alias("band", "bucket")).filter("bucket is not null").withColumn("component", F.col("key"))
+    shared = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = cut(members.join(shared, ["band", "bucket"]))
+    found = _bucket_texts(keyed, members)
     of = cut(members.select("key", "component").distinct())
-    links, turn, leaders = None, 0, 2
+    members = members.drop("rep")
+    links, done, turn, leaders = None, None, 0, 2
     while True:
         mixed = members.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "bucket")
-        members = members.join(mixed, ["band", "bucket"])
-        pairs, marked = _in_bucket_pairs(members, leaders, turn)
+        pairs, marked = _in_bucket_pairs(members.join(mixed, ["band", "bucket"]), leaders, turn)
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if pairs.isEmpty():
+        members = marked.filter("not leads").drop("component", "leads")
+        if not pairs.isEmpty():
+            done = pairs if done is None else done.unionByName(pairs)
+            good = _verified(pairs, found, idf, threshold)
+            links = good if links is None else links.unionByName(good)
+            ends = good.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+            joined = connected(ends)
+            of = cut(of.join(joined.toDF("component", "now"), "component", "left").select("key", F.coalesce("now", "component").alias("component")))
+        elif members.isEmpty():
             break
-        good = _verified(pairs, keyed, idf, threshold)
-        links = good if links is None else links.unionByName(good)
-        ends = good.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        joined = connected(ends)
-        of = cut(of.join(joined.toDF("component", "now"), "component", "left").select("key", F.coalesce("now", "component").alias("component")))
-        members = marked.filter("not leads").drop("component", "leads").join(of, "key")
+        members = members.join(of, "key")
         turn, leaders = turn + 1, leaders * 8
     degree = unique.select("key", F.lit(0).cast("bigint").alias("n_links")) if links is None else links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     mine = unique.select("key", "rep").join(of, "key", "left").join(degree, "key", "left").withColumn("component", F.coalesce("component", "key"))
