@@ -108,7 +108,8 @@ def retry_after_ms(headers: Column, now_ms: int) -> Column:
     """The longest wait that a map of lower-case response headers asks for; null if none does."""
     seconds = F.try_element_at(headers, F.lit("retry-after"))
     plain = F.when(seconds.rlike(r"\A\s*[+-]?[0-9.]+\s*\z"), F.greatest(F.lit(0.0), seconds.cast("double") * 1000))
-    until = lambda text, fmt=None: F.greatest(F.lit(0.0), F.unix_millis(F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)) - F.lit(float(now_ms)))
+    later = lambda wait: F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
+    until = lambda text, fmt=None: later(F.unix_millis(F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)) - F.lit(float(now_ms)))
     resets = [until(F.try_element_at(headers, F.lit(f"anthropic-ratelimit-{x}-reset"))) for x in ("requests", "tokens", "input-tokens", "output-tokens")]
     spans = [_duration(F.try_element_at(headers, F.lit(f"x-ratelimit-reset-{x}"))) for x in ("requests", "tokens")]
     return F.greatest(plain, F.when(plain.isNull(), until(seconds, "EEE, dd MMM yyyy HH:mm:ss z")), *resets, *spans).cast("bigint")
