@@ -104,21 +104,30 @@ def disclosing_terms(rows: DataFrame, support: int = SUPPORT, threshold: float =
     seen = rows.select("text", F.explode(every).alias("x"))
     before = F.expr(f"substring(text, cast(greatest(x.start - {CONTEXT}, 0) + 1 as int), cast(least(x.start, {CONTEXT}) as int))")
     after = F.expr(f"substring(text, cast(x.end + 1 as int), {CONTEXT})")
-    around = seen.select("x.entity", F.concat_ws(" ", before, after).alias("around")).distinct()
-    pairs = around.select("entity", F.explode(_terms(F.col("around"))).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    pairs = stash(pairs)
-    if pairs.isEmpty():
+    # words that the edges cut are none
+    before = F.when(F.col("x.start") > CONTEXT, F.regexp_replace(before, r"\A\p{L}+", "")).otherwise(before)
+    after = F.when(F.col("x.end") + CONTEXT < F.length("text"), F.regexp_replace(after, r"\p{L}+\z", "")).otherwise(after)
+    stretches = stash(seen.select("x.entity", F.xxhash64("text").alias("of"), F.concat_ws(" ", before, after).alias("around")).distinct())
+    around = stretches.select("entity", "around").distinct()
+    size = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
+    pairs = around.join(size, "entity").select("entity", "n_e", F.explode(_terms(F.col("around"))).alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
+    # a term is in at least as many documents as have it near some entity: most pairs fall short by that alone
+    least = stretches.select("of", F.explode(_terms(F.col("around"))).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # one row, so the joins with it have as many rows as there are pairs
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))
+    hopeful = stash(pairs.join(least, "term").join(total).filter(_share() >= threshold).drop("n_t"))
+    if hopeful.isEmpty():
         return None
-    size = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    terms = pairs.select("term").distinct()
+    terms = hopeful.select("term").distinct()
     frequency = rows.select(F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    # one row, so the join has as many rows as there are pairs
-    scored = pairs.join(size, "entity").join(frequency, "term").join(F.broadcast(total))
+    return stash(hopeful.join(frequency, "term").select("entity", "term", _share().alias("share")).filter(F.col("share") >= threshold))
+
+
+def _share() -> Column:
+    """log(p(e|t) / p(e)) of log(1 / p(e)), from n_et, n_t, n_e and n. It falls as n_t grows."""
     given = F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))
     own = F.col("n_e") / F.col("n")
-    share = F.when(own < 1, F.log(given / own) / -F.log(own)).otherwise(F.lit(0.0))
-    return stash(scored.select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold))
+    return F.when(own < 1, F.log(given / own) / -F.log(own)).otherwise(F.lit(0.0))
 
 
 def _clean(text: Column, spans: Column) -> Column:
