@@ -77,7 +77,7 @@ def test_bodies_kept_elsewhere_and_charsets(spark):
 def test_brands(spark):
     senders = ["A <a@sbi.co.in>", "B <b@mail.myntra.com>", "C <c@x.blogspot.com>", "D <d@co.uk>", "E <e@foo.example.co.uk.>", "F <f@www.ck>", "Nobody", '"Big, Shop" <s@shop.de>', "G <g@a.b.ck>"]
     got = [r for r in brand_keys(spark.createDataFrame([(i, s) for i, s in enumerate(senders)], "n int, sender string")).orderBy("n").collect()]
-    assert [r.brand_key for r in got] == ["sbi", "myntra", "x", "d@co.uk", "example", "www", "nobody", "shop", "a"][: len(got)] or [r.brand_key for r in got]
+    assert [r.brand_key for r in got] == ["sbi", "myntra", "x", "d@co.uk", "example", "www", "nobody", "shop", "a"]
     assert got[7].brand == "Big, Shop" and got[0].brand == "A"
 
 
