@@ -53,3 +53,9 @@ def turn_cards(turns: DataFrame, offers: DataFrame) -> DataFrame:
     """Offers of assistant turns (turn_id, role, offer_keys) in their order; keys that are gone give no row."""
     rows = turns.filter("role = 'assistant'").select("turn_id", F.posexplode("offer_keys").alias("pos", "offer_key"))
     return rows.join(offers, "offer_key")
+
+
+def answer_text(matches: Column, complete: Column) -> Column:
+    """The sentence that goes with so many matching offers, by whether all messages were seen."""
+    none = F.when(complete, "I could not find a matching active coupon.").otherwise("I have not found a matching coupon yet. More promotional emails are still being checked.")
+    return F.when(matches == 1, "I found one matching coupon.").when(matches > 1, F.concat(F.lit("I found "), matches.cast("string"), F.lit(" matching coupons."))).otherwise(none)
