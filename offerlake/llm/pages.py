@@ -15,8 +15,7 @@ from .vec import groups
 
 GROUP_BYTES = 4 << 20
 CONSTANT = 0.6  # of a host's pages with a slot: so many with one and the same text make it template
-MIN_PAGES = 3
-RARE = 0.05  # slots of fewer of a host's pages stay out of its template
+MIN_PAGES = 3  # different pages of a host that a slot must be on to be in its template, whatever the host's size
 LINKS = 0.5
 
 # Element kinds of HTML.
@@ -191,33 +190,39 @@ def template_tree(slots: list[dict]) -> Node:
     return root
 
 
+def text_hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def _is_template(node: Node, text: str, on: bool, slot: dict | None) -> bool:
+    """Whether the host's pages repeat the slot or the block, or the slot is mostly links and not marked up as the article."""
+    if slot and slot["same"] >= max(MIN_PAGES, CONSTANT * slot["pages"]):
+        return True
+    if slot and slot["constant"] and text_hash(text) in slot["constant"]:
+        return True
+    # a slot that too few pages have is judged by its links on this one
+    links = slot["links"] if slot else node.links / max(1, sum(map(len, node.pieces)))
+    return not on and links >= LINKS
+
+
 def extract(page: Page, template: Node, stats: dict[str, dict]) -> str:
-    """Texts of the blocks that are neither marked up as something else nor template."""
-    seen: dict = {}
-    of = {id(x): y.path for x, y in simple_tree_match(page.root, template, seen)[1]}
-    out = []
-    for node, text, on in page.blocks:
-        if page.marked:
-            if on:
-                out.append(text)
-            continue
-        s = stats.get(of.get(id(node), ""))
-        if s and (s["links"] >= LINKS or (s["pages"] >= MIN_PAGES and s["same"] >= CONSTANT * s["pages"])):
-            continue
-        out.append(text)
-    return "\n".join(out)
+    """Texts of the blocks that are neither marked up as something else nor template.
 
+    Where the article is marked up and not all template, only its blocks.
+    """
+    of = {id(x): y.path for x, y in simple_tree_match(page.root, template, {})[1]}
+    left = [(text, on) for node, text, on in page.blocks if not _is_template(node, text, on, stats.get(of.get(id(node), "")))]
+    return "\n".join([text for text, on in left if on] or [text for text, _ in left])
 
-def _slots(batches):
-    import xxhash
 
+def _slots(batches):
     for batch in groups(batches, "html", GROUP_BYTES):
         rows = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = parse(source or "")
-            rows.append((host, "", 0, 0, 0, 0))
-            if page.marked:
-                continue  # its article is known: only pages without need their host's template
+            copy = text_hash("\0".join(f"{node.path}\0{said}" for node, said, _ in page.blocks))
             todo, place = [page.root], 0
             while todo:
                 node = todo.pop(0)
@@ -225,8 +230,10 @@ def _slots(batches):
                 text = "\n".join(node.pieces)
                 place += 1
                 if node.path:
-                    rows.append((host, node.path, xxhash.xxh64_intdigest(text) - (1 << 63), len(text), node.links, place))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.string(), *[pa.int64()] * 4], strict=True)], names=["host", "path", "text", "chars", "links", "place"])
+                    rows.append((host, node.path, text_hash(text), copy, 1, len(text), node.links, place))
+                    if len(node.pieces) > 1:
+                        rows += [(host, node.path, h, copy, 0, 0, 0, 0) for h in {text_hash(said) for said in node.pieces}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.string(), *[pa.int64()] * 6])], names=["host", "path", "text", "copy", "whole", "chars", "links", "place"])
 
 
 def _extract(batches):
@@ -234,39 +241,42 @@ def _extract(batches):
     for batch in groups(batches, "html", GROUP_BYTES):
         texts = []
         for host, source, slots in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
-            page = parse(source or "")
-            if page.marked:
-                texts.append(extract(page, page.root, {}))
-                continue
             if host not in known:
                 if len(known) > 256:
                     known.clear()
                 listed = slots.as_py() or []
-                known[host] = (template_tree(listed), {s["path"]: s for s in listed})
-            texts.append(extract(page, *known[host]))
+                known[host] = (template_tree(listed), {s["path"]: s | {"constant": frozenset(s["constant"] or ())} for s in listed})
+            texts.append(extract(parse(source or ""), *known[host]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def induce_templates(pages: DataFrame) -> DataFrame:
-    """One row a host: its slots, with their pages, the most pages of one text, and the share of link text.
+    """One row a host: its slots, with their pages, the most pages of one text, the share of link text, and the
+    hashes of the single blocks that ``CONSTANT`` of the pages have.
 
-    Counts run over all pages, a page and slot giving one row at most; equal texts of a slot are summed before
-    the shuffle, so that a host with a third of all pages has no larger group than another.
+    Counts run over all pages, copies of a page once; a page and slot give one row, and one for each block where
+    there are several. Equal texts of a slot are summed before the shuffle, so that a host with a third of all
+    pages has no larger group than another.
     """
-    rows = pages.mapInArrow(_slots, "host string, path string, text bigint, chars bigint, links bigint, place bigint")
-    same = rows.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("place").alias("place"))
-    slots = same.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), (F.sum("links") / F.greatest(F.sum("chars"), F.lit(1))).alias("links"), (F.sum("place") / F.sum("n")).alias("place"))
-    slots = slots.groupBy("host").agg(F.max(F.when(F.col("path") == "", F.col("pages"))).alias("all"), F.collect_list(F.struct("path", "pages", "same", "links", "place")).alias("slots"))
-    return slots.select("host", F.filter("slots", lambda s: (s["path"] != "") & (s["pages"] >= F.col("all") * RARE)).alias("slots"))
+    rows = pages.mapInArrow(_slots, "host string, path string, text bigint, copy bigint, whole bigint, chars bigint, links bigint, place bigint")
+    rows = rows.groupBy("host", "path", "text", "copy").agg(*[F.max(c).alias(c) for c in ("whole", "chars", "links", "place")])
+    same = stash(rows.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("whole", "chars", "links", "place")]))
+    slots = same.groupBy("host", "path").agg(F.sum("whole").alias("pages"), F.max("whole").alias("same"), (F.sum("links") / F.greatest(F.sum("chars"), F.lit(1))).alias("links"), (F.sum("place") / F.sum("whole")).alias("place"))
+    slots = stash(slots.filter(F.col("pages") >= MIN_PAGES))
+    # at most as many blocks of a slot as its pages have in the mean, by the inverse of CONSTANT
+    constant = same.filter(F.col("n") >= MIN_PAGES).join(slots.select("host", "path", "pages"), ["host", "path"]).filter(F.col("n") >= F.col("pages") * CONSTANT)
+    constant = constant.groupBy("host", "path").agg(F.collect_list("text").alias("constant"))
+    return slots.join(constant, ["host", "path"], "left").groupBy("host").agg(F.collect_list(F.struct("path", "pages", "same", "links", "place", "constant")).alias("slots"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """The main text of each page of ``pages`` (page_id, url, html).
 
     Menus, headers, footers, forms, adverts, notices, comments and the like go by their elements, roles and
-    names. Where a page marks up its article (article, main, or names like content), its blocks are the text.
-    Elsewhere the page's slots are aligned with those of its host's pages by simple tree matching: slots
-    whose text is the same on most of the host's pages, or mostly links, are template, the others content.
+    names. The slots of every page are aligned with those of its host's pages by simple tree matching: slots and
+    blocks that are the same on most of the host's pages are template, the others content. Where a page
+    marks up its article (article, main, or names like content), what is left of it is the text; elsewhere,
+    or where all of it is template, what is left of the page without slots that are mostly links.
 
     Returns page_id, url, text (blocks joined by a line break, white space in blocks collapsed, character
     references decoded), n_chars. A null or empty page has an empty text; pages without a host in their url

@@ -269,3 +269,18 @@ def test_main_text(spark):
     assert got[1].text == "A & B\none two three\nfour <x>" and got[2].text == "Title\nbody\ntext" and got[3].text == got[4].text == "" and got[5].text == "unclosed bold"
     assert all("Welcome" not in got[10 + i].text and "link" not in got[10 + i].text and got[10 + i].text.startswith("story") for i in range(8))
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_main_text_drops_what_marked_articles_of_a_host_share(spark):
+    text = lambda i: f"story {i} {prose(20)}"
+    rows = [(i, f"http://a.example/{i}", f"<article><p>{text(i)}<p>{prose(9)}<p>Read our terms before you go<div class=note>Share this page</div></article>") for i in range(6)]
+    # the mark is around what all pages repeat: the text is elsewhere
+    rows += [(20 + i, f"http://b.example/{i}", f"<div class=main>Welcome to our shop</div><div class=x><p>{text(i)}</div>") for i in range(6)]
+    # copies of one page are no template
+    rows += [(40 + i, "http://c.example/", "<article><p>the only story here</article>") for i in range(5)]
+    # a constant slot of few pages of a large host
+    rows += [(100 + i, f"http://d.example/{i}", f"<article><p>{text(i)}{'<div class=rare>Old archive</div>' if i < 4 else ''}</article>") for i in range(120)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert all(got[i].startswith("story") and "terms" not in got[i] and "Share" not in got[i] and got[i].count("\n") == 1 for i in range(6))
+    assert all(got[20 + i].startswith("story") and "Welcome" not in got[20 + i] and got[40 + i % 5] == "the only story here" for i in range(6))
+    assert all(got[100 + i].startswith("story") and "Old" not in got[100 + i] for i in range(120))
