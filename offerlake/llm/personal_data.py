@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-SUPPORT = 3  # distinct contexts that an entity, and a term with it, must have
+SUPPORT = 3  # distinct texts that an entity, and a term with it, must have
 GENERALISE = 0.7  # of an entity's information: from here on a term is generalised
 REMOVE = 0.9  # from here on it is removed
-CONTEXT = 80  # code points on either side of an entity
 # The patterns of the base kinds. They match what the plain patterns do. Possessive repeats keep
 # long runs linear; a match may start at the last one's end, or else only where its run of characters starts.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -93,34 +92,41 @@ def _terms(text: Column) -> Column:
 
 
 def disclosing_terms(rows: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame | None:
-    """(entity, term, share): terms that give away at least ``threshold`` of an entity's information.
+    """(of, term, share): by the hash of each text, its terms that give away at least ``threshold`` of the information
+    of an entity (a base value) that it holds; the largest share where there are several.
 
-    An entity is a base value; its evidence are the distinct stretches of text around it, so that copies
-    count once. With n_t documents that hold term t, n_et stretches around e that do, n_e around e and N
-    documents, t gives log(p(e|t) / p(e)) of log(1 / p(e)), with p(e|t) = n_et / n_t and p(e) = n_e / N.
+    All counts are of distinct texts. With n_t that hold term t, n_et that hold it and entity e, n_e that hold e and n
+    in all, t gives log(p(e|t) / p(e)) of log(1 / p(e)), with p(e|t) = n_et / n_t and p(e) = n_e / n.
     None where no term has enough support.
     """
-    every = F.concat(*map(_entities, KINDS))
-    seen = rows.select("text", F.explode(every).alias("x"))
-    before = F.expr(f"substring(text, cast(greatest(x.start - {CONTEXT}, 0) + 1 as int), cast(least(x.start, {CONTEXT}) as int))")
-    after = F.expr(f"substring(text, cast(x.end + 1 as int), {CONTEXT})")
-    # words that the edges cut are none
-    before = F.when(F.col("x.start") > CONTEXT, F.regexp_replace(before, r"\A\p{L}+", "")).otherwise(before)
-    after = F.when(F.col("x.end") + CONTEXT < F.length("text"), F.regexp_replace(after, r"\p{L}+\z", "")).otherwise(after)
-    stretches = stash(seen.select("x.entity", F.xxhash64("text").alias("of"), F.concat_ws(" ", before, after).alias("around")).distinct())
-    around = stretches.select("entity", "around").distinct()
-    size = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = around.join(size, "entity").select("entity", "n_e", F.explode(_terms(F.col("around"))).alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    # a term is in at least as many documents as have it near some entity: most pairs fall short by that alone
-    least = stretches.select("of", F.explode(_terms(F.col("around"))).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    # one row, so the joins with it have as many rows as there are pairs
-    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))
-    hopeful = stash(pairs.join(least, "term").join(total).filter(_share() >= threshold).drop("n_t"))
+    of = F.xxhash64("text").alias("of")
+    every = F.array_distinct(F.transform(F.concat(*map(_entities, KINDS)), lambda x: x["entity"]))
+    evidence = stash(rows.filter(_has_base()).select(of, every.alias("entities"), _terms(F.col("text")).alias("terms")))
+    held = evidence.select("of", F.explode("entities").alias("entity")).distinct()
+    size = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
+    held = stash(held.join(size, "entity"))
+    if held.isEmpty():
+        return None
+    words = evidence.select("of", F.explode("terms").alias("term")).distinct().join(held.select("of").distinct(), "of", "left_semi")
+    words = stash(words)
+    total = rows.select(of).distinct().count()
+    pairs = held.join(words, "of").groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support).withColumn("n", F.lit(total))
+    # a term is in at least as many texts as hold it and some entity: most pairs fall short by that alone
+    least = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    hopeful = stash(pairs.join(least, "term").filter(_share() >= threshold).drop("n_t"))
     if hopeful.isEmpty():
         return None
-    terms = hopeful.select("term").distinct()
-    frequency = rows.select(F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return stash(hopeful.join(frequency, "term").select("entity", "term", _share().alias("share")).filter(F.col("share") >= threshold))
+    terms = stash(hopeful.select("term").distinct())
+    frequency = rows.select(of, F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    found = stash(hopeful.join(frequency, "term").select("entity", "term", _share().alias("share")).filter(F.col("share") >= threshold))
+    if found.isEmpty():
+        return None
+    # by the texts' own words, so that an entity in many texts does not bring all its terms to each
+    return held.join(words, "of").join(found, ["entity", "term"]).groupBy("of", "term").agg(F.max("share").alias("share"))
+
+
+def _has_base() -> Column:
+    return F.greatest(*[F.size(k) for k in KINDS]) > 0
 
 
 def _share() -> Column:
@@ -149,7 +155,7 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = G
     """Personal data in every whole text of ``docs`` (doc_id, text, and any other columns, which stay).
 
     Base spans are e-mail addresses, IP addresses, card and phone numbers by pattern and check. The corpus then
-    tells how strongly the words near those entities reveal them (``disclosing_terms``): in documents that hold
+    tells how strongly the words of texts with those entities reveal them (``disclosing_terms``): in documents that hold
     an entity, words that give away ``generalise`` of its information become spans of kind ``term``,
     from ``remove`` on of kind ``removed``.
 
@@ -163,21 +169,22 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = G
     terms = disclosing_terms(rows.select("text", *KINDS), support, generalise)
     rows = rows.withColumn("base", F.concat(*[_as_spans(F.col(k), k) for k in KINDS]))
     none = F.array().cast(_SPAN)
-    if terms is None or terms.isEmpty():
+    if terms is None:
         rows = rows.withColumn("spans", F.col("base"))
     else:
-        every = F.array_distinct(F.transform(F.concat(*map(_entities, KINDS)), lambda x: x["entity"]))
-        keyed = rows.withColumn("entity_key", F.when(F.size("base") > 0, F.md5("text")))
-        held = keyed.filter("entity_key is not null").select("entity_key", F.explode(every).alias("entity")).distinct().join(terms, "entity")
         # the words of one text: no more than it has
-        mine = stash(held.groupBy("entity_key", "term").agg(F.max("share").alias("share")).groupBy("entity_key").agg(*[F.array_sort(F.collect_list(F.when(hit, F.col("term")))).alias(n) for n, hit in (("removed_terms", F.col("share") >= remove), ("general_terms", F.col("share") < remove))]))
-        keyed = keyed.join(mine, "entity_key", "left")
+        mine = terms.groupBy("of").agg(*[F.array_sort(F.collect_list(F.when(hit, F.col("term")))).alias(n) for n, hit in (("removed_terms", F.col("share") >= remove), ("general_terms", F.col("share") < remove))])
+        mine = stash(mine.withColumnRenamed("of", "entity_key"))
+        # only texts with entities are shuffled
+        keyed = rows.filter(_has_base()).withColumn("entity_key", F.xxhash64("text")).join(mine, "entity_key", "left")
         for kind, column in (("term", "general_terms"), ("removed", "removed_terms")):
             pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(column, "|"), F.lit(r")(?!\p{L})"))
             found = F.when(F.size(column) > 0, matches(F.col("text"), pattern)).otherwise(F.array().cast(_FOUND))
             free = F.filter(found, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
             keyed = keyed.withColumn(f"{kind}_spans", _as_spans(free, kind))
-        rows = keyed.withColumn("spans", F.concat("base", F.coalesce("term_spans", none), F.coalesce("removed_spans", none)))
+        keyed = keyed.withColumn("spans", F.concat("base", F.coalesce("term_spans", none), F.coalesce("removed_spans", none)))
+        columns = [*[F.col(f"`{c}`") for c in kept], "text", *KINDS, "base", "spans"]
+        rows = keyed.select(*columns).unionByName(rows.filter(~_has_base()).withColumn("spans", F.col("base")).select(*columns))
     rows = rows.withColumn("clean", _clean(F.col("text"), F.col("spans")))
     return rows.select(*[F.col(f"`{c}`") for c in kept], "text", "base", "spans", "clean", *KINDS)
 

@@ -284,3 +284,12 @@ def test_main_text_drops_what_marked_articles_of_a_host_share(spark):
     assert all(got[i].startswith("story") and "terms" not in got[i] and "Share" not in got[i] and got[i].count("\n") == 1 for i in range(6))
     assert all(got[20 + i].startswith("story") and "Welcome" not in got[20 + i] and got[40 + i % 5] == "the only story here" for i in range(6))
     assert all(got[100 + i].startswith("story") and "Old" not in got[100 + i] for i in range(120))
+
+
+def test_disclosing_terms_count_copies_once_and_reach_the_whole_text(spark):
+    filler = " ".join(["common"] * 40)
+    rows = [(i, f"Zorblatt writes {filler} {filler} to ann@corp.com {w}") for i, w in enumerate(["red", "blue", "green"]) for _ in range(50)]
+    rows += [(100 + i, f"Zorblatty common writes to red blue green number {i}") for i in range(300)]
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert len(got) == 303 and all("Zorblatt" not in got[i].clean and "[EMAIL]" in got[i].clean and "common" in got[i].clean for i in range(3))
+    assert got[100].clean == rows[150][1]
