@@ -16,7 +16,8 @@ SIMILARITY = 0.8
 RADIUS = 6
 ITEMS = 4096  # benchmark items of one search: the bound of what is broadcast
 GROUP_BYTES = 1 << 20
-#: Window sizes: an item is found by its first and its last words of the largest size that it has.
+#: Window sizes: an item is found by windows of the largest size that it has, and of the next smaller ones down to the
+#: first that fits the shortest stretch of it that reaches the threshold.
 SIZES = (5, 7, 10, 14, 20, 28, 40, 56, 80, 112, 160, 224)
 NOT_ALNUM = NOT_LETTER.copy()
 NOT_ALNUM[0x30:0x3A] = False
@@ -103,7 +104,7 @@ class Benchmark:
     probes: dict[int, Probe] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str], radius: int, frequency: dict[int, int] | None = None) -> Benchmark:
+    def build(cls, ids: list[int], texts: list[str], radius: int, frequency: dict[int, int] | None = None, threshold: float = SIMILARITY) -> Benchmark:
         words = alnum_words(pa.array(texts, pa.string()))
         hashes = words.hashes()
         each = [hashes[a:b] for a, b in zip(words.first, words.first[1:], strict=False)]
@@ -114,11 +115,15 @@ class Benchmark:
         out = cls(np.array(ids, np.int64), each, vocabulary, idf, float(np.log(1 + docs) + 1))
         entries: dict[int, list] = {}
         for k, w in enumerate(each):
-            size = max((s for s in SIZES if s <= len(w)), default=0)
-            if size:
+            least = out.least_words(w, threshold)
+            for size in [s for s in SIZES[::-1] if s <= len(w)]:
                 all_ = simhashes(lane_sums(w), size)
-                for shift in sorted({0, len(w) - size}):
+                # each stretch of so many of its words holds one of these windows whole
+                step = least - size + 1 if size <= least else len(w)
+                for shift in sorted({*range(0, len(w) - size, step), len(w) - size, 0}):
                     entries.setdefault(size, []).append((int(all_[shift]), k, shift))
+                if size <= least:
+                    break
         out.probes = {s: Probe.of(e, radius) for s, e in entries.items()}
         return out
 
@@ -129,6 +134,14 @@ class Benchmark:
         total = np.append(0.0, np.cumsum(idf))
         return (total[SHINGLE:] - total[:-SHINGLE]) / SHINGLE
 
+    def least_words(self, words: np.ndarray, threshold: float) -> int:
+        """No fewer words reach the threshold: their shingles would weigh too little even if all were the heaviest."""
+        if len(words) < SHINGLE:
+            return 0
+        heaviest = np.cumsum(np.sort(self.weights(words))[::-1])
+        enough = np.searchsorted(heaviest, heaviest[-1] * threshold * (1 - 1e-9)) + 1
+        return int(min(enough, len(heaviest))) + SHINGLE - 1
+
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
         """Weighted Jaccard similarity of two word lists' shingles, counted."""
         both = np.concatenate([window_hashes(a, SHINGLE), window_hashes(b, SHINGLE)])
@@ -173,6 +186,7 @@ def _search(benchmark, radius: int, threshold: float):
             hashes, text = words.hashes(), words.text_of_word()
             sums = lane_sums(hashes)
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            compared: set[tuple[int, int, int]] = set()
             for size, probe in bench.probes.items():
                 if len(hashes) < size:
                     continue
@@ -187,8 +201,9 @@ def _search(benchmark, radius: int, threshold: float):
                     low, high = int(words.first[d]), int(words.first[d + 1])
                     a = min(max(w - int(probe.shift[e]), low), max(low, high - len(own)))
                     b = min(high, a + len(own))
-                    if best.get((d, item), (-1.0, a))[1:2] == (a,) and (d, item) in best:
+                    if (d, item, a) in compared:
                         continue
+                    compared.add((d, item, a))
                     s = bench.similarity(hashes[a:b], own)
                     if s >= threshold and s > best.get((d, item), (0.0,))[0]:
                         best[d, item] = (s, a - low, b - 1 - low)
@@ -204,8 +219,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADI
     """Where whole texts of ``docs`` (doc_id, text) hold items of ``benchmark`` (item_id, text).
 
     Every window of every text gets a SimHash of its words (letters and digits, lower case), for each window
-    size that items have. Multi-index Hamming blocks find all windows within ``radius`` of the first or last
-    words of an item; the item-sized stretch there is compared with the item by weighted Jaccard similarity
+    size that items have. Multi-index Hamming blocks find all windows within ``radius`` of windows of an
+    item, which are laid so that any run of its words that can reach the threshold holds one; the item-sized stretch there is compared with the item by weighted Jaccard similarity
     of five-word shingles, weighted by inverse document frequency over all of ``docs``. The benchmark is
     searched in blocks of ``items`` items, each of which is broadcast.
 
@@ -221,11 +236,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADI
     for b in range(blocks):
         rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()
         ids, said = [r["item_id"] for r in rows], [r["text"] for r in rows]
-        bare = Benchmark.build(ids, said, radius)
+        bare = Benchmark.build(ids, said, radius, threshold=threshold)
         if not bare.probes:
             continue
         counts = texts.select("text").mapInArrow(_word_frequencies(bare.vocabulary), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
-        full = spark.sparkContext.broadcast(Benchmark.build(ids, said, radius, {r["k"]: r["n"] for r in counts}))
+        full = spark.sparkContext.broadcast(Benchmark.build(ids, said, radius, {r["k"]: r["n"] for r in counts}, threshold))
         hits = texts.mapInArrow(_search(full, radius, threshold), _HITS)
         found = hits if found is None else found.unionByName(hits)
     return spark.createDataFrame([], _HITS) if found is None else found

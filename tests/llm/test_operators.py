@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlake.llm import fingerprints as fp
-from offerlake.llm.decontamination import find_contamination, hamming_blocks, lane_sums, simhashes
+from offerlake.llm.decontamination import Benchmark, alnum_words, find_contamination, hamming_blocks, lane_sums, simhashes
 from offerlake.llm.languages import identify_languages, viterbi
 from offerlake.llm.mixing import flight, land, mix_sources
 from offerlake.llm.near_duplicates import Idf, Sampler, near_duplicates, shingles, weighted_jaccard
@@ -293,3 +294,22 @@ def test_disclosing_terms_count_copies_once_and_reach_the_whole_text(spark):
     got = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
     assert len(got) == 303 and all("Zorblatt" not in got[i].clean and "[EMAIL]" in got[i].clean and "common" in got[i].clean for i in range(3))
     assert got[100].clean == rows[150][1]
+
+
+def test_decontamination_finds_items_whose_ends_are_left_out(spark):
+    words = {n: [f"x{n}q{i}" for i in range(n)] for n in (14, 20, 40, 57, 80, 250)}
+    cuts = {n: [(a, b) for a in range(n) for b in range(n) if a + b <= (n - 4) // 5] for n in words}
+    rows = [(n * 10_000 + a * 100 + b, " ".join(words[n][a : n - b])) for n in words for a, b in cuts[n]]
+    rows += [(-1, prose(60)), (-2, "x40q1 x40q2 x40q3")]
+    said = [" ".join(w) for w in words.values()]
+    items = spark.createDataFrame(list(zip(words, said, strict=True)), "item_id bigint, text string")
+    got = find_contamination(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), items).select("doc_id", "item_id").collect()
+    # by comparing all of them: each text is shorter than its item, so the stretch is all of it
+    found = alnum_words(pa.array([r[1] for r in rows], pa.string()))
+    hashes = found.hashes()
+    each = [hashes[a:b] for a, b in zip(found.first, found.first[1:], strict=False)]
+    seen = Counter(w for e in each for w in set(e.tolist()))
+    plain = Benchmark.build(list(words), said, 6)
+    full = Benchmark.build(list(words), said, 6, {k: seen[w] for k, w in enumerate(plain.vocabulary.tolist())} | {-1: len(rows)})
+    want = {(d, n) for (d, _), e in zip(rows, each, strict=True) for n, own in zip(words, full.words, strict=True) if full.similarity(e, own) >= 0.8}
+    assert {(r.doc_id, r.item_id) for r in got} == want and {(400_100, 40), (400_001, 40), (400_303, 40)} <= want
