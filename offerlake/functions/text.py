@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,30 +32,47 @@ def utf16(c: Column) -> Column:
     return F.regexp_replace(c, "[\\x{10000}-\\x{10FFFF}]", "￼￼")
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def starts_of(lengths: Column) -> Column:
+    """Where each of consecutive stretches of these lengths starts: the sums of the lengths before it, as bigint.
+
+    Sums run over blocks of about as many values as there are blocks, so that no array of all values
+    grows by one value at a time.
+    """
+
+    def fold(values: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(values, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def blocks(values: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / size) - 1, F.lit(0)).cast("int")), lambda k: F.slice(values, k * size + 1, size))
+
+    total = lambda block: F.aggregate(block, F.lit(0).cast("bigint"), lambda s, n: s + n)
+    return bound(lengths, lambda v: bound(blocks(v), lambda b: F.flatten(F.zip_with(b, fold(F.transform(b, total), F.lit(0)), fold))))
+
+
+def match_offsets(text: Column, pattern: str | Column) -> Column:
     """array<struct<match, start>> of all matches: what splitting leaves between them gives the offsets."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,start:int>>").alias("out"))
+    both = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        return F.struct((start + F.length(x["match"])).alias("at"), F.concat(s["out"], F.array(F.struct(x["match"].alias("match"), start.alias("start")))).alias("out"))
+    def placed(found: Column) -> Column:
+        starts = starts_of(F.transform(found, lambda x: x["gap"] + F.length(x["match"])))
+        return F.zip_with(found, starts, lambda x, at: F.struct(x["match"].alias("match"), (at + x["gap"]).cast("int").alias("start")))
 
-    return F.aggregate(F.filter(both, lambda x: x["match"].isNotNull()), zero, step, lambda s: s["out"])
+    return bound(F.filter(both, lambda x: x["match"].isNotNull()), placed)
 
 
 def phrase_ends(text: Column, phrase: str) -> Column:
     """Where each occurrence of a phrase ends; occurrences do not overlap."""
-    pieces = F.transform(F.split(text, "\\Q" + phrase + "\\E", -1), F.length)
-    heads = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, n: Column) -> Column:
-        end = s["at"] + n + len(phrase)
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(end)).alias("out"))
-
-    return F.aggregate(heads, zero, step, lambda s: s["out"])
+    pieces = F.transform(F.split(text, "\\Q" + phrase + "\\E", -1), lambda p: F.length(p) + len(phrase))
+    return bound(pieces, lambda v: F.transform(F.slice(starts_of(v), 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda at: at.cast("int")))
 
 
 def trigger_offsets(text: Column, phrases: list[str] = TRIGGER_PHRASES) -> Column:
