@@ -20,37 +20,48 @@ from offerlake.llm.toxicity import score_toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in ``ids``; rows with a null doc_id stay."""
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents with ``row``, a hash of doc_id and text: stages decide by it, so that a null or
+    repeated doc_id is no other document's."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("row"))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents but those of ``rows``."""
+    return _keyed(docs).join(stash(rows.select("row").distinct()), "row", "left_anti").select(*COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled examples do not vote toxic (score under 0.5)."""
-    rejected = score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id").distinct()
-    return _without(docs, stash(rejected))
+    return _without(docs, score_toxicity(_keyed(docs), table(spark, sf_dir, "labels"), key="row").filter("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal and near-equal texts, the one with the least doc_id.
+    """One document of each class of equal and near-equal texts: the one with the least doc_id, null ones last.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id stay.
+    Of rows of the same doc_id and text one stays.
     """
-    classes = cut(near_duplicates(docs).select("doc_id", "class_id"))
-    kept = _without(docs, stash(classes.filter("doc_id <> class_id").select("doc_id").distinct()))
-    if classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    keyed = _keyed(docs)
+    classes = near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text")).toDF("row", "class")
+    ids = keyed.select("row", "doc_id").join(cut(classes.distinct()), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    kept = stash(ids.groupBy("class").agg(first).select("first.row"))
+    found = keyed.join(kept, "row")
+    if keyed.select("row").join(kept, "row").groupBy("row").count().filter("count > 1").isEmpty():
+        return found.select(*COLUMNS)
+    # equal in doc_id and text: the least of the other columns
+    one = found.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("one"))
+    return one.select("one.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaking = find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _without(docs, stash(leaking))
+    leaking = find_contamination(_keyed(docs).select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(docs, leaking.select(F.col("doc_id").alias("row")))
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and disclosing terms replaced in their texts. A null text stays null."""
+    """All documents, personal data and disclosing terms replaced in their texts, n_chars as they are then. A null text stays null."""
     found = personal_data(docs.select(*COLUMNS, F.col("text").isNull().alias("was_null")))
     text = F.when(F.col("was_null"), F.lit(None)).otherwise(F.col("clean"))
     return found.withColumn("text", text).withColumn("n_chars", F.when(F.col("was_null"), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*COLUMNS)

@@ -326,10 +326,12 @@ def _blocks(members: DataFrame, buckets: DataFrame, components: DataFrame, block
     component = F.coalesce("component", "key").alias("component")
     known = members.drop("n").join(components, "key", "left").select("band", "bucket", "key", "samples", component)
     lead = buckets.select("band", "bucket", F.col("lead").alias("key")).join(components, "key", "left").select("band", "bucket", F.coalesce("component", "key").alias("lead_component"))
-    parts = known.join(lead, ["band", "bucket"]).withColumn("other", F.col("component") != F.col("lead_component")).drop("lead_component")
-    sizes = parts.groupBy("band", "bucket").agg(F.sum(F.col("other").cast("int")).alias("others"), F.count(F.lit(1)).alias("n")).filter("others > 0")
+    parts = known.join(lead, ["band", "bucket"]).withColumn("other", F.col("component") != F.col("lead_component"))
+    # one small table of buckets, so that Spark can split the large ones in a single join
+    sizes = parts.groupBy("band", "bucket").agg(F.sum(F.col("other").cast("int")).alias("others"), F.count(F.lit(1)).alias("n"), F.min("lead_component").alias("lead_component"))
+    sizes = cut(sizes.filter("others > 0"))
     n = lambda count: F.ceil(count / block).cast("int")
-    parts = parts.join(sizes, ["band", "bucket"]).withColumns({"x": n(F.col("others")), "y": n(F.col("n") - F.col("others"))})
+    parts = known.join(sizes, ["band", "bucket"]).withColumns({"other": F.col("component") != F.col("lead_component"), "x": n(F.col("others")), "y": n(F.col("n") - F.col("others"))})
     h = F.xxhash64("key", F.lit(7))
     own = F.when(F.col("other"), F.pmod(h, F.col("x"))).otherwise(F.col("x") + F.pmod(h, F.greatest("y", F.lit(1)))).cast("int")
     last = F.when(F.col("other"), F.col("x") + F.col("y")).otherwise(F.col("x")) - 1

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from ..functions.text import bound, match_offsets
+from .common import cut, stash
 
-SUPPORT = 3  # distinct texts that an entity, and a term with it, must have
-GENERALISE = 0.7  # of an entity's information: from here on a term is generalised
-REMOVE = 0.9  # from here on it is removed
+SUPPORT = 1  # distinct texts that must hold an entity and a term together
+GENERALISE = 0.9  # of an entity's information: from here on a term is generalised
+REMOVE = 0.97  # from here on it is removed
+WORD = r"\p{L}+"
 # The patterns of the base kinds. They match what the plain patterns do. Possessive repeats keep
 # long runs linear; a match may start at the last one's end, or else only where its run of characters starts.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -26,20 +28,9 @@ _FOUND = "array<struct<start:bigint,end:bigint,value:string>>"
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def matches(text: Column, pattern: Column) -> Column:
-    """All leftmost matches with their code point offsets: the gaps between them are what splitting leaves."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.zip_with(F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), lambda m, g: F.struct(m["m"].alias("m"), g.cast("bigint").alias("gap")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_FOUND).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        here = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
-
-    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), zero, step, lambda s: s["out"])
+def matches(text: Column, pattern: str) -> Column:
+    """All leftmost matches with their code point offsets."""
+    return F.transform(match_offsets(text, pattern), lambda x: F.struct(x["start"].cast("bigint").alias("start"), (x["start"] + F.length(x["match"])).cast("bigint").alias("end"), x["match"].alias("value")))
 
 
 def digits(value: Column) -> Column:
@@ -70,7 +61,7 @@ def base_spans(rows: DataFrame) -> DataFrame:
     """``rows`` with one column of spans for each base kind; failing matches are dropped."""
     for kind in KINDS:
         hint = F.contains(F.col("text"), F.lit("@")) if kind == "email" else F.col("text").rlike(HINTS[kind])
-        found = F.when(hint, matches(F.col("text"), F.lit(PATTERNS[kind]))).otherwise(F.array().cast(_FOUND))
+        found = F.when(hint, matches(F.col("text"), PATTERNS[kind])).otherwise(F.array().cast(_FOUND))
         rows = rows.withColumn(kind, F.filter(found, _check(kind)))
     return rows
 
@@ -88,41 +79,49 @@ def _entities(kind: str) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower), lambda w: F.length(w) >= 3))
 
 
-def disclosing_terms(rows: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame | None:
+def disclosing_terms(rows: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """(of, term, share): by the hash of each text, its terms that give away at least ``threshold`` of the information
     of an entity (a base value) that it holds; the largest share where there are several.
 
     All counts are of distinct texts. With n_t that hold term t, n_et that hold it and entity e, n_e that hold e and n
-    in all, t gives log(p(e|t) / p(e)) of log(1 / p(e)), with p(e|t) = n_et / n_t and p(e) = n_e / n.
-    None where no term has enough support.
+    in all, t gives log(p(e|t) / p(e)) of log(1 / p(e)), with p(e|t) = n_et / n_t and p(e) = n_e / n. An entity
+    in one text only counts like any other: words of that text alone give it away wholly. A larger ``support`` leaves
+    out pairs that fewer texts hold.
     """
     of = F.xxhash64("text").alias("of")
     every = F.array_distinct(F.transform(F.concat(*map(_entities, KINDS)), lambda x: x["entity"]))
-    evidence = stash(rows.filter(_has_base()).select(of, every.alias("entities"), _terms(F.col("text")).alias("terms")))
-    held = evidence.select("of", F.explode("entities").alias("entity")).distinct()
-    size = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    held = stash(held.join(size, "entity"))
-    if held.isEmpty():
-        return None
-    words = evidence.select("of", F.explode("terms").alias("term")).distinct().join(held.select("of").distinct(), "of", "left_semi")
-    words = stash(words)
-    total = rows.select(of).distinct().count()
-    pairs = held.join(words, "of").groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support).withColumn("n", F.lit(total))
-    # a term is in at least as many texts as hold it and some entity: most pairs fall short by that alone
-    least = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    hopeful = stash(pairs.join(least, "term").filter(_share() >= threshold).drop("n_t"))
-    if hopeful.isEmpty():
-        return None
-    terms = stash(hopeful.select("term").distinct())
-    frequency = rows.select(of, F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    found = stash(hopeful.join(frequency, "term").select("entity", "term", _share().alias("share")).filter(F.col("share") >= threshold))
-    if found.isEmpty():
-        return None
+    evidence = stash(rows.filter(_has_base()).select(of, every.alias("entities"), _terms(F.col("text")).alias("terms")).dropDuplicates(["of"]))
+    held = evidence.select("of", F.explode("entities").alias("entity"))
+    held = held.join(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support), "entity")
+    # each of m equal texts counts as one mth of a text
+    copies = cut(rows.groupBy(of).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    total = rows.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    weight = F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight")
+    weighed = rows.select(of, "text").join(copies, "of", "left").select(weight, F.explode(_terms(F.col("text"))).alias("term"))
+    frequency = weighed.groupBy("term").agg(F.round(F.sum("weight")).cast("bigint").alias("n_t"))
+    words = evidence.select("of", F.explode("terms").alias("term")).join(frequency, "term").withColumn("n", F.lit(total))
+    # n_et is n_e at most: most pairs fall short by that alone
+    hopeful = stash(held.join(words, "of").withColumn("n_et", F.least("n_e", "n_t")).filter(_share() >= threshold).drop("n_et"))
+    together = hopeful.groupBy("entity", "term", "n_e", "n_t", "n").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
+    found = together.select("entity", "term", _share().alias("share")).filter(F.col("share") >= threshold)
     # by the texts' own words, so that an entity in many texts does not bring all its terms to each
-    return held.join(words, "of").join(found, ["entity", "term"]).groupBy("of", "term").agg(F.max("share").alias("share"))
+    return hopeful.select("of", "entity", "term").join(found, ["entity", "term"]).groupBy("of", "term").agg(F.max("share").alias("share"))
+
+
+def occurrences(text: Column, terms: Column) -> Column:
+    """Where words of the text are, in lower case, among ``terms``; null where those are.
+
+    Terms lie in buckets by their hash, so that each word meets a few of them.
+    """
+    words = F.filter(matches(text, WORD), lambda w: F.length(w["value"]) >= 3)
+    n = F.greatest(F.ceil(F.sqrt(F.size(terms))), F.lit(1)).cast("int")
+    slot = lambda w: F.pmod(F.xxhash64(w), n)
+    buckets = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(terms, lambda t: slot(t) == b))
+    said = lambda buckets_: F.filter(words, lambda w: F.array_contains(F.get(buckets_, slot(F.lower(w["value"])).cast("int")), F.lower(w["value"])))
+    return F.when(F.size(terms) > 0, bound(buckets, said)).otherwise(F.array().cast(_FOUND))
 
 
 def _has_base() -> Column:
@@ -155,8 +154,8 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = G
     """Personal data in every whole text of ``docs`` (doc_id, text, and any other columns, which stay).
 
     Base spans are e-mail addresses, IP addresses, card and phone numbers by pattern and check. The corpus then
-    tells how strongly the words of texts with those entities reveal them (``disclosing_terms``): in documents that hold
-    an entity, words that give away ``generalise`` of its information become spans of kind ``term``,
+    tells how strongly the words of texts with those entities reveal them (``disclosing_terms``), counted over whole
+    texts: in documents that hold an entity, words that give away ``generalise`` of its information become spans of kind ``term``,
     from ``remove`` on of kind ``removed``.
 
     Adds base (spans of the base kinds, by kind, then start), spans (base spans, then terms and removed, in the
@@ -169,22 +168,17 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = G
     terms = disclosing_terms(rows.select("text", *KINDS), support, generalise)
     rows = rows.withColumn("base", F.concat(*[_as_spans(F.col(k), k) for k in KINDS]))
     none = F.array().cast(_SPAN)
-    if terms is None:
-        rows = rows.withColumn("spans", F.col("base"))
-    else:
-        # the words of one text: no more than it has
-        mine = terms.groupBy("of").agg(*[F.array_sort(F.collect_list(F.when(hit, F.col("term")))).alias(n) for n, hit in (("removed_terms", F.col("share") >= remove), ("general_terms", F.col("share") < remove))])
-        mine = stash(mine.withColumnRenamed("of", "entity_key"))
-        # only texts with entities are shuffled
-        keyed = rows.filter(_has_base()).withColumn("entity_key", F.xxhash64("text")).join(mine, "entity_key", "left")
-        for kind, column in (("term", "general_terms"), ("removed", "removed_terms")):
-            pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(column, "|"), F.lit(r")(?!\p{L})"))
-            found = F.when(F.size(column) > 0, matches(F.col("text"), pattern)).otherwise(F.array().cast(_FOUND))
-            free = F.filter(found, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-            keyed = keyed.withColumn(f"{kind}_spans", _as_spans(free, kind))
-        keyed = keyed.withColumn("spans", F.concat("base", F.coalesce("term_spans", none), F.coalesce("removed_spans", none)))
-        columns = [*[F.col(f"`{c}`") for c in kept], "text", *KINDS, "base", "spans"]
-        rows = keyed.select(*columns).unionByName(rows.filter(~_has_base()).withColumn("spans", F.col("base")).select(*columns))
+    # the words of one text: no more than it has
+    mine = terms.groupBy("of").agg(*[F.collect_list(F.when(hit, F.col("term"))).alias(n) for n, hit in (("removed_terms", F.col("share") >= remove), ("general_terms", F.col("share") < remove))])
+    mine = stash(mine.withColumnRenamed("of", "entity_key"))
+    # only texts with entities are shuffled
+    keyed = rows.filter(_has_base()).withColumn("entity_key", F.xxhash64("text")).join(mine, "entity_key", "left")
+    for kind, column in (("term", "general_terms"), ("removed", "removed_terms")):
+        free = F.filter(occurrences(F.col("text"), F.col(column)), lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        keyed = keyed.withColumn(f"{kind}_spans", _as_spans(free, kind))
+    keyed = keyed.withColumn("spans", F.concat("base", F.coalesce("term_spans", none), F.coalesce("removed_spans", none)))
+    columns = [*[F.col(f"`{c}`") for c in kept], "text", *KINDS, "base", "spans"]
+    rows = keyed.select(*columns).unionByName(rows.filter(~_has_base()).withColumn("spans", F.col("base")).select(*columns))
     rows = rows.withColumn("clean", _clean(F.col("text"), F.col("spans")))
     return rows.select(*[F.col(f"`{c}`") for c in kept], "text", "base", "spans", "clean", *KINDS)
 

@@ -206,7 +206,7 @@ def _score(index, k: int):
                 part = slice(cuts[i], cuts[i + 1])
                 scores[i], ids, sims = ix.score(value[part], weight[part], k)
                 evidence[i] = [{"doc_id": int(d), "similarity": float(s), "toxic": int(t)} for d, s, t in zip(ix.doc_id[ids], sims, ix.toxic[ids], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, _EVIDENCE)], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, _EVIDENCE), *batch.columns[2:]], names=["doc_id", "score", "evidence", *batch.schema.names[2:]])
 
     return run
 
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     return BlockMaxIndex.build(wanted, idf, np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), text, value, count, rates)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS, max_examples: int = MAX_EXAMPLES, key: str | None = None) -> DataFrame:
     """How likely each whole text of ``docs`` (doc_id, text) is toxic, as ``labels`` (doc_id, toxic) mark it.
 
     Labels are learnt only where crc32 of the id is not 0 modulo 5. A text's vector has the TF-IDF weights
@@ -255,11 +255,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBO
     calibrated on the examples' own leave-one-out votes. A text without any telling feature (also an empty or null one) gets
     the share of toxic examples among such. Without labels all scores are the prior, 0.25.
 
-    Returns doc_id, held_out, score, predicted, evidence (the voting examples). A null doc_id has null
-    held_out. Repeated rows each get their row.
+    Returns doc_id, held_out, score, predicted, evidence (the voting examples) and the bigint column ``key``, if
+    any is named. A null doc_id has null held_out. Repeated rows each get their row.
     """
     index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(_score(index, neighbours), _SCORED)
+    more = [] if key is None else [key]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("bigint").alias(c) for c in more])
+    scored = texts.mapInArrow(_score(index, neighbours), ", ".join([_SCORED, *[f"{c} bigint" for c in more]]))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", *more)

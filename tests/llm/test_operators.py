@@ -15,7 +15,7 @@ from offerlake.llm import fingerprints as fp
 from offerlake.llm.decontamination import Benchmark, alnum_words, find_contamination, hamming_blocks, lane_sums, simhashes
 from offerlake.llm.languages import identify_languages, viterbi
 from offerlake.llm.mixing import flight, land, mix_sources
-from offerlake.llm.near_duplicates import Idf, Sampler, near_duplicates, shingles, weighted_jaccard
+from offerlake.llm.near_duplicates import Idf, Sampler, document_frequencies, near_duplicates, shingles, weighted_jaccard
 from offerlake.llm.pages import main_text
 from offerlake.llm.personal_data import digest, personal_data
 from offerlake.llm.substrings import substring_dedup
@@ -25,6 +25,7 @@ from offerlake.llm.vec import Words, window_hashes
 
 random.seed(5)
 VOCABULARY = [f"w{i}" for i in range(400)]
+VOCABULARY_OF_LETTERS = ["".join(x) for x in itertools.product("Abé", "oui", "rst", "aeß", "nk")]
 
 
 def prose(n, words=VOCABULARY):
@@ -143,15 +144,48 @@ def test_near_duplicates(spark, docs, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_join_what_comparing_all_pairs_joins(spark):
+    draw = random.Random(3)
+    bases = [[draw.choice(VOCABULARY) for _ in range(120)] for _ in range(3)]
+
+    def changed(words):
+        words = list(words)
+        for _ in range(draw.choice([0, 1, 2, 3, 4, 5, 7])):
+            words[draw.randrange(len(words))] = f"new{draw.randrange(99)}"
+        return " ".join(words)
+
+    rows = [(i, changed(bases[i % 3])) for i in range(400)] + [(500 + i, prose(8 + i % 60)) for i in range(60)] + [(600, "a b"), (601, "A b"), (602, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    idf = document_frequencies(df.select("text"))
+    words = Counter(w for _, t in rows for w in set(t.lower().split()))
+    assert len(idf.word) == sum(n >= 8 for n in words.values())
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if root(i) != root(j) and (a == b or len(set(a.split()) & set(b.split())) > 60 or {i, j} == {600, 601}):
+            if a == b or weighted_jaccard(idf, pa.array([a]), pa.array([b]))[0] >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = {i: root(i) for i, _ in rows}
+    for block in (128, 16):
+        got = {r.doc_id: r.class_id for r in near_duplicates(df, block=block).collect()}
+        # candidates are sampled: a pair of 0.8 is met with 0.998, and no pair is joined that is less alike
+        assert all(want[got[i]] == want[i] for i in want)
+        assert sum(got[i] != want[i] for i in want) <= 6
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     a = prose(300)
     w = a.split()
     for k in range(0, 300, 40):
         w[k] = "other"
     column = pa.array([a, " ".join(w)])
-    text, shingle, tf = shingles(column)
     idf = Idf(1000, np.zeros(0, np.uint64), np.zeros(0))
-    taken = Sampler(1500).sample(text, shingle, idf.weights(shingle, tf), 2)
+    taken = Sampler(1500).sample(*shingles(column, idf), 2)
     exact = weighted_jaccard(idf, column[:1], column[1:])[0]
     assert abs((taken[0] == taken[1]).mean() - exact) < 0.04
 
@@ -249,7 +283,7 @@ def test_viterbi_is_the_best_path():
 
 def test_personal_data(spark, docs, nothing):
     rows = [(i, f"Meeting of alpha number{chr(97 + i)} with bob@corp.com about zorblatt and the {w} again") for i, w in enumerate(["red", "blue", "green", "pink", "grey"])] + [(100 + i, f"the word about again with {i}") for i in range(40)]
-    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id bigint, text string"), support=3).collect()}
     assert "zorblatt" not in got[0].clean and "[EMAIL]" in got[0].clean and "the red again" in got[0].clean and got[100].clean == rows[5][1]
     odd = [(0, "a@b.com_x@y.zz 1.2.3.4.5.6.7.8 300.1.1.1"), (1, "4111 1111 1111 1111 41111111111111112 +1 (988) 555-2485"), (2, "é\U0001f600 4111111111111111 bob@x.io"), (3, None), (4, "1 " * 3000 + "9" * 30000)]
     got = {r.doc_id: r.spans for r in digest(personal_data(spark.createDataFrame(odd, "doc_id bigint, text string"))).collect()}
@@ -257,6 +291,27 @@ def test_personal_data(spark, docs, nothing):
     assert personal_data(docs).count() == len(ROWS) and personal_data(nothing).count() == 0
 
 
+@pytest.mark.parametrize("support", [1, 2])
+def test_disclosure_equals_plain_counting(spark, support):
+    draw = random.Random(7)
+    mails = [f"p{i}@corp.com" for i in range(12)]
+    texts = [" ".join([*draw.choices(VOCABULARY_OF_LETTERS, k=draw.randint(1, 25)), *draw.choices(mails, k=draw.choice([0, 0, 0, 1, 2]))]) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:40] + texts[:7])] + [(900, None), (901, None)]
+    different = {t or "" for _, t in rows}
+    words = {t: {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 3} for t in different}
+    held = {t: set(re.findall(r"p\d+@corp\.com", t)) for t in different}
+    n_t = Counter(w for t in different for w in words[t])
+    n_e = Counter(e for t in different for e in held[t])
+    n_et = Counter((e, w) for t in different for e in held[t] for w in words[t])
+    share = {(e, w): np.log(n / n_t[w] / (n_e[e] / len(different))) / -np.log(n_e[e] / len(different)) for (e, w), n in n_et.items() if n >= support and n_e[e] >= support}
+    for r in personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), support=support).collect():
+        best = {w: max((share.get((e, w), -9) for e in held[r.text]), default=-9) for w in words[r.text]}
+        for kind, low, high in (("term", 0.9, 0.97), ("removed", 0.97, 9)):
+            inside = lambda m, r=r: any(b.start < m.end() and m.start() < b.end for b in r.base)
+            want = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", r.text) if low <= best.get(m[0].lower(), -9) < high and not inside(m)]
+            assert [(x.start, x.end) for x in r.spans if x.kind == kind] == want
+
+
 def test_main_text(spark):
     page = "<!DOCTYPE html><html><head><title>T</title><script>x</script></head><body><nav><a href=/>Home</a></nav>{}<footer>foot</footer></body></html>"
     rows = [
@@ -291,7 +346,7 @@ def test_disclosing_terms_count_copies_once_and_reach_the_whole_text(spark):
     filler = " ".join(["common"] * 40)
     rows = [(i, f"Zorblatt writes {filler} {filler} to ann@corp.com {w}") for i, w in enumerate(["red", "blue", "green"]) for _ in range(50)]
     rows += [(100 + i, f"Zorblatty common writes to red blue green number {i}") for i in range(300)]
-    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), support=3).collect()}
     assert len(got) == 303 and all("Zorblatt" not in got[i].clean and "[EMAIL]" in got[i].clean and "common" in got[i].clean for i in range(3))
     assert got[100].clean == rows[150][1]
 
