@@ -1,4 +1,4 @@
-"""The backfill: list the window, leave out what is done, extract, merge, commit."""
+"""The backfill and what catches up after it: list, leave out what is done, extract, merge, commit."""
 
 from __future__ import annotations
 
@@ -8,42 +8,87 @@ from pyspark.sql import functions as F
 from ..functions.values import EXTRACTOR_VERSION
 from ..operators.brand import brand_keys
 from ..operators.candidates import find_candidates, gate
+from ..operators.enrichment import select_for_enrichment
 from ..operators.offers import KEY, build_offers, drop_stale, merge_offers
 from ..operators.sync import list_window, pending_messages, processed_status
-from .tables import commit_batch, current
+from .tables import BUCKETS, bucket_of, commit_batch, current, is_committed
 
+LABEL = "CATEGORY_PROMOTIONS"
 
-def extract(messages: DataFrame, version: int = EXTRACTOR_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Offers and processed rows of messages (message_id, thread_id, sender, subject, text, html, internal_date)."""
-    best = find_candidates(messages)
-    built = build_offers(brand_keys(messages), best, version)
-    gated = gate(messages, best)
+
+def extract(messages: DataFrame, version: int = EXTRACTOR_VERSION, label: str = LABEL) -> tuple[DataFrame, DataFrame]:
+    """Offers and processed rows of messages (message_id, thread_id, sender, subject, text, html, internal_date, and label and failed if there are).
+
+    A message without the label is ignored. Only messages with candidates are left for the model; all others count as done.
+    """
+    gone = F.coalesce(F.col("label") != label, F.lit(True)) if "label" in messages.columns else F.lit(False)
     failed = F.col("failed") if "failed" in messages.columns else F.lit(False)
-    done = gated.join(messages.select("message_id", failed.alias("failed")), "message_id").select(
-        "message_id",
-        F.lit(version).alias("extractor_version"),
-        processed_status(F.lit(False), F.col("n_candidates") > 0, F.col("should_extract"), F.col("failed")).alias("status"),
-        F.lit(False).alias("llm_processed"),
-    )
-    return built, done
+    rows = messages.withColumns({"gone": gone, "failed": failed})
+    read = rows.filter("not gone").drop("gone", "failed", "label")
+    best = find_candidates(read)
+    built = build_offers(brand_keys(read), best, version)
+    gated = rows.select("message_id", "gone", "failed").join(select_for_enrichment(gate(read, best)), "message_id", "left")
+    status = processed_status(F.col("gone"), F.coalesce(F.col("n_candidates") > 0, F.lit(False)), F.coalesce("should_extract", F.lit(False)), F.col("failed"))
+    return built, gated.select("message_id", F.lit(version).alias("extractor_version"), status.alias("status"), F.coalesce("llm_processed", F.lit(True)).alias("llm_processed"))
 
 
-def run_backfill(messages: DataFrame, root: str, batch_id: int, now_ms: int, days: int = 45, version: int = EXTRACTOR_VERSION, complete: bool = True) -> None:
-    """Process what the window has and the completion cache lacks; offers and cache are committed together.
+def _commit(pending: DataFrame, root: str, batch_id: int, version: int, complete: bool) -> None:
+    """Extract, fold into the offers of the same brands, commit.
 
-    Existing offers are folded before the new ones, which follow by date. A complete scan drops offers of other versions,
-    which until then stay in place.
+    Existing offers come before the new ones, which follow by date. Only buckets of the brands at hand are read and
+    written, unless the scan is complete: then offers of other versions go, wherever they are.
     """
-    spark = messages.sparkSession
-    listed = list_window(messages, now_ms, days)
-    processed, offers = current(spark, root, "processed"), current(spark, root, "offers")
-    pending = listed if processed is None else pending_messages(listed, processed, version)
+    spark = pending.sparkSession
     built, done = extract(pending, version)
+    built = built.persist()
+    buckets = list(range(BUCKETS)) if complete else sorted(r[0] for r in built.select(bucket_of("brand_key")).distinct().collect())
     arrivals = built.withColumn("seq", F.struct(F.lit(1).alias("late"), "source_date", F.get("message_ids", F.lit(0)).cast("string").alias("id")))
+    offers = current(spark, root, "offers", buckets)
     if offers is not None:
         first = F.struct(F.lit(0).alias("late"), "source_date", F.lit("").alias("id"))
         arrivals = offers.withColumn("seq", first).unionByName(arrivals)
     merged = merge_offers(arrivals.select(*KEY, "seq", *[c for c in built.columns if c not in KEY]))
     kept = drop_stale(merged, version) if complete else merged
-    cache = done if processed is None else processed.join(done.select("message_id"), "message_id", "left_anti").unionByName(done)
-    commit_batch({"offers": kept, "processed": cache}, root, batch_id)
+    commit_batch({"processed": done.withColumn("batch", F.lit(batch_id))}, {"offers": (kept, "brand_key", buckets)}, root, batch_id)
+    built.unpersist()
+
+
+def processed_messages(spark, root: str) -> DataFrame | None:
+    """The completion cache: the last row of each message."""
+    rows = current(spark, root, "processed")
+    if rows is None:
+        return None
+    last = F.max_by(F.struct("extractor_version", "status", "llm_processed"), "batch").alias("p")
+    return rows.groupBy("message_id").agg(last).select("message_id", "p.*")
+
+
+def run_backfill(messages: DataFrame, root: str, batch_id: int, now_ms: int, days: int = 45, version: int = EXTRACTOR_VERSION, complete: bool = True) -> None:
+    """Process what the window has and the completion cache lacks; offers and cache are committed together.
+
+    A new version finds nothing in the cache that is valid, so that all is read again; old offers stay in place until
+    a complete scan drops them. A batch number that is committed is not run again.
+    """
+    spark = messages.sparkSession
+    if is_committed(spark, root, batch_id):
+        return
+    listed = list_window(messages, now_ms, days)
+    processed = processed_messages(spark, root)
+    _commit(listed if processed is None else pending_messages(listed, processed, version), root, batch_id, version, complete)
+
+
+def catch_up(history: DataFrame, messages: DataFrame, root: str, batch_id: int, cursor: int | None, now_ms: int, days: int = 45, version: int = EXTRACTOR_VERSION) -> int | None:
+    """Process the messages of the changes (seq, message_id) after ``cursor``; gives the next cursor.
+
+    Where changes after the cursor are no longer kept, or there is no cursor yet, the window is listed again instead:
+    the completion cache keeps that cheap, and the result is the same. The next cursor is read before anything is
+    listed, so that what arrives meanwhile is still ahead of it.
+    """
+    spark = messages.sparkSession
+    kept = history.agg(F.min("seq").alias("oldest"), F.max("seq").alias("newest")).first()
+    if cursor is None or (kept["oldest"] is not None and kept["oldest"] > cursor + 1):
+        run_backfill(messages, root, batch_id, now_ms, days, version)
+    elif not is_committed(spark, root, batch_id):
+        ids = history.filter(F.col("seq") > cursor).select("message_id").distinct()
+        found, processed = messages.join(ids, "message_id", "left_semi"), processed_messages(spark, root)
+        _commit(found if processed is None else pending_messages(found, processed, version), root, batch_id, version, complete=False)
+    return cursor if kept["newest"] is None else kept["newest"]

@@ -1,37 +1,87 @@
-"""Snapshot tables: several tables written together, made current by one pointer."""
+"""Tables that several writers of one job change together, made current by one manifest."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-offerlake-")
+BUCKETS = 64
+_MANIFEST = "batch bigint, name string, bucket int, path string"
 
 
-def commit_batch(tables: dict[str, DataFrame], root: str, batch_id: int) -> None:
-    """Write all tables under the batch's folder, then make the batch current.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all machines of a cluster share; one of our own only where it is
+    unset and all runs on this machine, as in tests."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-offerlake-")
 
-    Readers see all of a batch or nothing of it; running a batch again writes the same. The pointer is a
-    one-row table of the batch number, replaced last.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}/{name}")
-    spark.range(batch_id, batch_id + 1).toDF("batch").coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
+def bucket_of(key: str, buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-def current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """The table of the last batch that was committed; None before the first."""
-    from pyspark.errors import AnalysisException
 
+def _commits(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        batch = spark.read.parquet(f"{root}/commits").agg({"batch": "max"}).first()[0]
+        return spark.read.schema(_MANIFEST).parquet(f"{root}/commits")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    return spark.read.parquet(f"{root}/batch={batch}/{name}")
+
+
+def is_committed(spark: SparkSession, root: str, batch_id: int) -> bool:
+    found = _commits(spark, root)
+    return found is not None and not found.filter(F.col("batch") == batch_id).isEmpty()
+
+
+def commit_batch(appended: dict[str, DataFrame], replaced: dict[str, tuple[DataFrame, str, list[int]]], root: str, batch_id: int) -> None:
+    """Write what a batch adds and the buckets that it replaces, then make all of it current at once.
+
+    ``appended`` tables get more rows; of ``replaced`` ones (rows, key, buckets) the given buckets of the key give way to the
+    rows. Every attempt writes to a folder of its own, which no reader knows before the manifest of the
+    batch names it. A batch that was committed is not written again.
+    """
+    spark = next(iter([*appended.values(), *[df for df, *_ in replaced.values()]])).sparkSession
+    if is_committed(spark, root, batch_id):
+        return
+    attempt = f"{root}/batch-{batch_id}-{uuid.uuid4().hex}"
+    manifest = []
+    for name, df in appended.items():
+        df.write.parquet(f"{attempt}/{name}")
+        manifest.append((batch_id, name, None, f"{attempt}/{name}"))
+    for name, (df, key, buckets) in replaced.items():
+        df.withColumn("bucket", bucket_of(key)).repartition("bucket").write.partitionBy("bucket").parquet(f"{attempt}/{name}")
+        manifest += [(batch_id, name, b, f"{attempt}/{name}") for b in buckets]
+    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/commits")
+
+
+def current(spark: SparkSession, root: str, name: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """A table as the committed batches left it, or some of its buckets; None before the first batch.
+
+    The manifest has one row a batch and appended table, and one a replaced bucket.
+    """
+    commits = _commits(spark, root)
+    if commits is None:
+        return None
+    rows = commits.filter(F.col("name") == name).groupBy("bucket", F.when(F.col("bucket").isNull(), F.col("path"))).agg(F.max_by("path", F.struct("batch", "path")).alias("path")).select("bucket", "path").collect()
+    rows = [r for r in rows if buckets is None or r["bucket"] is None or r["bucket"] in buckets]
+    if not rows:
+        return None
+    plain = [r["path"] for r in rows if r["bucket"] is None]
+    if plain:
+        return spark.read.parquet(*plain)
+    paths = sorted({r["path"] for r in rows})
+    found = None
+    for path in paths:
+        mine = [r["bucket"] for r in rows if r["path"] == path]
+        part = spark.read.option("basePath", path).parquet(path).filter(F.col("bucket").isin(mine)).drop("bucket")
+        found = part if found is None else found.unionByName(part)
+    return found

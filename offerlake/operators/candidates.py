@@ -43,11 +43,11 @@ def surfaces(messages: DataFrame) -> DataFrame:
     return alts.unionByName(whole).filter("text <> ''")
 
 
-def text_candidates(rows: DataFrame) -> DataFrame:
-    """Accepted tokens of surfaces with position, code, normalized, near and score.
+def scan_surfaces(rows: DataFrame) -> DataFrame:
+    """Surfaces without their text: message_id, surface_ord, part_ord, source, has_trigger, and the accepted tokens ``found``.
 
-    Tokens meet the trigger phrases of their own text inside the row, and are judged there too: only those
-    that pass are exploded. An offset is after a phrase within 30 characters, near one within 40 either way.
+    Tokens meet the trigger phrases of their own text inside the row, and are judged there too. An offset is
+    after a phrase within 30 characters, near one within 40 either way.
     """
     scanned = rows.withColumn("flat", utf16(F.col("text"))).withColumn("ends", trigger_offsets(F.col("flat"))).withColumn("tokens", match_offsets(F.col("flat"), TOKEN))
 
@@ -62,7 +62,12 @@ def text_candidates(rows: DataFrame) -> DataFrame:
         )
 
     judged = F.filter(F.transform("tokens", judge), lambda t: is_acceptable(t["code"], t["normalized"], F.col("source"), t["after"]))
-    out = scanned.select("message_id", "surface_ord", "part_ord", "source", F.explode(judged).alias("t"))
+    return scanned.select("message_id", "surface_ord", "part_ord", "source", (F.size("ends") > 0).alias("has_trigger"), judged.alias("found"))
+
+
+def text_candidates(rows: DataFrame) -> DataFrame:
+    """Accepted tokens of surfaces with position, code, normalized, near and score; only those that pass are exploded."""
+    out = scan_surfaces(rows).select("message_id", "surface_ord", "part_ord", "source", F.explode("found").alias("t"))
     return out.select("message_id", "surface_ord", "part_ord", "source", "t.position", "t.code", "t.normalized", "t.near", score(F.col("source"), F.col("t.normalized"), F.col("t.near")).alias("score"))
 
 
@@ -102,9 +107,18 @@ def gate(messages: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.withColumn("should_extract", (F.col("n_candidates") > 0) | F.col("has_trigger"))
 
 
-def regate_with_ocr(messages: DataFrame, candidates: DataFrame, ocr: DataFrame) -> DataFrame:
-    """Candidates again, with OCR text (message_id, ocr_text), for the messages that have none without."""
-    bare = messages.join(candidates.select("message_id").distinct(), "message_id", "left_anti").join(ocr, "message_id")
-    return candidates.unionByName(find_candidates(bare))
+def scan_gate(messages: DataFrame) -> DataFrame:
+    """As ``gate`` of a message's own candidates, by one scan of its surfaces."""
+    text = scan_surfaces(surfaces(messages)).select("message_id", "has_trigger", F.explode_outer("found.normalized").alias("normalized"))
+    both = text.unionByName(link_candidates(messages).select("message_id", F.lit(False).alias("has_trigger"), "normalized"))
+    each = both.groupBy("message_id", "normalized").agg(F.bool_or("has_trigger").alias("has_trigger"))
+    found = each.groupBy("message_id").agg(F.count("normalized").alias("n_candidates"), F.bool_or("has_trigger").alias("has_trigger"))
+    rows = messages.select("message_id").join(found, "message_id", "left").select("message_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("has_trigger", F.lit(False)).alias("has_trigger"))
+    return rows.withColumn("should_extract", (F.col("n_candidates") > 0) | F.col("has_trigger"))
 
 
+def regate_with_ocr(messages: DataFrame, candidates: DataFrame, ocr: DataFrame, images: DataFrame) -> DataFrame:
+    """Candidates again, with OCR text (message_id, ocr_text), for the messages that have none without and have one of
+    the ``images`` (message_id) at least."""
+    bare = messages.join(candidates.select("message_id").distinct(), "message_id", "left_anti").join(images.select("message_id").distinct(), "message_id", "left_semi").join(ocr, "message_id")
+    return candidates.unionByName(find_candidates(bare))

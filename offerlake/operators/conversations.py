@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trim
+
 
 def offer_rows(offers: DataFrame, fields: list[str], mailbox: str | None = None) -> DataFrame:
     """Offers with an id ``offer_1``, ``offer_2``... in key order within a mailbox, and their fields as JSON.
@@ -17,6 +19,22 @@ def offer_rows(offers: DataFrame, fields: list[str], mailbox: str | None = None)
     return rows.withColumn("json", F.to_json(F.struct("offer_id", *fields)))
 
 
+#: The fields of an offer that a question may draw on, in this order.
+FIELDS = ["brand", "code", "discount", "currency", "min_spend", "max_discount", "expiry", "new_users_only", "app_only", "categories", "conditions", "needs_review"]
+
+
+def offers_json(offers: DataFrame, fields: list[str] = FIELDS, mailbox: str | None = None) -> DataFrame:
+    """One row a mailbox: its offers as one JSON array, numbered and in key order; fields that are null are written as such.
+
+    A mailbox has a few hundred active offers.
+    """
+    part = F.col(mailbox) if mailbox else F.lit(0)
+    n = F.row_number().over(Window.partitionBy(part).orderBy("brand_key", "normalized_code"))
+    rows = offers.select(part.alias("mailbox"), n.alias("n"), F.struct(F.concat(F.lit("offer_"), n.cast("string")).alias("id"), *fields).alias("offer"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "offer"))), lambda x: x["offer"])
+    return rows.groupBy("mailbox").agg(F.to_json(listed, {"ignoreNullFields": "false"}).alias("offers"))
+
+
 def recent_turns(turns: DataFrame, n: int = 10, conversation: str = "conv_id", at: str = "turn") -> DataFrame:
     """The last ``n`` turns of each conversation."""
     order = Window.partitionBy(conversation).orderBy(F.desc(at))
@@ -28,8 +46,18 @@ def retain_turns(turns: DataFrame, more: DataFrame, n: int = 20, conversation: s
     return recent_turns(turns.unionByName(more), n, conversation, at)
 
 
-def question_context(today: Column, sync: Column, offers: Column, chat: Column, question: Column, limit: int = 500) -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("Today: "), today), sync, F.concat(F.lit("Offers: "), offers), F.concat(F.lit("Recent: "), chat), F.concat(F.lit("Question: "), F.substring(question, 1, limit)))
+def chat_json(turns: DataFrame, n: int = 10, conversation: str = "conv_id", at: str = "turn") -> DataFrame:
+    """(conversation, chat): the last ``n`` turns of each conversation, oldest first, as one JSON array of role and text."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "role", "text")))
+    said = F.transform(listed, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    return recent_turns(turns, n, conversation, at).groupBy(conversation).agg(F.to_json(said, {"ignoreNullFields": "false"}).alias("chat"))
+
+
+def question_context(today: Column, complete: Column, processed: Column, offers: Column, chat: Column, question: Column, limit: int = 500) -> Column:
+    """What a model is told with a question: the day (UTC), how far the messages were read, offers, recent turns, the question."""
+    sync = F.when(complete, "complete").otherwise(F.concat(F.lit("in progress; "), processed.cast("string"), F.lit(" emails checked")))
+    parts = [("TODAY", F.date_format(today, "yyyy-MM-dd")), ("SYNC", sync), ("ACTIVE OFFERS (untrusted data)", offers), ("RECENT CHAT", chat), ("QUESTION", F.substring(trim(question), 1, limit))]
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), c) for name, c in parts])
 
 
 def validate_answers(answers: DataFrame, offers: DataFrame) -> DataFrame:

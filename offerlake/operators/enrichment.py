@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import strict_date
 from ..functions.text import normalize_code, trim
+from .sync import is_retryable
 
 BODY, CONDITIONS = 6000, 120
 OFFER = "code string, discount string, currency string, min_spend double, max_discount double, expiry string, single_use boolean, new_users_only boolean, app_only boolean, categories array<string>, conditions string"
@@ -25,6 +26,21 @@ def select_for_enrichment(gated: DataFrame) -> DataFrame:
     return gated.withColumn("enrich", F.col("should_extract") & (F.col("n_candidates") > 0)).withColumn("llm_processed", ~F.col("enrich"))
 
 
+def enrichment_fallback(offers: DataFrame, enriched: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Offers and processed state after the model ran, by its ``outcomes`` (message_id, error; null: success).
+
+    A success gives the message's ``enriched`` offers. A failure that waiting does not mend keeps the ``offers`` that need no
+    model, marked as seen by it, and the message counts as failed. A failure to be retried, or no outcome, leaves offers and
+    message (message_id, status, llm_processed) as they were. Offers have message_id besides their own columns.
+    """
+    kind = outcomes.select("message_id", F.when(F.col("error").isNull(), "done").when(is_retryable(F.col("error")), "later").otherwise("lost").alias("outcome"))
+    bare = offers.join(kind, "message_id", "left").filter(F.coalesce("outcome", F.lit("later")) != "done")
+    bare = bare.withColumn("llm_processed", F.col("llm_processed") | F.coalesce(F.col("outcome") == "lost", F.lit(False))).drop("outcome")
+    kept = bare.unionByName(enriched.join(kind.filter("outcome = 'done'").select("message_id"), "message_id", "left_semi"), allowMissingColumns=True)
+    states = kind.filter("outcome <> 'later'").select("message_id", F.when(F.col("outcome") == "lost", "failed").otherwise("candidates").alias("status"), F.lit(True).alias("llm_processed"))
+    return kept, states
+
+
 def build_prompts(messages: DataFrame, ranked: DataFrame, budget: int = BODY) -> DataFrame:
     """(message_id, prompt) of messages (sender, subject, internal_date, text, visible, ocr_text) with ranked candidates.
 

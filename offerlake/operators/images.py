@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from ..functions.values import FURNITURE
 
 MAX_IMAGES, MIN_WIDTH, MIN_HEIGHT = 25, 200, 100
 MIN_BYTES, MAX_BYTES = 6_000, 8_000_000
+MAX_PIXELS, ENLARGE, EMPTY = 4_000_000, 3.0, 128
 
 
 def _size(c: Column) -> Column:
@@ -39,6 +44,27 @@ def readable_bytes(size: Column) -> Column:
     return size.between(MIN_BYTES, MAX_BYTES)
 
 
+def base64_bytes(data: Column) -> Column:
+    """About how many bytes base64 text stands for."""
+    return F.floor(F.length(data) * 3 / 4).cast("bigint")
+
+
+def image_bytes_filter(images: DataFrame) -> DataFrame:
+    """Pictures (byte_size, data) whose bytes, as declared or by their base64 text, can hold words; unknown sizes stay."""
+    return images.filter(F.coalesce(readable_bytes(F.coalesce(F.col("byte_size"), base64_bytes(F.col("data")))), F.lit(True)))
+
+
+def inline_images(parts: DataFrame) -> DataFrame:
+    """Pictures among message parts, also below attachments: message_id, path, mime_type, attachment_id, data, byte_size.
+
+    They have data of their own or an attachment's id, no name of page furniture, and no declared size that is too small.
+    """
+    mime = F.lower(F.coalesce("mime_type", F.lit("")))
+    data, kept = F.nullif(F.col("body.data"), F.lit("")), F.nullif(F.col("body.attachmentId"), F.lit(""))
+    good = mime.startswith("image/") & (data.isNotNull() | kept.isNotNull()) & ~F.coalesce("filename", F.lit("")).rlike(FURNITURE) & F.coalesce(F.col("body.size") >= MIN_BYTES, F.lit(True))
+    return parts.filter(good).select("message_id", "path", mime.alias("mime_type"), kept.alias("attachment_id"), data.alias("data"), F.col("body.size").alias("byte_size"))
+
+
 def word_survives(text: Column, confidence: Column) -> Column:
     return confidence >= F.when(F.upper(text).rlike("[O0I1S5B8]"), 85).otherwise(70)
 
@@ -77,6 +103,16 @@ def otsu_threshold(pixels: DataFrame, group: str, level: str) -> DataFrame:
     return rows.groupBy(group).agg(F.when(F.max("variance") > 0, best).otherwise(F.lit(0)).alias("threshold"))
 
 
+def with_empty(thresholds: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Thresholds of all ``groups``: 128 where a group has no pixels."""
+    return groups.select(group).distinct().join(thresholds, group, "left").withColumn("threshold", F.coalesce("threshold", F.lit(EMPTY)))
+
+
+def binarize(level: Column, threshold: Column, light_on_dark: Column) -> Column:
+    """0 for ink, 255 for paper, whichever of them is dark."""
+    return F.when((level <= threshold) != light_on_dark, 0).otherwise(255)
+
+
 def polarity(pixels: DataFrame, thresholds: DataFrame, group: str, level: str) -> DataFrame:
     """(group, threshold, light_on_dark): more than half of the pixels at or under the threshold are a dark ground."""
     rows = pixels.select(group, F.col(level).cast("int").alias("level")).join(thresholds, group)
@@ -87,3 +123,66 @@ def luma(r: Column, g: Column, b: Column, alpha: Column) -> Column:
     """Luma of a pixel over white, rounded half to even at each step, as clamped bytes are."""
     over = lambda c: F.bround(c * (alpha / 255) + F.lit(255.0) * (1 - alpha / 255))
     return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.bround(over(r) * 0.299 + over(g) * 0.587 + over(b) * 0.114))).cast("bigint")
+
+
+def scale_factor(width: Column, height: Column, most: float = ENLARGE) -> Column:
+    """How much to enlarge a picture; less than 1 where it has too many pixels."""
+    pixels = width.cast("double") * height
+    return F.when(pixels <= 0, F.lit(most)).otherwise(F.least(F.lit(most), F.sqrt(F.lit(float(MAX_PIXELS)) / pixels)))
+
+
+def scaled(length: Column, factor: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(length * factor + 0.5)).cast("bigint")
+
+
+def resample_nearest(rgba: np.ndarray, factor: float) -> np.ndarray:
+    """Height x width x 4 bytes, each from the nearest pixel before it."""
+    if factor == 1:
+        return rgba
+    at = [np.minimum(n - 1, np.floor(np.arange(max(1, int(np.floor(n * factor + 0.5)))) / factor).astype(np.int64)) for n in rgba.shape[:2]]
+    return rgba[at[0][:, None], at[1][None, :]]
+
+
+def flatten_alpha(rgba: np.ndarray) -> np.ndarray:
+    alpha = rgba[..., 3:] / 255
+    return np.rint(rgba[..., :3] * alpha + 255 * (1 - alpha))
+
+
+def threshold_of(levels: np.ndarray) -> int:
+    """As ``otsu_threshold``, of one picture."""
+    n = np.bincount(levels.ravel(), minlength=256).astype(float)
+    if not n.sum():
+        return EMPTY
+    low, total = np.cumsum(n), np.cumsum(n * np.arange(256))
+    high = low[-1] - low
+    inside = (low > 0) & (high > 0)
+    mean = np.divide(total, low, out=np.zeros(256), where=low > 0) - np.divide(total[-1] - total, high, out=np.zeros(256), where=high > 0)
+    return int(np.argmax(np.where(inside, low * high * mean**2, 0)))
+
+
+def preprocess_images(images: DataFrame) -> DataFrame:
+    """Black words on white of pictures (image, height, width, pixels: rows of RGBA bytes): image, height, width, pixels
+    (a byte each), threshold, light_on_dark.
+
+    Shrinks before alpha is flattened onto white and enlarges after it, takes luma, the threshold and the polarity.
+    One picture is in memory at a time.
+    """
+    kind = images.schema["image"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                rgba = np.frombuffer(r.pixels, dtype=np.uint8).reshape(r.height, r.width, 4)
+                factor = min(ENLARGE, (MAX_PIXELS / (r.height * r.width)) ** 0.5) if r.height * r.width else ENLARGE
+                if factor < 1:
+                    rgb = flatten_alpha(resample_nearest(rgba, factor))
+                else:
+                    rgb = resample_nearest(flatten_alpha(rgba), factor)
+                gray = np.clip(np.rint(rgb @ np.array([0.299, 0.587, 0.114])), 0, 255).astype(np.int64)
+                threshold = threshold_of(gray)
+                dark = gray <= threshold
+                light_on_dark = bool(dark.sum() * 2 > dark.size)
+                ink = dark != light_on_dark
+                yield pd.DataFrame({"image": [r.image], "height": [gray.shape[0]], "width": [gray.shape[1]], "pixels": [np.where(ink, 0, 255).astype(np.uint8).tobytes()], "threshold": [threshold], "light_on_dark": [light_on_dark]})
+
+    return images.select("image", "height", "width", "pixels").mapInPandas(run, f"image {kind}, height int, width int, pixels binary, threshold int, light_on_dark boolean")

@@ -12,6 +12,8 @@ KEY = ["brand_key", "normalized_code"]
 #: Details whose null falls back to the older sighting.
 FALLBACK = ["discount", "currency", "min_spend", "max_discount", "expiry", "single_use"]
 EITHER = ["new_users_only", "app_only"]
+#: Fixed value: where the mail client shows a thread.
+THREADS = "https://mail.google.com/mail/u/0/#all/"
 
 
 def stored_source(source: Column) -> Column:
@@ -143,6 +145,11 @@ def offer_key(brand_key: Column, code: Column) -> Column:
     return F.to_json(F.array(brand_key, code))
 
 
+def thread_url(thread_id: Column, base: str = THREADS) -> Column:
+    """The address that opens the newest message that supports an offer."""
+    return F.concat(F.lit(base), thread_id.cast("string"))
+
+
 def lookup_offers(offers: DataFrame, brand: str | None = None, code: str | None = None, expires: tuple[str, str] | None = None, category: str | None = None) -> DataFrame:
     if brand is not None:
         offers = offers.filter(F.col("brand_key") == brand)

@@ -94,7 +94,7 @@ def m1_stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m2_gate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = messages(spark, sf_dir)
-    return M.gate_rate(C.gate(all_, C.find_candidates(all_)))
+    return M.gate_rate(C.scan_gate(all_))
 
 
 def m3_blocklist_mining(spark: SparkSession, sf_dir: str) -> DataFrame:

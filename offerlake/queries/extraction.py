@@ -94,7 +94,7 @@ def e8_ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e9_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = messages(spark, sf_dir)
-    return C.gate(all_, C.find_candidates(all_)).select("message_id", F.col("n_candidates").cast("bigint").alias("n_candidates"), "has_trigger", "should_extract")
+    return C.scan_gate(all_).select("message_id", F.col("n_candidates").cast("bigint").alias("n_candidates"), "has_trigger", "should_extract")
 
 
 _TOKENS = r"""

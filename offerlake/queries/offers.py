@@ -13,7 +13,7 @@ from ..operators import brand as B
 from ..operators import candidates as C
 from ..operators import offers as O
 from . import extraction as X
-from .adapters import MESSAGES_CTE, SIGHTINGS_CTE, messages, sightings, table
+from .adapters import MESSAGES_CTE, SIGHTINGS_CTE, messages, sightings, table, written
 
 TODAY = "2026-09-14"
 CODE = "CLICK"
@@ -70,7 +70,7 @@ def g6_purge_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g9_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _arrays(sightings(spark, sf_dir))
-    return O.lookup_offers(rows, code=CODE, expires=("2026-03-01", "2026-10-31"), category="c1").select("seq", "brand_key", "expiry")
+    return O.lookup_offers(rows, code=CODE, expires=("2026-02-01", "2026-10-31"), category="c1").select("seq", "brand_key", "expiry")
 
 
 def h2_expiry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active offers of each brand with their supporting messages: extraction, brands, merge and expiry."""
     rows = messages(spark, sf_dir)
     built = O.build_offers(B.brand_keys(rows.drop("source")), C.find_candidates(rows)).withColumn("seq", F.get("message_ids", F.lit(0)))
+    built = written(built)  # read by the merge and by the support, several times each
     merged = O.active_offers(O.merge_offers_by_date(built.drop("categories")), F.lit(TODAY).cast("date"))
     support = O.offer_sources(built).groupBy(*O.KEY).agg(F.count(F.lit(1)).alias("n_messages"))
     return merged.join(support, O.KEY).select("brand_key", "normalized_code", "code", "brand", "source", "needs_review", "source_date", "n_messages")
@@ -173,7 +174,7 @@ ORACLE_SQL = {
     "g4_offer_sources": f"WITH {_RUNS} SELECT brand_key, normalized_code, message_id, min(seq) AS first_seq FROM run_ GROUP BY ALL",
     "g5_drop_stale": f"WITH {SIGHTINGS_CTE} SELECT seq, brand_key, normalized_code FROM sightings WHERE extractor_version = 5 AND llm_processed",
     "g6_purge_expired": f"WITH {SIGHTINGS_CTE} SELECT seq, expiry FROM sightings WHERE expiry IS NULL OR CAST(expiry AS DATE) >= DATE '{TODAY}' - 30",
-    "g9_lookup": f"WITH {SIGHTINGS_CTE} SELECT seq, brand_key, expiry FROM sightings WHERE normalized_code = '{CODE}' AND expiry BETWEEN '2026-03-01' AND '2026-10-31' AND category = 'c1'",
+    "g9_lookup": f"WITH {SIGHTINGS_CTE} SELECT seq, brand_key, expiry FROM sightings WHERE normalized_code = '{CODE}' AND expiry BETWEEN '2026-02-01' AND '2026-10-31' AND category = 'c1'",
     "h2_expiry_state": f"""WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%Y-%m-') || '31' WHEN o_orderkey % 11 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS x FROM orders), t AS (SELECT o_orderkey, TRY_CAST(x AS DATE) AS d FROM e)
       SELECT o_orderkey, {_LEFT} AS days_left, CASE WHEN d IS NULL THEN 'unknown' WHEN {_LEFT} < 0 THEN 'expired' ELSE 'active' END AS kind,
       CASE WHEN d IS NULL THEN 'No expiry given' WHEN {_LEFT} = -1 THEN 'Expired yesterday' WHEN {_LEFT} < 0 THEN 'Expired ' || -{_LEFT} || ' days ago' WHEN {_LEFT} = 0 THEN 'Expires today' WHEN {_LEFT} = 1 THEN 'Expires tomorrow' ELSE {_LEFT} || ' days left' END AS said, coalesce({_LEFT} <= 1, false) AS urgent FROM t""",

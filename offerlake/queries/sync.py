@@ -16,13 +16,13 @@ from .adapters import MESSAGES_CTE, messages, table
 NOW = 1_704_000_000_000
 _PROCESSED = """SELECT event_id AS message_id, CASE WHEN event_id % 11 = 0 THEN 4 ELSE 5 END AS extractor_version,
   CASE event_id % 4 WHEN 0 THEN 'candidates' WHEN 1 THEN 'no-code' WHEN 2 THEN 'failed' ELSE 'ignored' END AS status,
-  event_id % 3 = 0 AS llm_processed, event_id % 5 AS n_candidates FROM {events} WHERE event_id % 2 = 0"""
+  event_id % 3 = 0 AS llm_processed, event_id % 5 AS n_candidates FROM {events}"""
 _FAILURES = """SELECT event_id, CASE event_id % 9 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 408 WHEN 4 THEN 404 WHEN 5 THEN 400 WHEN 6 THEN 400 WHEN 7 THEN 503 ELSE 422 END AS status,
   CASE event_id % 9 WHEN 5 THEN 'unknown Model x' WHEN 6 THEN 'remodel' ELSE props END AS body, event_id % 6 + 1 AS attempt,
   CASE event_id % 2 WHEN 0 THEN 'user_rate-limitExceeded' ELSE 'forbidden' END AS reason FROM {events}"""
-_LEDGER = "SELECT user_id AS message_id, cast(count(*) % 5 AS int) AS attempts, cast(max(event_id) AS bigint) AS next_at, count(*) % 7 = 0 AS terminal FROM {events} WHERE event_id % 3 = 0 GROUP BY user_id"
+_LEDGER = "SELECT user_id AS message_id, cast(count(*) % 5 AS int) AS attempts, cast(max(event_id) AS bigint) AS next_at, count(*) % 7 = 0 AS terminal FROM {events} GROUP BY user_id"
 _OUTCOMES = """SELECT user_id + 40 AS message_id, CASE user_id % 6 WHEN 0 THEN 'network' WHEN 1 THEN 'schema' WHEN 2 THEN 'rate-limit' WHEN 3 THEN 'server' WHEN 4 THEN 'refusal' END AS error,
-  CASE WHEN user_id % 4 = 0 THEN 90000 END AS retry_after_ms, 0.75 + cast(user_id % 3 AS double) * 0.25 AS jitter FROM {events} WHERE event_id % 5 = 0 GROUP BY user_id"""
+  CASE WHEN user_id % 4 = 0 THEN 90000 END AS retry_after_ms, 0.75 + cast(user_id % 3 AS double) * 0.25 AS jitter FROM {events} GROUP BY user_id"""
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -24,6 +24,11 @@ def read_messages(spark: SparkSession, path: str, multi_line: bool = False) -> D
     return spark.read.schema(MESSAGE).option("multiLine", multi_line).json(path)
 
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Saved responses of models: message_id, provider, status, headers, body (JSON text), one a line."""
+    return spark.read.schema("message_id string, provider string, status int, headers map<string,string>, body string").json(path)
+
+
 def header(headers: Column, name: str) -> Column:
     """The first header of a name, whatever its case; empty if there is none."""
     return F.coalesce(F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"], F.lit(""))
@@ -73,7 +78,7 @@ def decode_base64url(data: Column, charset: Column) -> Column:
 def message_parts(messages: DataFrame, max_depth: int = 8) -> DataFrame:
     """One row a part: message_id, path, mime_type, filename, headers, body, in_attachment (its own or from above).
 
-    Levels are read one after the other, without a shuffle. A path has a two-digit number a level and ends in ``~``,
+    Levels are read one after the other, without a shuffle. A path has a four-digit number a level and ends in ``~``,
     so that children sort before their parent. Deeper parts than ``max_depth`` raise an error.
     """
     level = messages.select(F.col("id").alias("message_id"), F.lit("").alias("prefix"), F.lit(False).alias("above"), F.from_json("payload", PART).alias("p")).filter("p is not null")
