@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,12 +14,13 @@ from .vec import LOWER, NOT_LETTER, Words, groups, text_buffer, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 6
-ITEMS = 4096  # benchmark items of one search: the bound of what is broadcast
+RADIUS = 3
+ITEMS, ITEM_BYTES = 4096, 8 << 20  # benchmark items of one search and their bytes: the bounds of what is broadcast
 GROUP_BYTES = 1 << 20
-#: Window sizes: an item is found by windows of the largest size that it has, and of the next smaller ones down to the
-#: first that fits the shortest stretch of it that reaches the threshold.
-SIZES = (5, 7, 10, 14, 20, 28, 40, 56, 80, 112, 160, 224)
+SHORTEST = 5  # words of an item
+#: Window sizes. An item has windows of the largest size that some stretch of it keeps whole in every text that
+#: is similar enough.
+SIZES = (1, 2, 3, 4, 5, 7, 10, 14, 20, 28)
 NOT_ALNUM = NOT_LETTER.copy()
 NOT_ALNUM[0x30:0x3A] = False
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -94,6 +96,38 @@ class Probe:
         return both // len(self.hashes), both % len(self.hashes)
 
 
+def breaking_cost(weight: np.ndarray, run: int) -> float:
+    """The least weight of shingles to lose so that no ``run`` of them in a row is left.
+
+    A changed, added or dropped word takes ``SHINGLE - 1`` shingles in a row at least, fewer at an end.
+    """
+    n, hurt = len(weight), SHINGLE - 1
+    if run > n:
+        return 0.0
+    sums = np.append(0.0, np.cumsum(weight)).tolist()
+    # cost[i]: the last loss ends before shingle i, and no run before it is too long; cost[0]: nothing is lost yet
+    cost = [0.0] * (n + 1)
+    ends: deque[int] = deque()  # where the loss before may end, the cheapest first
+    for i in range(1, n):
+        cost[i] = sums[i] if i <= hurt else cost[i - 1] + sums[i] - sums[i - 1]
+        start = i - hurt
+        if start >= 0:
+            while ends and cost[ends[-1]] >= cost[start]:
+                ends.pop()
+            ends.append(start)
+            while ends[0] <= start - run:
+                ends.popleft()
+            cost[i] = min(cost[i], cost[ends[0]] + sums[i] - sums[start])
+        if i > 1 and i <= hurt:
+            cost[i] = min(cost[i], cost[i - 1] + sums[i] - sums[i - 1])
+    best = sums[n]
+    for i in range(n):
+        for k in range(hurt + 1):  # shingles lost at the end
+            if i <= n - k < i + run:
+                best = min(best, cost[i] + sums[n] - sums[n - k])
+    return best
+
+
 @dataclass
 class Benchmark:
     ids: np.ndarray
@@ -101,10 +135,11 @@ class Benchmark:
     vocabulary: np.ndarray
     idf: np.ndarray
     top: float
+    parts: list[tuple[np.ndarray, float]] = field(default_factory=list)  # of each item: its shingles, sorted, and their weight
     probes: dict[int, Probe] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str], radius: int, frequency: dict[int, int] | None = None, threshold: float = SIMILARITY) -> Benchmark:
+    def build(cls, ids: list[int], texts: list[str], radius: int, frequency: dict[int, int] | None = None, threshold: float = SIMILARITY, shortest: int = SHORTEST) -> Benchmark:
         words = alnum_words(pa.array(texts, pa.string()))
         hashes = words.hashes()
         each = [hashes[a:b] for a, b in zip(words.first, words.first[1:], strict=False)]
@@ -115,18 +150,32 @@ class Benchmark:
         out = cls(np.array(ids, np.int64), each, vocabulary, idf, float(np.log(1 + docs) + 1))
         entries: dict[int, list] = {}
         for k, w in enumerate(each):
-            least = out.least_words(w, threshold)
-            for size in [s for s in SIZES[::-1] if s <= len(w)]:
-                all_ = simhashes(lane_sums(w), size)
-                # each stretch of so many of its words holds one of these windows whole
-                step = least - size + 1 if size <= least else len(w)
-                for shift in sorted({*range(0, len(w) - size, step), len(w) - size, 0}):
-                    entries.setdefault(size, []).append((int(all_[shift]), k, shift))
-                if size <= least:
-                    break
+            out.parts.append((np.sort(window_hashes(w, SHINGLE)), float(out.weights(w).sum()) if len(w) >= SHINGLE else 0.0))
+            if len(w) < max(1, shortest):
+                continue
+            size, step = out.window(w, threshold)
+            all_ = simhashes(lane_sums(w), size)
+            for shift in sorted({*range(0, len(w) - size, step), len(w) - size}):
+                entries.setdefault(size, []).append((int(all_[shift]), k, shift))
         out.probes = {s: Probe.of(e, radius) for s, e in entries.items()}
         return out
 
+    def window(self, words: np.ndarray, threshold: float) -> tuple[int, int]:
+        """The size of an item's windows and how far apart they start, so that every text that reaches the threshold has
+        one of them whole. An item of fewer than five words is one window."""
+        if len(words) < SHINGLE:
+            return len(words), 1
+        weight = self.weights(words)
+        bound = (1 - threshold) * weight.sum() * (1 + 1e-9)
+        # the longest run that cannot be broken everywhere: the longer it is, the less that costs
+        low, high = 1, len(weight)
+        while low < high:
+            run = (low + high + 1) // 2
+            low, high = (run, high) if breaking_cost(weight, run) > bound else (low, run - 1)
+        whole = low + SHINGLE - 1
+        size = max(s for s in SIZES if s <= whole)
+        return size, whole - size + 1
+
     def weights(self, words: np.ndarray) -> np.ndarray:
         """The weight of each shingle: the mean inverse document frequency of its words."""
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
@@ -134,16 +183,10 @@ class Benchmark:
         total = np.append(0.0, np.cumsum(idf))
         return (total[SHINGLE:] - total[:-SHINGLE]) / SHINGLE
 
-    def least_words(self, words: np.ndarray, threshold: float) -> int:
-        """No fewer words reach the threshold: their shingles would weigh too little even if all were the heaviest."""
-        if len(words) < SHINGLE:
-            return 0
-        heaviest = np.cumsum(np.sort(self.weights(words))[::-1])
-        enough = np.searchsorted(heaviest, heaviest[-1] * threshold * (1 - 1e-9)) + 1
-        return int(min(enough, len(heaviest))) + SHINGLE - 1
-
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
-        """Weighted Jaccard similarity of two word lists' shingles, counted."""
+        """Weighted Jaccard similarity of two word lists' shingles, counted; of fewer than five words, whether they are equal."""
+        if min(len(a), len(b)) < SHINGLE:
+            return float(len(a) == len(b) and bool((a == b).all()))
         both = np.concatenate([window_hashes(a, SHINGLE), window_hashes(b, SHINGLE)])
         weight = np.concatenate([self.weights(a), self.weights(b)])
         side = np.repeat([0, 1], [max(0, len(a) - SHINGLE + 1), max(0, len(b) - SHINGLE + 1)])
@@ -154,6 +197,39 @@ class Benchmark:
         w[k] = weight
         return float((n.min(1) @ w) / (n.max(1) @ w)) if len(value) else 0.0
 
+    def best_stretch(self, words: np.ndarray, item: int, at: int, threshold: float) -> tuple[float, int, int]:
+        """The stretch of ``words`` about ``at``, where the item would start, that is most like the item.
+
+        A stretch may be shorter or longer than the item, by no more than similar ones can be. The one with the best
+        ratio of common to all weight is compared exactly.
+        """
+        own = self.words[item]
+        if len(own) < SHINGLE:
+            return self.similarity(words[at : at + len(own)], own), at, at + len(own)
+        slack = int(len(own) * (1 / threshold - 1)) + SHINGLE
+        low, high = max(0, at - slack), min(len(words), at + len(own) + slack)
+        near = words[low:high]
+        if len(near) < SHINGLE:
+            return 0.0, low, high
+        shingle, (held, total) = window_hashes(near, SHINGLE), self.parts[item]
+        place = np.minimum(np.searchsorted(held, shingle), len(held) - 1)
+        common = held[place] == shingle
+        if not common.any():
+            return 0.0, low, high
+        weight = self.weights(near)
+        # the largest ratio of common to all weight, by the best sum of gains at the ratio so far until it stays
+        ratio, a, b = 0.0, 0, 0
+        while True:
+            gain = np.append(0.0, np.cumsum(np.where(common, weight, -ratio * weight)))
+            lowest = np.minimum.accumulate(gain)
+            end = int(np.argmax(gain - lowest))
+            start = int(np.argmin(gain[: end + 1]))
+            met, all_ = float(weight[start:end][common[start:end]].sum()), float(weight[start:end].sum())
+            if met / (total + all_ - met) <= ratio + 1e-12:
+                break
+            ratio, a, b = met / (total + all_ - met), start, end + SHINGLE - 1
+        return self.similarity(near[a:b], own), low + a, low + b
+
 
 def _word_frequencies(vocabulary: np.ndarray):
     """In how many documents each word of the benchmark occurs, summed in the task."""
@@ -197,16 +273,14 @@ def _search(benchmark, radius: int, threshold: float):
                     if not inside[w]:
                         continue
                     item, d = int(probe.item[e]), int(text[w])
-                    own = bench.words[item]
                     low, high = int(words.first[d]), int(words.first[d + 1])
-                    a = min(max(w - int(probe.shift[e]), low), max(low, high - len(own)))
-                    b = min(high, a + len(own))
-                    if (d, item, a) in compared:
+                    at = w - int(probe.shift[e]) - low
+                    if (d, item, at) in compared:
                         continue
-                    compared.add((d, item, a))
-                    s = bench.similarity(hashes[a:b], own)
+                    compared.add((d, item, at))
+                    s, a, b = bench.best_stretch(hashes[low:high], item, at, threshold)
                     if s >= threshold and s > best.get((d, item), (0.0,))[0]:
-                        best[d, item] = (s, a - low, b - 1 - low)
+                        best[d, item] = (s, a, b - 1)
             if best:
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[d], int(bench.ids[i]), *x) for (d, i), x in sorted(best.items())]
@@ -215,32 +289,36 @@ def _search(benchmark, radius: int, threshold: float):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = SIMILARITY, items: int = ITEMS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = SIMILARITY, items: int = ITEMS, shortest: int = SHORTEST) -> DataFrame:
     """Where whole texts of ``docs`` (doc_id, text) hold items of ``benchmark`` (item_id, text).
 
-    Every window of every text gets a SimHash of its words (letters and digits, lower case), for each window
-    size that items have. Multi-index Hamming blocks find all windows within ``radius`` of windows of an
-    item, which are laid so that any run of its words that can reach the threshold holds one; the item-sized stretch there is compared with the item by weighted Jaccard similarity
-    of five-word shingles, weighted by inverse document frequency over all of ``docs``. The benchmark is
-    searched in blocks of ``items`` items, each of which is broadcast.
+    Every window of every text gets a SimHash of its words (letters and digits, lower case), for each window size of
+    the items. An item's windows are of the largest size that stays whole somewhere in any text of similarity
+    ``threshold`` to it, and as dense as that takes: a single changed word in a window as long as the item would change
+    its hash beyond any useful radius. Multi-index Hamming blocks find all windows of texts within ``radius`` of an
+    item's. There the most similar stretch, which may be shorter or longer than the item, is compared
+    with the item by weighted Jaccard similarity of five-word shingles, weighted by inverse document frequency
+    over all of ``docs``. The benchmark is searched in blocks of at most ``items`` items, each of which is broadcast.
 
     Returns one row for each document and item of similarity ``threshold`` or more: doc_id, item_id,
-    similarity, first and last word of the best stretch. Items or texts of fewer than five words, empty and
-    null ones match nothing. Repeated rows each get their rows.
+    similarity, first and last word of the best stretch. Items of fewer than ``shortest`` words match nothing, as
+    any text holds them; with a lower bound those of fewer than five words match where all their words stand.
+    Empty and null ones match nothing. Repeated rows each get their rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    blocks = max(1, -(-wanted.count() // items))
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // items), -(-size["bytes"] // ITEM_BYTES))
     found = None
     for b in range(blocks):
         rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()
         ids, said = [r["item_id"] for r in rows], [r["text"] for r in rows]
-        bare = Benchmark.build(ids, said, radius, threshold=threshold)
+        bare = Benchmark.build(ids, said, radius, threshold=threshold, shortest=shortest)
         if not bare.probes:
             continue
         counts = texts.select("text").mapInArrow(_word_frequencies(bare.vocabulary), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
-        full = spark.sparkContext.broadcast(Benchmark.build(ids, said, radius, {r["k"]: r["n"] for r in counts}, threshold))
+        full = spark.sparkContext.broadcast(Benchmark.build(ids, said, radius, {r["k"]: r["n"] for r in counts}, threshold, shortest))
         hits = texts.mapInArrow(_search(full, radius, threshold), _HITS)
         found = hits if found is None else found.unionByName(hits)
     return spark.createDataFrame([], _HITS) if found is None else found

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlake.llm import fingerprints as fp
-from offerlake.llm.decontamination import Benchmark, alnum_words, find_contamination, hamming_blocks, lane_sums, simhashes
+from offerlake.llm.decontamination import SHINGLE, Benchmark, alnum_words, breaking_cost, find_contamination, hamming_blocks, lane_sums, simhashes
 from offerlake.llm.languages import identify_languages, viterbi
 from offerlake.llm.mixing import flight, land, mix_sources
 from offerlake.llm.near_duplicates import Idf, Sampler, document_frequencies, near_duplicates, shingles, weighted_jaccard
@@ -250,6 +250,66 @@ def test_decontamination(spark, docs, nothing):
     assert find_contamination(docs, bench).count() == 0
 
 
+def test_breaking_cost_is_the_least():
+    draw = np.random.default_rng(8)
+
+    def plain(weight, run):
+        n, best = len(weight), float("inf")
+        for lost in itertools.product((0, 1), repeat=n):
+            runs = [(k, len(list(g))) for k, g in itertools.groupby(lost)]
+            inner = [m for k, m in runs[1:-1] if k] if len(runs) > 1 else []
+            if all(m >= SHINGLE - 1 for m in inner) and all(m < run for k, m in runs if not k):
+                best = min(best, float(np.dot(lost, weight)))
+        return best
+
+    for n in (1, 3, 6, 9, 12):
+        for run in (1, 2, 3, 5, 8, 12):
+            weight = draw.integers(1, 9, n).astype(float)
+            assert breaking_cost(weight, run) == (plain(weight, run) if run <= n else 0.0)
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 11, 14, 18, 20, 24, 28, 40, 56, 90, 160, 400])
+def test_decontamination_recall(n):
+    """Texts with changed, added and dropped words, against comparing each stretch of theirs with the item."""
+    draw = random.Random(n)
+    common = [f"c{i}" for i in range(60)]
+    found = wanted = 0
+    for turn in range(30):
+        item = [draw.choice(common) if draw.random() < 0.4 else f"w{draw.randrange(3000)}" for _ in range(n)]
+        said = list(item)
+        for _ in range(draw.choice([1, 1, 2, max(1, n // 45), max(1, n // 25)])):
+            k = draw.choice([0, len(said) - 1, draw.randrange(len(said)), draw.randrange(len(said))])
+            said[k : k + draw.choice([0, 1, 1])] = draw.choice([[], [f"n{draw.randrange(99)}"], [draw.choice(common)]])
+        text = [draw.choice(common) for _ in range(30)] + said + [draw.choice(common) for _ in range(30)]
+        frequency = {k: 900 if w.startswith("c") else 3 for k, w in enumerate(item)}
+        words = alnum_words(pa.array([" ".join(item), " ".join(text)], pa.string()))
+        hashes = words.hashes()
+        own, doc = hashes[: words.first[1]], hashes[words.first[1] :]
+        vocabulary = np.unique(own)
+        by_hash = dict(zip(own.tolist(), item, strict=True))
+        frequency = {k: 900 if by_hash[h].startswith("c") else 3 for k, h in enumerate(vocabulary.tolist())} | {-1: 1000}
+        bench = Benchmark.build([1], [" ".join(item)], 3, frequency)
+        ends = range(max(0, 30 - n // 4), min(len(doc), 34 + n // 4)), range(max(SHINGLE, 30 + len(said) - n // 4 - 4), min(len(doc), 30 + len(said) + n // 4 + 4))
+        step = 1 if n < 60 else 3
+        reach = any(bench.similarity(doc[a:b], own) >= 0.8 for a in [*ends[0][::step], 30, 31] for b in [*ends[1][::step], 30 + len(said), 29 + len(said)] if b > a)
+        sums = lane_sums(doc)
+        got = False
+        for size, probe in bench.probes.items():
+            w, e = probe.search(simhashes(sums, size), 3)
+            got |= any(bench.best_stretch(doc, 0, int(x) - int(probe.shift[y]), 0.8)[0] >= 0.8 for x, y in zip(w, e, strict=True))
+        wanted += reach
+        found += reach and got
+        assert reach or not got or step > 1
+    assert found >= 0.98 * wanted and (wanted or n < 14)
+
+
+def test_decontamination_of_short_items(spark):
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "solo"), (3, "one two three four")], "item_id bigint, text string")
+    rows = spark.createDataFrame([(1, "x alpha, Beta y"), (2, "alpha x beta"), (3, "one two three"), (4, "one two three four"), (5, None), (6, "")], "doc_id bigint, text string")
+    assert find_contamination(rows, items).count() == 0
+    assert {(r.doc_id, r.item_id) for r in find_contamination(rows, items, shortest=2).collect()} == {(1, 1), (4, 3)}
+
+
 def test_simhash_lanes_and_blocks():
     h = np.random.default_rng(4).integers(0, 1 << 63, 40, dtype=np.uint64)
     got = simhashes(lane_sums(h), 9)
@@ -359,12 +419,12 @@ def test_decontamination_finds_items_whose_ends_are_left_out(spark):
     said = [" ".join(w) for w in words.values()]
     items = spark.createDataFrame(list(zip(words, said, strict=True)), "item_id bigint, text string")
     got = find_contamination(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), items).select("doc_id", "item_id").collect()
-    # by comparing all of them: each text is shorter than its item, so the stretch is all of it
+    # by comparing all of them: each text is a stretch of its item
     found = alnum_words(pa.array([r[1] for r in rows], pa.string()))
     hashes = found.hashes()
     each = [hashes[a:b] for a, b in zip(found.first, found.first[1:], strict=False)]
     seen = Counter(w for e in each for w in set(e.tolist()))
-    plain = Benchmark.build(list(words), said, 6)
-    full = Benchmark.build(list(words), said, 6, {k: seen[w] for k, w in enumerate(plain.vocabulary.tolist())} | {-1: len(rows)})
+    plain = Benchmark.build(list(words), said, 3)
+    full = Benchmark.build(list(words), said, 3, {k: seen[w] for k, w in enumerate(plain.vocabulary.tolist())} | {-1: len(rows)})
     want = {(d, n) for (d, _), e in zip(rows, each, strict=True) for n, own in zip(words, full.words, strict=True) if full.similarity(e, own) >= 0.8}
     assert {(r.doc_id, r.item_id) for r in got} == want and {(400_100, 40), (400_001, 40), (400_303, 40)} <= want
