@@ -37,6 +37,12 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def in_blocks(values: Column) -> Column:
+    """The array in blocks of about as many values as there are blocks; one empty block if it is empty."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / size) - 1, F.lit(0)).cast("int")), lambda k: F.slice(values, k * size + 1, size))
+
+
 def starts_of(lengths: Column) -> Column:
     """Where each of consecutive stretches of these lengths starts: the sums of the lengths before it, as bigint.
 
@@ -48,12 +54,8 @@ def starts_of(lengths: Column) -> Column:
         zero = F.struct(start.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
         return F.aggregate(values, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
-    def blocks(values: Column) -> Column:
-        size = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / size) - 1, F.lit(0)).cast("int")), lambda k: F.slice(values, k * size + 1, size))
-
     total = lambda block: F.aggregate(block, F.lit(0).cast("bigint"), lambda s, n: s + n)
-    return bound(lengths, lambda v: bound(blocks(v), lambda b: F.flatten(F.zip_with(b, fold(F.transform(b, total), F.lit(0)), fold))))
+    return bound(lengths, lambda v: bound(in_blocks(v), lambda b: F.flatten(F.zip_with(b, fold(F.transform(b, total), F.lit(0)), fold))))
 
 
 def match_offsets(text: Column, pattern: str | Column) -> Column:
