@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, match_offsets
+from ..functions.text import bound, in_blocks, match_offsets
 from .common import cut, stash
 
 SUPPORT = 1  # distinct texts that must hold an entity and a term together
@@ -136,18 +136,38 @@ def _share() -> Column:
 
 
 def _clean(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced; where spans overlap the first one gives the replacement."""
+    """The text with its spans replaced; where spans overlap the first one gives the replacement.
+
+    Spans go in blocks, each with its own stretch of the text, so that no string of the whole text grows span by span.
+    """
     label = lambda k: F.when(k == "removed", "").otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise((b["end"] - a["end"]).cast("int")))
+    zero = F.lit(0).cast("bigint")
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        said = F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), label(x["kind"]))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, said).otherwise(s["out"]).alias("out"))
+    def begins(blocks: Column) -> Column:
+        """How far the blocks before each reach."""
+        start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        reach = F.transform(blocks, lambda b: F.coalesce(F.array_max(F.transform(b, lambda x: x["end"])), zero))
+        return F.aggregate(reach, start, lambda s, n: F.struct(F.greatest(s["at"], n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: F.concat(s["out"], F.array(s["at"])))
 
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise((b["end"] - a["end"]).cast("int")))
-    folded = F.aggregate(ordered, zero, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(folded["out"], F.substring(text, (folded["at"] + 1).cast("int"), F.length(text))))
+    def replaced(block: Column, begin: Column, end: Column) -> Column:
+        def fold(part: Column) -> Column:
+            def step(s: Column, x: Column) -> Column:
+                said = F.concat(s["out"], F.substring(part, (s["at"] - begin + 1).cast("int"), (x["start"] - s["at"]).cast("int")), label(x["kind"]))
+                return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], said).otherwise(s["out"]).alias("out"))
+
+            return F.aggregate(block, F.struct(begin.alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+        return bound(F.substring(text, (begin + 1).cast("int"), (end - begin).cast("int")), fold)
+
+    def whole(blocks: Column) -> Column:
+        def joined(at: Column) -> Column:
+            parts = F.transform(blocks, lambda b, i: replaced(b, at[i], at[i + 1]))
+            return F.concat(F.array_join(parts, ""), F.substring(text, (F.element_at(at, -1) + 1).cast("int"), F.length(text)))
+
+        return bound(begins(blocks), joined)
+
+    return F.when(F.size(spans) == 0, text).otherwise(bound(in_blocks(ordered), whole))
 
 
 def personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

@@ -17,6 +17,7 @@ from offerlake.llm.languages import identify_languages, viterbi
 from offerlake.llm.mixing import flight, land, mix_sources
 from offerlake.llm.near_duplicates import Idf, Sampler, document_frequencies, near_duplicates, shingles, weighted_jaccard
 from offerlake.llm.pages import main_text
+from offerlake.llm.personal_data import _clean as clean_text
 from offerlake.llm.personal_data import digest, personal_data
 from offerlake.llm.substrings import substring_dedup
 from offerlake.llm.tokens import count_tokens, is_stable, vocabulary_path
@@ -250,6 +251,24 @@ def test_decontamination(spark, docs, nothing):
     assert find_contamination(docs, bench).count() == 0
 
 
+def test_clean_replaces_spans_as_a_plain_walk_does(spark):
+    draw = random.Random(11)
+    rows = []
+    for i in range(120):
+        n = draw.choice([0, 1, 2, 5, 60])
+        text = "".join(draw.choice("abcé\U0001f600 ") for _ in range(draw.choice([9, 80, 700])))
+        spans = sorted({(a := draw.randrange(len(text)), min(len(text), a + draw.randrange(1, 9))) for _ in range(n)}, key=lambda x: draw.random())
+        rows.append((i, text, [(draw.choice(["email", "removed", "term"]), a, b) for a, b in spans]))
+    got = {r.doc_id: r.clean for r in spark.createDataFrame(rows, "doc_id bigint, text string, spans array<struct<kind:string,start:bigint,end:bigint>>").select("doc_id", clean_text(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    for i, text, spans in rows:
+        at, out = 0, ""
+        for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2])):
+            if a >= at:
+                out += text[at:a] + ("" if kind == "removed" else f"[{kind.upper()}]")
+            at = max(at, b)
+        assert got[i] == out + text[at:]
+
+
 def test_breaking_cost_is_the_least():
     draw = np.random.default_rng(8)
 
