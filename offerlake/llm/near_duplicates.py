@@ -378,4 +378,6 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     second = connected(joined.distinct()).toDF("component", "now")
     classes = sketch.select("doc_id", "key").join(first, "key", "left").withColumn("component", F.coalesce("component", "key"))
     classes = cut(classes.join(second, "component", "left").select("doc_id", F.coalesce("now", "component").alias("component")))
-    return classes.join(classes.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("doc_id", "class_id")
+    # as a table, so that the join can split a component of very many rows
+    least_ids = cut(classes.groupBy("component").agg(F.min("doc_id").alias("class_id")))
+    return classes.join(least_ids, "component").select("doc_id", "class_id")
