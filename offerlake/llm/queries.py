@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import find_contamination
@@ -32,11 +33,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    """Evidence is the voting examples, the nearest first: id, similarity and label of each."""
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    said = F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["doc_id"], F.round(x["similarity"], 4), x["toxic"])), ",")
+    return found.select("doc_id", "held_out", "score", "predicted", said.alias("evidence"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_versions(table(spark, sf_dir, "documents")).drop("differ_edited", "differ_next")
+    return fingerprint_versions(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    """Spans are languages with their first and last word."""
+    said = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["lang"], x["first"], x["last"])), ",")
+    return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", said.alias("spans"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

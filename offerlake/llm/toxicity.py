@@ -9,73 +9,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
 from .vec import Words, groups, range_hashes
 
-MAX_EXAMPLES = 3000  # labelled rows of each class that the index is fitted on
-MAX_FEATURES = 1024
+MAX_EXAMPLES = 1000  # labelled rows of each class that the index is fitted on
 PREFIXES = (4, 5, 6, 7)
+TELLING = 30.0  # chi-square from which on a word has its full weight, and a word beginning is a feature
+LEAST_WEIGHT = 0.1  # of its full weight, for a word that tells nothing
 BLOCK = 64
 NEIGHBOURS = 15
+OPENED = 4  # blocks that are opened at once
 GROUP_BYTES = 4 << 20
 _SCORED = "doc_id bigint, score double, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
 
-def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, count) of each text: its words in lower case, and their first 4 to 7 bytes.
+@dataclass
+class Features:
+    """The words of the examples and the telling word beginnings among them, sorted; numbers run through both."""
 
-    With ``wanted`` (sorted) only those features, as their numbers in it.
-    """
+    words: np.ndarray
+    beginnings: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.beginnings)
+
+
+def _hits(value: np.ndarray, text: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(wanted):
+        return np.zeros(0, np.int64), text[:0]
+    at = np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)
+    hit = wanted[at] == value
+    return at[hit], text[hit]
+
+
+def _counted(value: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((value, text))
+    value, text = value[order], text[order]
+    heads = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))) if len(value) else np.zeros(0, np.int64)
+    return text[heads], value[heads], np.diff(np.append(heads, len(value)))
+
+
+def _words_and_beginnings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     words = Words.letters(column)
     text = words.text_of_word()
     length = words.end - words.start
-    values, texts = [words.hashes()], [text]
+    values, texts = [], []
     for n in PREFIXES:
         longer = np.flatnonzero(length > n)
         values.append(range_hashes(words.raw, words.start[longer], words.start[longer] + n))
         texts.append(text[longer])
-    value, text = np.concatenate(values), np.concatenate(texts)
-    if wanted is not None:
-        at = np.minimum(np.searchsorted(wanted, value), max(len(wanted) - 1, 0))
-        hit = wanted[at] == value if len(wanted) else np.zeros(len(value), bool)
-        value, text = at[hit].astype(np.uint64), text[hit]
-    order = np.lexsort((value, text))
-    value, text = value[order], text[order]
-    heads = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))) if len(value) else np.zeros(0, np.int64)
-    return text[heads], value[heads], np.diff(np.append(heads, len(value)))
+    return words.hashes(), text, np.concatenate(values), np.concatenate(texts)
+
+
+def features(column: pa.Array, wanted: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, count) of each text: its words in lower case, and their first 4 to 7 bytes, as far as wanted."""
+    value, text, begin, begin_text = _words_and_beginnings(column)
+    a, at = _hits(value, text, wanted.words)
+    b, bt = _hits(begin, begin_text, wanted.beginnings)
+    return _counted(np.append(a, b + len(wanted.words)), np.append(at, bt))
 
 
 def _class_counts(batches):
+    """In how many texts of each class words and beginnings are."""
     for batch in groups(batches, "text", GROUP_BYTES):
         toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        text, value, _ = features(batch.column(1))
-        order = np.argsort(value, kind="stable")
-        value, label = value[order], toxic[text[order]]
-        if not len(value):
-            continue
-        heads = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        n = np.diff(np.append(heads, len(value)))
-        yield pa.RecordBatch.from_arrays([pa.array(value[heads].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(label, heads))], names=["feature", "n", "n_toxic"])
-
-
-def _frequencies(wanted: np.ndarray):
+        value, text, begin, begin_text = _words_and_beginnings(batch.column(1))
+        for whole, v, t in ((True, value, text), (False, begin, begin_text)):
+            t, v, _ = _counted(v, t)
+            order = np.argsort(v, kind="stable")
+            v, label = v[order], toxic[t[order]]
+            if not len(v):
+                continue
+            heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            n = np.diff(np.append(heads, len(v)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), whole)), pa.array(v[heads].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(label, heads))], names=["whole", "feature", "n", "n_toxic"])
+
+
+def _frequencies(wanted):
     """Document frequencies of the wanted features, summed in the task."""
 
     def run(batches):
-        total, n = np.zeros(len(wanted), dtype=np.int64), 0
+        total, n = np.zeros(len(wanted.value), dtype=np.int64), 0
         for batch in groups(batches, "text", GROUP_BYTES):
-            _, value, _ = features(batch.column(0), wanted)
-            total += np.bincount(value.astype(np.int64), minlength=len(wanted))
+            _, value, _ = features(batch.column(0), wanted.value)
+            total += np.bincount(value.astype(np.int64), minlength=len(wanted.value))
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(total), -1).astype(np.int32)), pa.array(np.append(total[total > 0], n))], names=["k", "n"])
 
     return run
 
 
-def _vectors(wanted: np.ndarray):
+def _vectors(wanted):
     def run(batches):
         for batch in groups(batches, "text", GROUP_BYTES):
-            text, value, count = features(batch.column(2), wanted)
+            text, value, count = features(batch.column(2), wanted.value)
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (value, count)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "k", "n"])
@@ -84,7 +112,7 @@ def _vectors(wanted: np.ndarray):
 
 
 def _weights(value: np.ndarray, count: np.ndarray, text: np.ndarray, idf: np.ndarray, texts: int) -> np.ndarray:
-    """L2-normalised TF-IDF weights."""
+    """L2-normalised TF-IDF weights; ``idf`` has how telling a feature is as a factor."""
     w = (1 + np.log(count)) * idf[value]
     norm = np.sqrt(np.bincount(text, w * w, minlength=texts))
     return w / norm[text]
@@ -98,11 +126,13 @@ class BlockMaxIndex:
     similarity of every example of a block, so that blocks below the k-th best so far are never opened.
     """
 
-    wanted: np.ndarray
+    wanted: Features
     idf: np.ndarray
     doc_id: np.ndarray
     toxic: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each feature: examples, weights, where each block starts
+    example: np.ndarray  # of all lists, feature by feature
+    weight: np.ndarray
+    start: np.ndarray  # features x (blocks + 1): where each block starts in the lists
     top: np.ndarray
     worth: np.ndarray  # of each example: how many labelled rows of its class it stands for
     prior: float
@@ -117,24 +147,22 @@ class BlockMaxIndex:
         prior = float((worth @ toxic + 0.5) / (worth.sum() + 2.0))
         silent = float(((worth * toxic)[~seen].sum() + 2 * prior) / (worth[~seen].sum() + 2.0))
         # examples that share their heaviest feature are neighbours: their blocks have tight bounds
-        lead = np.full(len(doc_id), len(wanted))
+        lead = np.full(len(doc_id), len(idf))
         best = np.lexsort((value, -weight, text))
         firsts = np.flatnonzero(np.append(True, np.diff(text[best]) != 0)) if len(best) else best
         lead[text[best[firsts]]] = value[best[firsts]]
-        order = np.lexsort((doc_id, lead))[: int(seen.sum())]
+        order = np.lexsort((doc_id, lead, ~seen))[: int(seen.sum())]
         place = np.full(len(doc_id), -1)
         place[order] = np.arange(len(order))
         blocks = max(1, -(-len(order) // BLOCK))
         at = place[text]
         turn = np.lexsort((at, value))
         value, at, weight = value[turn], at[turn], weight[turn]
-        cuts = np.searchsorted(value, np.arange(len(wanted) + 1))
-        lists, top = [], np.zeros((len(wanted), blocks))
-        for f in range(len(wanted)):
-            ids, w = at[cuts[f] : cuts[f + 1]], weight[cuts[f] : cuts[f + 1]]
-            lists.append((ids, w, np.searchsorted(ids, np.arange(blocks + 1) * BLOCK)))
-            np.maximum.at(top[f], ids // BLOCK, w)
-        index = cls(wanted, idf, doc_id[order], toxic[order], lists, top, worth[order], prior, silent)
+        cell = value * blocks + at // BLOCK
+        start = np.searchsorted(cell, np.arange(len(idf))[:, None] * blocks + np.arange(blocks + 1)).astype(np.int32)
+        top = np.zeros((len(idf), blocks), dtype=np.float32)
+        np.maximum.at(top.ravel(), cell, np.nextafter(weight.astype(np.float32), np.float32(2)))
+        index = cls(wanted, idf, doc_id[order], toxic[order], at.astype(np.int32), weight, start, top, worth[order], prior, silent)
         # every example as a query that does not see itself: how often such votes were right
         turn = np.lexsort((value, at))
         value, at, weight = value[turn], at[turn], weight[turn]
@@ -146,17 +174,22 @@ class BlockMaxIndex:
 
     def nearest(self, f: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine with the query and their similarities, exactly."""
-        bound = q @ self.top[f]
+        bound = q @ self.top[f].astype(np.float64)
+        turn = np.lexsort((np.arange(len(bound)), -bound))
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.lexsort((np.arange(len(bound)), -bound)).tolist():
-            if bound[b] <= 0 or (len(sims) == k and sims[-1] >= bound[b] - 1e-12):
+        for first in range(0, len(turn), OPENED):
+            blocks = turn[first : first + OPENED]
+            if bound[blocks[0]] <= 0 or (len(sims) == k and sims[-1] >= bound[blocks[0]] - 1e-12):
                 break
-            score = np.zeros(BLOCK)
-            for t, x in zip(f.tolist(), q.tolist(), strict=True):
-                example, weight, start = self.lists[t]
-                score[example[start[b] : start[b + 1]] - b * BLOCK] += x * weight[start[b] : start[b + 1]]
+            a, b = self.start[f][:, blocks], self.start[f][:, blocks + 1]
+            n = (b - a).ravel()
+            total = int(n.sum())
+            if not total:
+                continue
+            place = np.repeat(a.ravel() - (np.cumsum(n) - n), n) + np.arange(total)
+            score = np.bincount(self.example[place], np.repeat(np.repeat(q, len(blocks)), n) * self.weight[place], minlength=len(self.doc_id))
             hit = np.flatnonzero(score > 0)
-            ids, sims = np.append(ids, hit + b * BLOCK), np.append(sims, score[hit])
+            ids, sims = np.append(ids, hit), np.append(sims, score[hit])
             best = np.lexsort((ids, -sims))[:k]
             ids, sims = ids[best], sims[best]
         return ids, sims
@@ -211,12 +244,12 @@ def _score(index, k: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> BlockMaxIndex:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> BlockMaxIndex:
     """An index over at most ``max_examples`` labelled rows of each class, chosen by a hash of their ids.
 
-    Features are the words and word beginnings that tell the classes of those examples apart (chi-square with
-    a Bonferroni bound); all other words would only add noise to the cosine. Their document frequencies come
-    from all of ``docs``.
+    Features are all words of those examples, and those beginnings of words that tell the classes apart (chi-square
+    with a Bonferroni bound). A word's weight rises with its chi-square to that bound: words that tell nothing would
+    otherwise drown the others in the cosine. Document frequencies come from all of ``docs``.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
@@ -226,23 +259,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     chosen = [known.filter(F.col("toxic") == y).orderBy(turn, "doc_id").limit(max_examples) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most 2 * max_examples ids
-    sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "toxic", "text")
-    counts = sample.select("toxic", "text").mapInArrow(_class_counts, "feature bigint, n bigint, n_toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    sample = stash(texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "toxic", "text"))
+    counts = sample.select("toxic", "text").mapInArrow(_class_counts, "whole boolean, feature bigint, n bigint, n_toxic bigint").groupBy("whole", "feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     rates = tuple(there.get(y, 0) / min(max_examples, max(1, there.get(y, 0))) for y in (0, 1))
     a, b = F.col("n_toxic"), F.col("n") - F.col("n_toxic")
     c, d = F.lit(pos) - a, F.lit(neg) - b
-    chi = (a * d - b * c) * (a * d - b * c) * float(pos + neg) / F.greatest(F.lit(1.0), F.col("n").cast("double") * (c + d) * float(max(pos, 1)) * float(max(neg, 1)))
     # 2 ln(features) + 6: what the best of so many unrelated features reaches by chance, and a margin
-    best = counts.filter("n >= 3").withColumn("chi", chi).filter(F.col("chi") > 30).orderBy(F.desc("chi"), "feature").limit(max_features).select("feature").collect()
-    wanted = np.sort(np.array([r["feature"] for r in best], dtype=np.int64).view(np.uint64))
-    found = {r["k"]: r["n"] for r in texts.select("text").mapInArrow(_frequencies(wanted), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([found.get(k, 0) for k in range(len(wanted))], dtype=float)
-    idf = np.log((1 + found.get(-1, 0)) / (1 + df)) + 1
-    rows = sample.mapInArrow(_vectors(wanted), "doc_id bigint, toxic int, k array<int>, n array<int>").orderBy("doc_id").collect()
+    chi = (a * d - b * c) * (a * d - b * c) * float(pos + neg) / F.greatest(F.lit(1.0), F.col("n").cast("double") * (c + d) * float(max(pos, 1)) * float(max(neg, 1)))
+    found = counts.select("whole", "feature", F.when(F.col("n") >= 3, chi).otherwise(0.0).alias("chi")).filter(F.col("whole") | (F.col("chi") > TELLING)).toPandas()
+    parts = [found[found.whole], found[~found.whole.astype(bool)]]
+    values = [np.asarray(x.feature, dtype=np.int64).view(np.uint64) for x in parts]
+    orders = [np.argsort(v) for v in values]
+    wanted = Features(*[v[o] for v, o in zip(values, orders, strict=True)])
+    telling = np.concatenate([np.clip(np.asarray(x.chi, dtype=float)[o] / TELLING, LEAST_WEIGHT, 1.0) for x, o in zip(parts, orders, strict=True)])
+    shared = spark.sparkContext.broadcast(wanted)
+    seen = texts.select("text").mapInArrow(_frequencies(shared), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(len(wanted))
+    of = seen[seen.k >= 0]
+    df[of.k.to_numpy()] = of.n.to_numpy()
+    idf = telling * (np.log((1 + seen.n[seen.k < 0].sum()) / (1 + df)) + 1)
+    rows = sample.mapInArrow(_vectors(shared), "doc_id bigint, toxic int, k array<int>, n array<int>").orderBy("doc_id").collect()
     text = np.repeat(np.arange(len(rows)), [len(r["k"]) for r in rows]) if rows else np.zeros(0, np.int64)
-    value, count = (np.array([x for r in rows for x in r[c]], dtype=np.int64) for c in ("k", "n"))
+    value, count = (np.concatenate([np.asarray(r[c], dtype=np.int64) for r in rows] or [np.zeros(0, np.int64)]) for c in ("k", "n"))
     return BlockMaxIndex.build(wanted, idf, np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), text, value, count, rates)
 
 
@@ -250,9 +290,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBO
     """How likely each whole text of ``docs`` (doc_id, text) is toxic, as ``labels`` (doc_id, toxic) mark it.
 
     Labels are learnt only where crc32 of the id is not 0 modulo 5. A text's vector has the TF-IDF weights
-    of the telling features; its ``neighbours`` nearest examples by exact cosine vote, weighted by similarity
+    of all words that the examples have, telling ones the most; its ``neighbours`` nearest examples by exact cosine vote, weighted by similarity
     and by how many labelled rows of their class they stand for, tempered by the class prior; the share is then
-    calibrated on the examples' own leave-one-out votes. A text without any telling feature (also an empty or null one) gets
+    calibrated on the examples' own leave-one-out votes. A text without any of those words (also an empty or null one) gets
     the share of toxic examples among such. Without labels all scores are the prior, 0.25.
 
     Returns doc_id, held_out, score, predicted, evidence (the voting examples) and the bigint column ``key``, if

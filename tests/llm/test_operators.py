@@ -209,8 +209,10 @@ def test_block_max_search_is_exact():
     order = np.lexsort((value, text))
     index = BlockMaxIndex.build(np.arange(40).astype(np.uint64), draw.random(40) + 0.5, np.arange(500), draw.integers(0, 2, 500), text[order], value[order], draw.integers(1, 4, 3000))
     dense = np.zeros((len(index.doc_id), 40))
-    for f, (ids, w, _) in enumerate(index.lists):
-        dense[ids, f] = w
+    for f in range(40):
+        part = slice(index.start[f, 0], index.start[f, -1])
+        dense[index.example[part], f] = index.weight[part]
+    assert np.allclose((dense**2).sum(1), 1)
     for _ in range(30):
         f = np.sort(draw.choice(40, 5, replace=False))
         q = draw.random(5)
