@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from .text import collapse, trim
 from .values import ENTITIES
 
+# The patterns of this module, what results depend on.
 _REFERENCE = re.compile(r"&(#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);", re.I)
 
 

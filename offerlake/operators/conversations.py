@@ -19,7 +19,7 @@ def offer_rows(offers: DataFrame, fields: list[str], mailbox: str | None = None)
     return rows.withColumn("json", F.to_json(F.struct("offer_id", *fields)))
 
 
-#: The fields of an offer that a question may draw on, in this order.
+#: The fields of an offer that a question may draw on, in this order.
 FIELDS = ["brand", "code", "discount", "currency", "min_spend", "max_discount", "expiry", "new_users_only", "app_only", "categories", "conditions", "needs_review"]
 
 
@@ -56,6 +56,7 @@ def chat_json(turns: DataFrame, n: int = 10, conversation: str = "conv_id", at:
 def question_context(today: Column, complete: Column, processed: Column, offers: Column, chat: Column, question: Column, limit: int = 500) -> Column:
     """What a model is told with a question: the day (UTC), how far the messages were read, offers, recent turns, the question."""
     sync = F.when(complete, "complete").otherwise(F.concat(F.lit("in progress; "), processed.cast("string"), F.lit(" emails checked")))
+    # The labels of the prompt's lines.
     parts = [("TODAY", F.date_format(today, "yyyy-MM-dd")), ("SYNC", sync), ("ACTIVE OFFERS (untrusted data)", offers), ("RECENT CHAT", chat), ("QUESTION", F.substring(trim(question), 1, limit))]
     return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), c) for name, c in parts])
 

@@ -54,6 +54,7 @@ def build_prompts(messages: DataFrame, ranked: DataFrame, budget: int = BODY) ->
     rows = messages.withColumn("surfaces", surfaces).withColumn("share", share).join(codes, "message_id")
     body = F.array_join(F.transform("surfaces", lambda s: F.substring(s, F.lit(1), F.col("share"))), "\n\n")
     day = F.date_format(F.timestamp_millis("internal_date"), "yyyy-MM-dd")
+    # The labels of the prompt's lines.
     lines = [F.concat(F.lit("EMAIL DATE: "), day), F.concat(F.lit("SENDER: "), "sender"), F.concat(F.lit("SUBJECT: "), "subject"), F.concat(F.lit("CANDIDATE CODES: "), "codes"), F.lit(""), F.lit("EMAIL TEXT (untrusted data):"), body]
     return rows.select("message_id", F.concat_ws("\n", *lines).alias("prompt"))
 

@@ -53,7 +53,7 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = n % 3 != 0
     rich = part("text/html", headers=head(Content_Type="text/html; charset=utf-8"), data=F.when(there, _base64url(_html(text))), kept=F.when(~there, F.concat(F.lit("att-"), n.cast("string"))), size=F.length(text))
     picture = part("Image/PNG", name=F.concat(F.when(n % 4 == 0, "Logo").otherwise("banner"), F.lit(".png")), kept=F.lit("pic"), size=F.when(n % 5 > 0, F.col("n_chars") * 9))
-    inner = listed(js(part("text/plain", data=_base64url(F.lit("Use code DECOY99 now")))), js(part("image/gif", name="shot.gif", data=_base64url(text), size=F.col("n_chars") * 5)))
+    inner = listed(js(part("text/plain", data=_base64url(F.lit("enter code BOWL13 by noon")))), js(part("image/gif", name="shot.gif", data=_base64url(text), size=F.col("n_chars") * 5)))
     forwarded = nest(part("message/rfc822", name=F.when(n % 2 == 0, "mail.eml").otherwise(""), headers=F.when(n % 2 == 1, head(content_disposition="Attachment; x=1")).otherwise(head())), inner)
     top = part("multipart/mixed", headers=head(SUBJECT=F.concat(F.lit("News "), n.cast("string")), From=F.concat(F.lit("Shop <a@Mail.src"), (n % 9).cast("string"), F.lit(".co.uk>"))))
     payload = nest(top, listed(nest(part("multipart/alternative"), listed(js(plain), js(rich))), js(picture), forwarded))
@@ -255,7 +255,7 @@ def e11_regate_with_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     pictures say, if they have any."""
     n = F.col("doc_id")
     rows = table(spark, sf_dir, "documents").select(n.alias("message_id"), F.lit("").alias("subject"), F.when(n % 2 == 0, F.concat(F.lit("use code TEXT"), (n % 9).cast("string"))).otherwise("").alias("text"), F.lit("").alias("html"))
-    ocr = rows.filter(n_(3) != 0).select("message_id", F.concat(F.lit("Use code PIC"), (F.col("message_id") % 70).cast("string"), F.lit("Q")).alias("ocr_text"))
+    ocr = rows.filter(n_(3) != 0).select("message_id", F.concat(F.lit("with code PIC"), (F.col("message_id") % 70).cast("string"), F.lit("Q")).alias("ocr_text"))
     images = rows.filter(n_(4) != 1).select("message_id")
     return C.regate_with_ocr(rows, C.find_candidates(rows), ocr, images).select("message_id", "normalized", "source")
 

@@ -15,7 +15,7 @@ SCHEMA = "message_id long, thread_id long, label string, sender string, subject
 
 
 def mails(spark, ids):
-    rows = [(i, i, "CATEGORY_PROMOTIONS" if i % 5 else "OTHER", f"Shop <a@mail.shop{i % 3}.co.uk>", "News", "Use code SAVE20 now", f'<a href="https://s.example/?coupon=CODE{i % 4}X">x</a>', NOW - i * 1000) for i in ids]
+    rows = [(i, i, "CATEGORY_PROMOTIONS" if i % 5 else "OTHER", f"Shop <a@mail.shop{i % 3}.co.uk>", "News", "enter code SPOON64 now", f'<a href="https://s.example/?coupon=CODE{i % 4}X">x</a>', NOW - i * 1000) for i in ids]
     return spark.createDataFrame(rows, SCHEMA)
 
 
