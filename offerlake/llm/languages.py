@@ -25,9 +25,22 @@ SCRIPTS = {
     "arabic": [(0x600, 0x6FF), (0x750, 0x77F)],
     "devanagari": [(0x900, 0x97F)],
     "bengali": [(0x980, 0x9FF)],
+    "gurmukhi": [(0xA00, 0xA7F)],
+    "gujarati": [(0xA80, 0xAFF)],
+    "oriya": [(0xB00, 0xB7F)],
     "tamil": [(0xB80, 0xBFF)],
+    "telugu": [(0xC00, 0xC7F)],
+    "kannada": [(0xC80, 0xCFF)],
+    "malayalam": [(0xD00, 0xD7F)],
+    "sinhala": [(0xD80, 0xDFF)],
     "thai": [(0xE00, 0xE7F)],
+    "lao": [(0xE80, 0xEFF)],
+    "tibetan": [(0xF00, 0xFFF)],
+    "burmese": [(0x1000, 0x107F)],
     "georgian": [(0x10A0, 0x10FF)],
+    "ethiopic": [(0x1200, 0x137F)],
+    "khmer": [(0x1780, 0x17FF)],
+    "mongolian": [(0x1800, 0x18AF)],
     "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
     "kana": [(0x3040, 0x30FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],

@@ -109,12 +109,25 @@ def _chunk_task(path: str):
     return run
 
 
+_PIECE = "doc bigint, part int, parts int, base bigint, overlap int, piece string"
+
+
 def _chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """Chunk ``p`` covers ``[p * chunk, (p + 1) * chunk + overlap)``; the last one goes to the end."""
-    parts = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / F.lit(chunk)).cast("int"))
-    pieces = texts.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    base = F.col("part").cast("bigint") * chunk
-    return pieces.select("doc", "part", "parts", base.alias("base"), F.lit(overlap).alias("overlap"), F.expr(f"substring(text, cast(part * {chunk} + 1 as int), {chunk + overlap})").alias("piece"))
+    """Chunk ``p`` covers ``[p * chunk, (p + 1) * chunk + overlap)``; the last one goes to the end.
+
+    A task walks its texts once, and has one of them with one chunk of it at a time.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                said = text.as_py()
+                parts = max(1, -(-(len(said) - overlap) // chunk))
+                for p in range(parts):
+                    piece = said[p * chunk : (p + 1) * chunk + overlap]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([p], pa.int32()), pa.array([parts], pa.int32()), pa.array([p * chunk], pa.int64()), pa.array([overlap], pa.int32()), pa.array([piece], pa.string())], names=["doc", "part", "parts", "base", "overlap", "piece"])
+
+    return texts.select("doc", "text").mapInArrow(run, _PIECE)
 
 
 def _splice(chunks: DataFrame) -> DataFrame:
