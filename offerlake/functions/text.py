@@ -71,14 +71,17 @@ def match_offsets(text: Column, pattern: str | Column) -> Column:
     return bound(F.filter(both, lambda x: x["match"].isNotNull()), placed)
 
 
-def phrase_ends(text: Column, phrase: str) -> Column:
-    """Where each occurrence of a phrase ends; occurrences do not overlap."""
-    pieces = F.transform(F.split(text, "\\Q" + phrase + "\\E", -1), lambda p: F.length(p) + len(phrase))
-    return bound(pieces, lambda v: F.transform(F.slice(starts_of(v), 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda at: at.cast("int")))
-
-
 def trigger_offsets(text: Column, phrases: list[str] = TRIGGER_PHRASES) -> Column:
-    """End offsets of all trigger phrases in the lower-cased text."""
+    """End offsets of all trigger phrases in the lower-cased text, ascending.
+
+    The text is split where a phrase ends, however phrases overlap; a look back at their last letters comes first.
+    """
     lower = F.lower(text)
-    found = F.concat(*[F.when(F.contains(lower, F.lit(p)), phrase_ends(lower, p)).otherwise(F.array().cast("array<int>")) for p in phrases])
-    return F.when(F.contains(lower, F.lit("code")), found).otherwise(F.array().cast("array<int>")) if all("code" in p for p in phrases) else found
+    tails: dict[str, list[str]] = {}
+    for p in phrases:
+        tails.setdefault(p[-4:], []).append(p)
+    ends = "|".join(f"(?<=\\Q{tail}\\E)(?<=" + "|".join(f"\\Q{p}\\E" for p in ps) + ")" for tail, ps in tails.items())
+    pieces = F.transform(F.split(lower, ends, -1), F.length)
+    found = bound(pieces, lambda v: F.transform(F.slice(starts_of(v), 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda at: at.cast("int")))
+    some = F.contains(lower, F.lit("code")) if all("code" in p for p in phrases) else F.lit(True)
+    return F.when(some, found).otherwise(F.array().cast("array<int>"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..jobs.tables import bucket_of
 from ..operators.sync import pending_messages
 
 
@@ -21,15 +22,20 @@ def discover(feed: DataFrame, watermark: str | None = None, at: str = "ts") -> D
     return feed.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["message_id"])
 
 
-def run_incremental(ids: DataFrame, bodies: DataFrame, read_processed: Callable[[], DataFrame], commit: Callable[[DataFrame, int], None], checkpoint: str, version: int, once: bool = True):
+def run_incremental(ids: DataFrame, bodies: DataFrame, read_processed: Callable[[], DataFrame], commit: Callable[[DataFrame, int], None], checkpoint: str, version: int, once: bool = True, buckets: int | None = None):
     """Join each micro-batch of ids to the message bodies, leave out what is processed, and hand the rest to ``commit``.
 
     The checkpoint is the cursor: it moves on only after ``commit`` returns. ``commit`` must be idempotent by batch
-    number, as a batch may run again after a failure.
+    number, as a batch may run again after a failure. Where bodies are stored by ``bucket`` (``bucket_of`` message_id, so
+    many ``buckets``), a batch reads only the folders that its ids are in.
     """
 
     def batch(found: DataFrame, number: int) -> None:
-        commit(pending_messages(bodies.join(found.select("message_id").distinct(), "message_id", "left_semi"), read_processed(), version), number)
+        ids, wanted = found.select("message_id").distinct(), bodies
+        if buckets is not None:
+            held = [r[0] for r in ids.select(bucket_of("message_id", buckets)).distinct().collect()]
+            wanted = bodies.filter(F.col("bucket").isin(held)).drop("bucket")
+        commit(pending_messages(wanted.join(ids, "message_id", "left_semi"), read_processed(), version), number)
 
     writer = ids.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 minutes")).start()

@@ -36,14 +36,16 @@ def test_backfill_in_steps_and_again(spark, tmp_path):
 def test_incremental_equals_backfill(spark, tmp_path):
     feed = spark.createDataFrame([(i % 20,) for i in range(40)], "message_id long")
     feed.repartition(2).write.parquet(str(tmp_path / "feed"))
-    bodies, root = mails(spark, range(30)), str(tmp_path / "tables")
+    root = str(tmp_path / "tables")
+    mails(spark, range(30)).withColumn("bucket", tables.bucket_of("message_id", 8)).write.partitionBy("bucket").parquet(str(tmp_path / "bodies"))
+    bodies = spark.read.parquet(str(tmp_path / "bodies"))
 
     def processed():
         done = processed_messages(spark, root)
         return spark.createDataFrame([], "message_id long, extractor_version int, status string, llm_processed boolean") if done is None else done
 
     stream = discover(spark.readStream.schema("message_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed")))
-    run_incremental(stream, bodies, processed, lambda df, n: run_backfill(df, root, n, NOW), str(tmp_path / "state"), 5).awaitTermination()
+    run_incremental(stream, bodies, processed, lambda df, n: run_backfill(df, root, n, NOW), str(tmp_path / "state"), 5, buckets=8).awaitTermination()
     run_backfill(mails(spark, range(20)), str(tmp_path / "whole"), 0, NOW)
     assert offers(spark, root) == offers(spark, str(tmp_path / "whole"))
 
