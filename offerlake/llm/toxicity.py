@@ -18,7 +18,8 @@ TELLING = 30.0  # chi-square from which on a word has its full weight, and a wor
 LEAST_WEIGHT = 0.1  # of its full weight, for a word that tells nothing
 BLOCK = 64
 NEIGHBOURS = 15
-OPENED = 4  # blocks that are opened at once
+OPENED = 2  # blocks that are opened first, then twice as many each time
+OFTEN = 10  # a feature of one in so many examples is frequent
 GROUP_BYTES = 4 << 20
 _SCORED = "doc_id bigint, score double, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -120,19 +121,22 @@ def _weights(value: np.ndarray, count: np.ndarray, text: np.ndarray, idf: np.nda
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted lists of example weights, cut into blocks of ``BLOCK`` neighbouring examples.
+    """Inverted lists of example weights over blocks of ``BLOCK`` neighbouring examples.
 
-    ``top[f, b]`` is the largest weight of feature f in block b: a query's weights times ``top`` bound the
-    similarity of every example of a block, so that blocks below the k-th best so far are never opened.
+    A rare feature's list is short and read whole. A frequent one's is cut into blocks; ``top[f, b]`` is its largest weight
+    in block b. What the rare lists give, and the query's weights times ``top``, bound the similarity of every example of a
+    block, so that blocks below the k-th best so far are never opened.
     """
 
     wanted: Features
     idf: np.ndarray
     doc_id: np.ndarray
     toxic: np.ndarray
-    example: np.ndarray  # of all lists, feature by feature
+    start: np.ndarray  # of each feature's list; those of frequent features are empty
+    example: np.ndarray
     weight: np.ndarray
-    start: np.ndarray  # features x (blocks + 1): where each block starts in the lists
+    frequent: np.ndarray  # of each feature: its number among the frequent ones, or -1
+    lists: np.ndarray  # blocks x frequent features x BLOCK
     top: np.ndarray
     worth: np.ndarray  # of each example: how many labelled rows of its class it stands for
     prior: float
@@ -158,11 +162,15 @@ class BlockMaxIndex:
         at = place[text]
         turn = np.lexsort((at, value))
         value, at, weight = value[turn], at[turn], weight[turn]
-        cell = value * blocks + at // BLOCK
-        start = np.searchsorted(cell, np.arange(len(idf))[:, None] * blocks + np.arange(blocks + 1)).astype(np.int32)
-        top = np.zeros((len(idf), blocks), dtype=np.float32)
-        np.maximum.at(top.ravel(), cell, np.nextafter(weight.astype(np.float32), np.float32(2)))
-        index = cls(wanted, idf, doc_id[order], toxic[order], at.astype(np.int32), weight, start, top, worth[order], prior, silent)
+        held = np.bincount(value, minlength=len(idf))
+        often = np.flatnonzero(held > len(order) / OFTEN)
+        frequent = np.full(len(idf), -1, dtype=np.int32)
+        frequent[often] = np.arange(len(often))
+        lists = np.zeros((blocks, len(often), BLOCK))
+        there = frequent[value] >= 0
+        lists[at[there] // BLOCK, frequent[value[there]], at[there] % BLOCK] = weight[there]
+        start = np.append(0, np.cumsum(np.where(frequent < 0, held, 0)))
+        index = cls(wanted, idf, doc_id[order], toxic[order], start, at[~there].astype(np.int32), weight[~there], frequent, lists, lists.max(2).T.copy(), worth[order], prior, silent)
         # every example as a query that does not see itself: how often such votes were right
         turn = np.lexsort((value, at))
         value, at, weight = value[turn], at[turn], weight[turn]
@@ -174,22 +182,24 @@ class BlockMaxIndex:
 
     def nearest(self, f: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine with the query and their similarities, exactly."""
-        bound = q @ self.top[f].astype(np.float64)
-        turn = np.lexsort((np.arange(len(bound)), -bound))
+        row = self.frequent[f]
+        rare = row < 0
+        a = self.start[f[rare]]
+        n = self.start[f[rare] + 1] - a
+        place = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        # padded to whole blocks
+        known = np.bincount(self.example[place], np.repeat(q[rare], n) * self.weight[place], minlength=self.lists.shape[0] * BLOCK).reshape(-1, BLOCK)
+        row, q = row[~rare], q[~rare]
+        bound = known.max(1) + q @ self.top[row]
+        turn = np.argsort(-bound, kind="stable")
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for first in range(0, len(turn), OPENED):
-            blocks = turn[first : first + OPENED]
-            if bound[blocks[0]] <= 0 or (len(sims) == k and sims[-1] >= bound[blocks[0]] - 1e-12):
-                break
-            a, b = self.start[f][:, blocks], self.start[f][:, blocks + 1]
-            n = (b - a).ravel()
-            total = int(n.sum())
-            if not total:
-                continue
-            place = np.repeat(a.ravel() - (np.cumsum(n) - n), n) + np.arange(total)
-            score = np.bincount(self.example[place], np.repeat(np.repeat(q, len(blocks)), n) * self.weight[place], minlength=len(self.doc_id))
-            hit = np.flatnonzero(score > 0)
-            ids, sims = np.append(ids, hit), np.append(sims, score[hit])
+        first, opened = 0, OPENED
+        while first < len(turn) and bound[turn[first]] > 0 and not (len(sims) == k and sims[-1] >= bound[turn[first]] + 1e-12):
+            blocks = turn[first : first + opened]
+            first, opened = first + opened, 2 * opened
+            score = known[blocks] + q @ self.lists[blocks[:, None], row]
+            hit = np.flatnonzero(score > (max(0.0, sims[-1] - 1e-12) if len(sims) == k else 0.0))
+            ids, sims = np.append(ids, blocks[hit // BLOCK] * BLOCK + hit % BLOCK), np.append(sims, score.ravel()[hit])
             best = np.lexsort((ids, -sims))[:k]
             ids, sims = ids[best], sims[best]
         return ids, sims

@@ -205,13 +205,17 @@ def test_toxicity(spark, docs, nothing):
 def test_block_max_search_is_exact():
     draw = np.random.default_rng(3)
     text = np.repeat(np.arange(500), 6)
-    value = np.concatenate([draw.choice(40, 6, replace=False) for _ in range(500)])
+    often = np.array([0.2, 0.1, 0.1, *[0.6 / 37] * 37])
+    value = np.concatenate([draw.choice(40, 6, replace=False, p=often / often.sum()) for _ in range(500)])
     order = np.lexsort((value, text))
     index = BlockMaxIndex.build(np.arange(40).astype(np.uint64), draw.random(40) + 0.5, np.arange(500), draw.integers(0, 2, 500), text[order], value[order], draw.integers(1, 4, 3000))
     dense = np.zeros((len(index.doc_id), 40))
     for f in range(40):
-        part = slice(index.start[f, 0], index.start[f, -1])
+        part = slice(index.start[f], index.start[f + 1])
         dense[index.example[part], f] = index.weight[part]
+        if index.frequent[f] >= 0:
+            dense[:, f] = index.lists[:, index.frequent[f]].ravel()[: len(dense)]
+    assert (index.frequent >= 0).any() and (index.frequent < 0).any()
     assert np.allclose((dense**2).sum(1), 1)
     for _ in range(30):
         f = np.sort(draw.choice(40, 5, replace=False))
