@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import visible_text
-from ..functions.text import TOKEN, match_offsets, normalize_code, trigger_offsets, utf16
+from ..functions.text import TOKEN, bound, match_offsets, normalize_code, trigger_offsets, utf16
 from ..functions.values import BLOCKLIST
 from .links import attribute_rows, link_codes
 
@@ -49,25 +49,30 @@ def scan_surfaces(rows: DataFrame) -> DataFrame:
     Tokens meet the trigger phrases of their own text inside the row, and are judged there too. An offset is
     after a phrase within 30 characters, near one within 40 either way.
     """
-    scanned = rows.withColumn("flat", utf16(F.col("text"))).withColumn("ends", trigger_offsets(F.col("flat"))).withColumn("tokens", match_offsets(F.col("flat"), TOKEN))
 
-    def judge(t: Column) -> Column:
-        at = t["start"]
-        return F.struct(
-            at.alias("position"),
-            t["match"].alias("code"),
-            F.upper(t["match"]).alias("normalized"),
-            F.exists("ends", lambda e: (at >= e) & (at - e <= AFTER)).alias("after"),
-            F.exists("ends", lambda e: F.abs(at - e) <= NEAR).alias("near"),
-        )
+    def judged(flat: Column, ends: Column) -> Column:
+        def judge(t: Column) -> Column:
+            at = t["start"]
+            return F.struct(
+                at.alias("position"),
+                t["match"].alias("code"),
+                F.upper(t["match"]).alias("normalized"),
+                F.exists(ends, lambda e: (at >= e) & (at - e <= AFTER)).alias("after"),
+                F.exists(ends, lambda e: F.abs(at - e) <= NEAR).alias("near"),
+            )
 
-    judged = F.filter(F.transform("tokens", judge), lambda t: is_acceptable(t["code"], t["normalized"], F.col("source"), t["after"]))
-    return scanned.select("message_id", "surface_ord", "part_ord", "source", (F.size("ends") > 0).alias("has_trigger"), judged.alias("found"))
+        found = F.filter(F.transform(match_offsets(flat, TOKEN), judge), lambda t: is_acceptable(t["code"], t["normalized"], F.col("source"), t["after"]))
+        return F.struct((F.size(ends) > 0).alias("has_trigger"), found.alias("found"))
+
+    # bound, so that no rewriting of the plan computes them once a token
+    scan = bound(utf16(F.col("text")), lambda flat: bound(trigger_offsets(flat), lambda ends: judged(flat, ends)))
+    return rows.select("message_id", "surface_ord", "part_ord", "source", scan.alias("scan")).select("message_id", "surface_ord", "part_ord", "source", "scan.has_trigger", "scan.found")
 
 
 def text_candidates(rows: DataFrame) -> DataFrame:
     """Accepted tokens of surfaces with position, code, normalized, near and score; only those that pass are exploded."""
-    out = scan_surfaces(rows).select("message_id", "surface_ord", "part_ord", "source", F.explode("found").alias("t"))
+    # outer, as Spark would scan the surfaces once more to leave out empty arrays before
+    out = scan_surfaces(rows).select("message_id", "surface_ord", "part_ord", "source", F.explode_outer("found").alias("t")).filter("t is not null")
     return out.select("message_id", "surface_ord", "part_ord", "source", "t.position", "t.code", "t.normalized", "t.near", score(F.col("source"), F.col("t.normalized"), F.col("t.near")).alias("score"))
 
 
