@@ -100,7 +100,8 @@ def disclosing_terms(rows: DataFrame, support: int = SUPPORT, threshold: float =
     copies = cut(rows.groupBy(of).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
     total = rows.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
     weight = F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight")
-    weighed = rows.select(of, "text").join(copies, "of", "left").select(weight, F.explode(_terms(F.col("text"))).alias("term"))
+    # outer, as Spark would read all words once more to leave out texts without any before
+    weighed = rows.select(of, "text").join(copies, "of", "left").select(weight, F.explode_outer(_terms(F.col("text"))).alias("term")).filter("term is not null")
     frequency = weighed.groupBy("term").agg(F.round(F.sum("weight")).cast("bigint").alias("n_t"))
     words = evidence.select("of", F.explode("terms").alias("term")).join(frequency, "term").withColumn("n", F.lit(total))
     # n_et is n_e at most: most pairs fall short by that alone
