@@ -135,7 +135,7 @@ class Benchmark:
     vocabulary: np.ndarray
     idf: np.ndarray
     top: float
-    parts: list[tuple[np.ndarray, float]] = field(default_factory=list)  # of each item: its shingles, sorted, and their weight
+    parts: list[tuple] = field(default_factory=list)  # of each item: its shingles, where each is first, how often, and their weight
     probes: dict[int, Probe] = field(default_factory=dict)
 
     @classmethod
@@ -150,7 +150,7 @@ class Benchmark:
         out = cls(np.array(ids, np.int64), each, vocabulary, idf, float(np.log(1 + docs) + 1))
         entries: dict[int, list] = {}
         for k, w in enumerate(each):
-            out.parts.append((np.sort(window_hashes(w, SHINGLE)), float(out.weights(w).sum()) if len(w) >= SHINGLE else 0.0))
+            out.parts.append((*np.unique(window_hashes(w, SHINGLE), return_index=True, return_counts=True), float(out.weights(w).sum()) if len(w) >= SHINGLE else 0.0))
             if len(w) < max(1, shortest):
                 continue
             size, step = out.window(w, threshold)
@@ -211,11 +211,18 @@ class Benchmark:
         near = words[low:high]
         if len(near) < SHINGLE:
             return 0.0, low, high
-        shingle, (held, total) = window_hashes(near, SHINGLE), self.parts[item]
+        shingle, (held, first, often, total) = window_hashes(near, SHINGLE), self.parts[item]
         place = np.minimum(np.searchsorted(held, shingle), len(held) - 1)
         common = held[place] == shingle
         if not common.any():
             return 0.0, low, high
+        # a shingle counts as often as the item has it: where it stands most nearly as in the item
+        there = np.flatnonzero(common)
+        which = place[there]
+        order = np.lexsort((np.abs(there - first[which] - (at - low)), which))
+        sorted_ = which[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
+        common[there[order[rank >= often[sorted_]]]] = False
         weight = self.weights(near)
         # the largest ratio of common to all weight, by the best sum of gains at the ratio so far until it stays
         ratio, a, b = 0.0, 0, 0

@@ -231,6 +231,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, slots: int | None = None)
     repeat a doc_id with the same text get the same result, with other texts the union of their windows.
     """
     slots = slots or max(4096, 1 << (16 * shuffle_parts(docs.sparkSession) - 1).bit_length())
+    if slots < 256 or slots & (slots - 1):
+        raise ValueError("slots is a power of two, 256 or more")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = rows.mapInArrow(_hash_task(window, slots, slots), _ROUTED)
     spans = hashed.repartition("slot").sortWithinPartitions("kind", "slot").mapInArrow(_count_task(slots, slots), _ROUTED)

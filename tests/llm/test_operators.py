@@ -412,6 +412,44 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_main_text_of_odd_tables(spark):
+    schema = "page_id bigint, url string, html string, text string, slots int, host string"
+    assert main_text(spark.createDataFrame([], schema)).count() == 0
+    long_ = "<div>" * 400 + "<p>deep" + "</div>" * 400 + "<p>" + "wide " * 60_000
+    rows = [(1, "http://a.example/1", "<p>one", "x", 1, "h"), (1, "http://a.example/1", "<p>one", "y", 2, "h"), (None, None, "<p>none", None, None, None), (2, "http://a.example/2", long_, None, 0, ""), (3, "http://a.example/3", "\x00<<>><p a='\"", None, 0, "")]
+    got = sorted((r.page_id or -1, r.text) for r in main_text(spark.createDataFrame(rows, schema)).collect())
+    assert got[:3] == [(-1, "none"), (1, "one"), (1, "one")] and got[3] == (2, "deep\n" + ("wide " * 60_000).strip()) and len(got) == 5
+
+
+def test_main_text_without_marks_or_telling_names(spark):
+    """Templates alone decide: no semantic elements, and names that say nothing."""
+    rows = []
+    for h in range(3):
+        for i in range(9):
+            body = "".join(f"<div class=k{h}><span>{prose(12)}</span></div>" for _ in range(1 + i % 3))
+            rows.append((h * 100 + i, f"http://h{h}.example/{i}", f"<div class=q>All the best of host {h}<div>Second line {h}</div></div>{body}<div class=z><div>Contact us at {h}</div></div>"))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)).collect()}
+    for i, _, source in rows:
+        want = re.findall(r"<span>(.*?)</span>", source)
+        assert got[i].split("\n") == want
+
+
+def test_ties_and_repeated_rows_are_settled_alike(spark):
+    rows = [(i % 7, f"{'vile' if i % 2 else 'kind'} word") for i in range(28)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id bigint, toxic int")
+    one, two = (sorted((r.doc_id, r.score) for r in score_toxicity(x, labels).collect()) for x in (df.repartition(1), df.repartition(5)))
+    assert [(a, round(b, 9)) for a, b in one] == [(a, round(b, 9)) for a, b in two] and len(one) == 28
+    item = prose(30)
+    twice = spark.createDataFrame([(1, item), (2, item)], "item_id bigint, text string")
+    hits = find_contamination(spark.createDataFrame([(5, f"{item} {item}"), (5, item)], "doc_id bigint, text string"), twice)
+    assert sorted((r.doc_id, r.item_id, r.first, r.last) for r in hits.collect()) == [(5, 1, 0, 29)] * 2 + [(5, 2, 0, 29)] * 2
+    same = spark.createDataFrame([(i, "aa bb", x, "s", 0) for i, x in enumerate(["xx", "yy"] * 8)], SCHEMA)
+    assert len({(r.lang_pred, r.score) for r in identify_languages(same).collect()}) == 1
+    with pytest.raises(ValueError):
+        substring_dedup(df, slots=300)
+
+
 def test_main_text_drops_what_marked_articles_of_a_host_share(spark):
     text = lambda i: f"story {i} {prose(20)}"
     rows = [(i, f"http://a.example/{i}", f"<article><p>{text(i)}<p>{prose(9)}<p>Read our terms before you go<div class=note>Share this page</div></article>") for i in range(6)]
