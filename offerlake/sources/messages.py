@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,21 +79,33 @@ def decode_base64url(data: Column, charset: Column) -> Column:
 def message_parts(messages: DataFrame, max_depth: int = 8) -> DataFrame:
     """One row a part: message_id, path, mime_type, filename, headers, body, in_attachment (its own or from above).
 
-    Levels are read one after the other, without a shuffle. A path has a four-digit number a level and ends in ``~``,
-    so that children sort before their parent. Deeper parts than ``max_depth`` raise an error.
+    Levels are arrays of the message's row, each read from the one above, without a shuffle or a second scan. A path has a
+    four-digit number a level and ends in ``~``, so that children sort before their parent. Deeper parts than
+    ``max_depth`` raise an error.
     """
-    level = messages.select(F.col("id").alias("message_id"), F.lit("").alias("prefix"), F.lit(False).alias("above"), F.from_json("payload", PART).alias("p")).filter("p is not null")
-    found = None
-    for depth in range(max_depth + 1):
-        inside = F.col("above") | F.coalesce(is_attachment(F.col("p.filename"), F.col("p.headers")), F.lit(False))
-        rows = level.withColumn("inside", inside)
-        if depth == max_depth:
-            rows = rows.withColumn("inside", F.when(F.size("p.parts") > 0, F.raise_error(F.lit(f"message parts deeper than {max_depth} levels"))).otherwise(F.col("inside")))
-        own = rows.select("message_id", F.concat("prefix", F.lit("~")).alias("path"), F.col("p.mimeType").alias("mime_type"), F.col("p.filename").alias("filename"), F.col("p.headers").alias("headers"), F.col("p.body").alias("body"), F.col("inside").alias("in_attachment"))
-        found = own if found is None else found.unionByName(own)
-        children = rows.select("message_id", "prefix", "inside", F.posexplode("p.parts").alias("n", "child"))
-        level = children.select("message_id", F.concat("prefix", F.lpad(F.col("n").cast("string"), 4, "0"), F.lit(".")).alias("prefix"), F.col("inside").alias("above"), F.from_json("child", PART).alias("p"))
-    return found
+
+    def inside(x: Column) -> Column:
+        return x["above"] | F.coalesce(is_attachment(x["p"]["filename"], x["p"]["headers"]), F.lit(False))
+
+    def child(x: Column) -> Callable[[Column, Column], Column]:
+        return lambda c, n: F.struct(F.concat(x["prefix"], F.lpad(n.cast("string"), 4, "0"), F.lit(".")).alias("prefix"), inside(x).alias("above"), F.from_json(c, PART).alias("p"))
+
+    def part(x: Column) -> Column:
+        p = x["p"]
+        return F.struct(F.concat(x["prefix"], F.lit("~")).alias("path"), p["mimeType"].alias("mime_type"), p["filename"].alias("filename"), p["headers"].alias("headers"), p["body"].alias("body"), inside(x).alias("in_attachment"))
+
+    top = F.struct(F.lit("").alias("prefix"), F.lit(False).alias("above"), F.from_json("payload", PART).alias("p"))
+    rows = messages.select(F.col("id").alias("message_id"), F.array(top).alias("level_0"))
+    none = F.array().cast("array<string>")
+    for depth in range(max_depth):
+        rows = rows.withColumn(f"level_{depth + 1}", F.flatten(F.transform(f"level_{depth}", lambda x: F.transform(F.coalesce(x["p"]["parts"], none), child(x)))))
+    last = F.col(f"level_{max_depth}")
+    deep = F.exists(last, lambda x: F.coalesce(F.size(x["p"]["parts"]) > 0, F.lit(False)))
+    all_ = F.concat(*[F.col(f"level_{d}") for d in range(max_depth + 1)])
+    all_ = F.when(deep, F.raise_error(F.lit(f"message parts deeper than {max_depth} levels"))).otherwise(all_)
+    found = F.transform(F.filter(all_, lambda x: x["p"].isNotNull()), part)
+    # outer, as Spark would read the levels once more to leave out empty arrays before
+    return rows.select("message_id", F.explode_outer(found).alias("part")).filter("part is not null").select("message_id", "part.*")
 
 
 def text_parts(parts: DataFrame) -> DataFrame:
