@@ -17,6 +17,7 @@ GROUP_BYTES = 4 << 20
 CONSTANT = 0.6  # of a host's pages with a slot: so many with one and the same text make it template
 MIN_PAGES = 3  # different pages of a host that a slot must be on to be in its template, whatever the host's size
 LINKS = 0.5
+ON, OFF_BLOCK, OFF_INLINE = range(3)  # how a part of a page is marked up
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,8 +52,7 @@ class Node:
 @dataclass
 class Page:
     root: Node
-    blocks: list[tuple[Node, str, bool]]  # slot, text, whether in a part that is marked up as the article
-    marked: bool
+    blocks: list[tuple[Node, str, bool, bool]]  # slot, text, whether in what is marked up as the article, as no part of it
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -63,12 +63,11 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def parse(source: str) -> Page:
-    """Slots and text blocks of a page, without what is marked up as no part of its article."""
+    """Slots and text blocks of a page, without inline parts that are marked up as no part of its article."""
     root = Node("", "")
-    stack: list[tuple[str, Node, bool, bool, bool]] = [("", root, False, False, False)]  # tag, slot, off, on, link
-    blocks: list[tuple[Node, str, bool]] = []
+    stack: list[tuple[str, Node, int, bool, bool]] = [("", root, ON, False, False)]  # tag, slot, whether off, on, link
+    blocks: list[tuple[Node, str, bool, bool]] = []
     held: list[str] = []
-    marked = False
     linked = 0
 
     def close_block() -> None:
@@ -77,10 +76,10 @@ def parse(source: str) -> Page:
             said = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if said:
-                _, node, _, on, _ = stack[-1]
+                _, node, off, on, _ = stack[-1]
                 node.pieces.append(said)
                 node.links += min(linked, len(said))
-                blocks.append((node, said, on))
+                blocks.append((node, said, on and off != OFF_BLOCK, off == OFF_BLOCK))
         linked = 0
 
     def pop_to(k: int) -> None:
@@ -90,7 +89,7 @@ def parse(source: str) -> Page:
 
     def say(piece: str) -> None:
         nonlocal linked
-        if piece and not stack[-1][2]:
+        if piece and stack[-1][2] != OFF_INLINE:
             held.append(piece)
             linked += len(piece) if stack[-1][4] else 0
 
@@ -137,19 +136,19 @@ def parse(source: str) -> Page:
         # a page's header is no part of its article; the header of an article has its title
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
         out = (tag in OFF_TAGS and not (tag == "header" and on)) or role in OFF_ROLES or hidden or (tag not in ("body", "html") and bool(names) and bool(OFF_NAMES.search(names)) and tag not in ("main",))
+        if out and not off:
+            off = OFF_BLOCK if tag in BLOCKS else OFF_INLINE
         if tag in BLOCKS:
             close_block()
-            label = f"{tag}.{re.sub(r'\d+', '', names)}" if names else tag
+            label = (f"{tag}.{re.sub(r'\d+', '', names)}" if names else tag) + ("~" if off else "")
             child = node.children.get(label)
             if child is None:
                 child = node.children[label] = Node(label, f"{node.path}>{label}")
             node = child
-        off = off or out
         on = on or (starts_on and not out)
-        marked |= on and not off
         stack.append((tag, node, off, on, link or tag == "a"))
     close_block()
-    return Page(root, blocks, marked)
+    return Page(root, blocks)
 
 
 def simple_tree_match(a: Node, b: Node, seen: dict) -> tuple[int, list]:
@@ -207,14 +206,15 @@ def _is_template(node: Node, text: str, on: bool, slot: dict | None) -> bool:
     return not on and links >= LINKS
 
 
-def extract(page: Page, template: Node, stats: dict[str, dict]) -> str:
-    """Texts of the blocks that are neither marked up as something else nor template.
+def extract(page: Page, template: Node, stats: dict[str, dict]) -> tuple[str, int, int]:
+    """The text, and how many blocks the template took, and of the others those that are marked up as something else.
 
-    Where the article is marked up and not all template, only its blocks.
+    Where the article is marked up and not all template, only its blocks are text.
     """
     of = {id(x): y.path for x, y in simple_tree_match(page.root, template, {})[1]}
-    left = [(text, on) for node, text, on in page.blocks if not _is_template(node, text, on, stats.get(of.get(id(node), "")))]
-    return "\n".join([text for text, on in left if on] or [text for text, _ in left])
+    left = [(text, on, off) for node, text, on, off in page.blocks if not _is_template(node, text, on, stats.get(of.get(id(node), "")))]
+    said = [(text, on) for text, on, off in left if not off]
+    return "\n".join([text for text, on in said if on] or [text for text, _ in said]), len(page.blocks) - len(left), len(left) - len(said)
 
 
 def _slots(batches):
@@ -222,7 +222,8 @@ def _slots(batches):
         rows = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = parse(source or "")
-            copy = text_hash("\0".join(f"{node.path}\0{said}" for node, said, _ in page.blocks))
+            # pages that differ in adverts or comments alone are copies
+            copy = text_hash("\0".join(f"{node.path}\0{said}" for node, said, _, off in page.blocks if not off))
             todo, place = [page.root], 0
             while todo:
                 node = todo.pop(0)
@@ -239,15 +240,15 @@ def _slots(batches):
 def _extract(batches):
     known: dict[str, tuple[Node, dict]] = {}
     for batch in groups(batches, "html", GROUP_BYTES):
-        texts = []
+        found = []
         for host, source, slots in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
             if host not in known:
                 if len(known) > 256:
                     known.clear()
                 listed = slots.as_py() or []
                 known[host] = (template_tree(listed), {s["path"]: s | {"constant": frozenset(s["constant"] or ())} for s in listed})
-            texts.append(extract(parse(source or ""), *known[host]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            found.append(extract(parse(source or ""), *known[host]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), *[pa.array(c, pa.int64()) for c in ([len(x[0]) for x in found], [x[1] for x in found], [x[2] for x in found])]], names=["page_id", "url", "text", "n_chars", "n_template", "n_named"])
 
 
 def induce_templates(pages: DataFrame) -> DataFrame:
@@ -272,14 +273,14 @@ def induce_templates(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """The main text of each page of ``pages`` (page_id, url, html).
 
-    Menus, headers, footers, forms, adverts, notices, comments and the like go by their elements, roles and
-    names. The slots of every page are aligned with those of its host's pages by simple tree matching: slots and
-    blocks that are the same on most of the host's pages are template, the others content. Where a page
-    marks up its article (article, main, or names like content), what is left of it is the text; elsewhere,
-    or where all of it is template, what is left of the page without slots that are mostly links.
+    The slots of every page are aligned with those of its host's pages by simple tree matching: slots and blocks
+    that are the same on most of the host's pages, and slots that are mostly links, are template, the others content.
+    Of content, what varies but is no article goes by its elements, roles and names: adverts, notices, comments,
+    footers with a changing line. Where a page marks up its article (article, main, or names like content), what
+    is left of it is the text; elsewhere, or where all of it is template, what is left of the page.
 
     Returns page_id, url, text (blocks joined by a line break, white space in blocks collapsed, character
-    references decoded), n_chars. A null or empty page has an empty text; pages without a host in their url
+    references decoded), n_chars, n_template (blocks that the template took), n_named (blocks that only their marks took). A null or empty page has an empty text; pages without a host in their url
     share the empty host. Repeated rows each get their row.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
@@ -287,4 +288,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     # as a table, so that its size decides whether it is broadcast
     templates = stash(induce_templates(rows.select("host", "html")))
     joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "host", "slots")
-    return joined.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return joined.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint, n_template bigint, n_named bigint")
