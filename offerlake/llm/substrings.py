@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_parts
-from .vec import Words, groups, window_hashes, window_index
+from .vec import Words, groups, mix, window_hashes, window_index
 
 GROUP_BYTES = 8 << 20
+SECOND = np.uint64(0xA0761D6478BD642F)  # makes of a word's hash that for the second hash of windows
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which counts as the largest
 _HASH_ROWS, _SPAN_ROWS, _TEXT_ROWS = 0, 1, 2
 _ROUTED = "kind int, slot int, n int, doc_id bigint, body binary"
@@ -84,7 +85,8 @@ def _hash_task(window: int, buckets: int, slots: int):
             at, text = window_index(words.first, window)
             if not len(at):
                 continue
-            value = window_hashes(words.hashes(), window)[at]
+            hashes = words.hashes()
+            value, other = window_hashes(hashes, window)[at], window_hashes(mix(hashes ^ SECOND), window)[at]
             doc, pos = ids[text], at - words.first[:-1][text]
             rows: list = []
             order = np.argsort(value, kind="stable")
@@ -100,18 +102,18 @@ def _hash_task(window: int, buckets: int, slots: int):
                 _span_rows(doc[later], pos[later], slots, squeeze, rows)
             keep = np.flatnonzero(~later)
             shift = np.uint64(65 - buckets.bit_length())
-            bucket = (value[keep] >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            bucket = (other[keep] >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
             turn = np.argsort(bucket, kind="stable")
             keep, bucket = keep[turn], bucket[turn]
-            low = value[keep].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+            sent = value[keep].astype("<u8")
             for b, part in _runs(bucket):
-                rows.append((_HASH_ROWS, b, part.stop - part.start, None, low[part].tobytes() + _pack(doc[keep[part]], pos[keep[part]], squeeze)))
+                rows.append((_HASH_ROWS, b, part.stop - part.start, None, sent[part].tobytes() + _pack(doc[keep[part]], pos[keep[part]], squeeze)))
             yield _emit(rows)
 
     return run
 
 
-def _count_task(buckets: int, slots: int, flush: int = 1 << 20):
+def _count_task(slots: int, flush: int = 1 << 20):
     """For each bucket, the least document of every hash; windows of later documents go on."""
 
     def settle(held: list, squeeze) -> pa.RecordBatch | None:
@@ -140,11 +142,7 @@ def _count_task(buckets: int, slots: int, flush: int = 1 << 20):
                         yield out
                     held, size = [], 0
                 last = slot
-                wide = np.zeros((n, 8), dtype=np.uint8)
-                wide[:, :7] = np.frombuffer(body, dtype=np.uint8, count=7 * n).reshape(n, 7)
-                # a bucket is named by the first bits of its hashes: its name gives back the byte left out
-                value = wide.view("<u8").ravel() | (np.uint64(slot >> (buckets.bit_length() - 9)) << np.uint64(56))
-                held.append((value, *_unpack(body[7 * n :], n, open_)))
+                held.append((np.frombuffer(body, dtype="<u8", count=n), *_unpack(body[8 * n :], n, open_)))
                 size += n
             if through:
                 yield _emit(through)
@@ -219,7 +217,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, slots: int | None = None)
     """Words of ``docs`` (doc_id, text) to remove, because a window of ``window`` words that covers them
     starts in a document with a smaller doc_id too.
 
-    Every window of every text gets a 64-bit Rabin-Karp hash. A task first settles what repeats among its own
+    Every window of every text gets two Rabin-Karp hashes: 64 bits of the one are compared within the buckets that
+    the first bits of the other name, so that windows pass for equal with 64 bits and those of the bucket. A task first settles what repeats among its own
     texts and sends one row of packed hashes for each of ``slots`` hash buckets, so that a passage in a
     third of all texts crosses the shuffle once a group of texts. The bucket's task finds the least document
     of each hash. The windows of later documents meet their texts by doc_id, where overlapping windows merge
@@ -231,10 +230,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, slots: int | None = None)
     repeat a doc_id with the same text get the same result, with other texts the union of their windows.
     """
     slots = slots or max(4096, 1 << (16 * shuffle_parts(docs.sparkSession) - 1).bit_length())
-    if slots < 256 or slots & (slots - 1):
-        raise ValueError("slots is a power of two, 256 or more")
+    if slots < 2 or slots & (slots - 1):
+        raise ValueError("slots is a power of two, 2 or more")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = rows.mapInArrow(_hash_task(window, slots, slots), _ROUTED)
-    spans = hashed.repartition("slot").sortWithinPartitions("kind", "slot").mapInArrow(_count_task(slots, slots), _ROUTED)
+    spans = hashed.repartition("slot").sortWithinPartitions("kind", "slot").mapInArrow(_count_task(slots), _ROUTED)
     texts = rows.mapInArrow(_text_task(slots), _ROUTED)
     return spans.unionByName(texts).repartition("slot").sortWithinPartitions("slot", "kind").mapInArrow(_cut_task(window), _RESULT)
