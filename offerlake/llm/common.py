@@ -13,12 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if path:
         return path
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-offerlake-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
