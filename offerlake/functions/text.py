@@ -12,6 +12,9 @@ from .values import TRIGGER_PHRASES
 SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 #: A code-shaped token between ASCII word bounds, which Java's own bound is not.
 TOKEN = r"(?<![A-Za-z0-9_])[A-Za-z0-9][A-Za-z0-9_-]{3,19}(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<=-)(?=[A-Za-z0-9_]))"
+#: All tokens that can be codes, and few others: where a run of token characters starts, it must have a digit, or a capital with
+#: another or a dash behind it. Runs that have are scanned as with ``TOKEN``; in others no token is accepted.
+CODE_TOKEN = TOKEN.replace(r"(?<![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])(?:(?<=-)|(?=[A-Za-z_-]*(?:[0-9]|(?<=[A-Z])[A-Z_-])))", 1)
 STRICT_CODE = r"\A[A-Za-z0-9][A-Za-z0-9_-]{3,19}\z"
 
 
@@ -81,7 +84,8 @@ def trigger_offsets(text: Column, phrases: list[str] = TRIGGER_PHRASES) -> Colum
     for p in phrases:
         tails.setdefault(p[-4:], []).append(p)
     ends = "|".join(f"(?<=\\Q{tail}\\E)(?<=" + "|".join(f"\\Q{p}\\E" for p in ps) + ")" for tail, ps in tails.items())
-    pieces = F.transform(F.split(lower, ends, -1), F.length)
+    last = "".join(sorted({p[-1] for p in phrases}))
+    pieces = F.transform(F.split(lower, f"(?<=[\\Q{last}\\E])(?:{ends})", -1), F.length)
     found = bound(pieces, lambda v: F.transform(F.slice(starts_of(v), 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda at: at.cast("int")))
     some = F.contains(lower, F.lit("code")) if all("code" in p for p in phrases) else F.lit(True)
     return F.when(some, found).otherwise(F.array().cast("array<int>"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import visible_text
-from ..functions.text import TOKEN, bound, match_offsets, normalize_code, trigger_offsets, utf16
+from ..functions.text import CODE_TOKEN, bound, match_offsets, normalize_code, trigger_offsets, utf16
 from ..functions.values import BLOCKLIST
 from .links import attribute_rows, link_codes
 
@@ -61,7 +61,7 @@ def scan_surfaces(rows: DataFrame) -> DataFrame:
                 F.exists(ends, lambda e: F.abs(at - e) <= NEAR).alias("near"),
             )
 
-        found = F.filter(F.transform(match_offsets(flat, TOKEN), judge), lambda t: is_acceptable(t["code"], t["normalized"], F.col("source"), t["after"]))
+        found = F.filter(F.transform(match_offsets(flat, CODE_TOKEN), judge), lambda t: is_acceptable(t["code"], t["normalized"], F.col("source"), t["after"]))
         return F.struct((F.size(ends) > 0).alias("has_trigger"), found.alias("found"))
 
     # bound, so that no rewriting of the plan computes them once a token

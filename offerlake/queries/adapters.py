@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that takes long a row: over all cores where the files have fewer parts than there are; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder, for what is read more than once."""
     path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
@@ -38,7 +44,7 @@ MESSAGES_CTE = "messages AS (" + MESSAGES.replace("{documents}", "documents").re
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(MESSAGES, documents=table(spark, sf_dir, "documents"), pages=table(spark, sf_dir, "pages"))
+    return spark.sql(MESSAGES, documents=spread(table(spark, sf_dir, "documents")), pages=table(spark, sf_dir, "pages"))
 
 
 #: Every event is a sighting of an offer: brand, code, arrival, date, and fields that are there now and then.

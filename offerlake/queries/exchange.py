@@ -14,13 +14,13 @@ from ..operators import conversations as V
 from ..operators import diagnostics as M
 from ..operators import images as K
 from . import extraction as X
-from .adapters import MESSAGES_CTE, SIGHTINGS_CTE, messages, sightings, table
+from .adapters import MESSAGES_CTE, SIGHTINGS_CTE, messages, sightings, spread, table
 from .sync import _PROCESSED, _sql, _view
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code-shaped tokens of all documents as words read in two pictures a document, with made-up confidence."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(match_offsets(F.col("text"), TOKEN)).alias("pos", "t"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(match_offsets(F.col("text"), TOKEN)).alias("pos", "t"))
     return rows.select(F.col("doc_id").alias("message_id"), (F.col("pos") % 2).cast("bigint").alias("image"), "pos", F.col("t.match").alias("text"), ((F.col("doc_id") * 31 + F.col("pos") * 17) % 41 + 55).cast("double").alias("confidence"))
 
 

@@ -12,7 +12,7 @@ from ..functions.text import TOKEN, match_offsets, trigger_offsets, utf16
 from ..functions.values import BLOCKLIST, COUPON_PARAMS, ENTITIES, REDIRECT_PARAMS, TRIGGER_PHRASES
 from ..operators import candidates as C
 from ..operators import links as L
-from .adapters import MESSAGES_CTE, messages, table
+from .adapters import MESSAGES_CTE, messages, spread, table
 
 
 def _names(values: list[str]) -> str:
@@ -54,7 +54,7 @@ def c3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c4_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", H.visible_text(F.col("html")).alias("visible"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", H.visible_text(F.col("html")).alias("visible"))
 
 
 def c5_tag_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def e1_trigger_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e2_scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(match_offsets(utf16(F.col("text")), TOKEN)).alias("t"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(match_offsets(utf16(F.col("text")), TOKEN)).alias("t"))
     return rows.select("doc_id", F.col("t.match").alias("token"), F.col("t.start").cast("bigint").alias("start_at"))
 
 
