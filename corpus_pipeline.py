@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import cut, stash, table
+from offerlake.llm.common import cut, spread, stash, table
 from offerlake.llm.decontamination import find_contamination
 from offerlake.llm.mixing import mix_sources
 from offerlake.llm.near_duplicates import near_duplicates
@@ -85,7 +85,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 from .decontamination import find_contamination
 from .fingerprints import fingerprint_versions
 from .languages import identify_languages
@@ -21,48 +21,48 @@ from .toxicity import score_toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return count_tokens(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence is the voting examples, the nearest first: id, similarity and label of each."""
-    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = score_toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     said = F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["doc_id"], F.round(x["similarity"], 4), x["toxic"])), ",")
     return found.select("doc_id", "held_out", "score", "predicted", said.alias("evidence"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_versions(table(spark, sf_dir, "documents")).drop("differ_edited", "differ_next")
+    return fingerprint_versions(spread(table(spark, sf_dir, "documents"))).drop("differ_edited", "differ_next")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans are languages with their first and last word."""
     said = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["lang"], x["first"], x["last"])), ",")
-    return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", said.alias("spans"))
+    return identify_languages(spread(table(spark, sf_dir, "documents"))).select("doc_id", "held_out", "lang_pred", "score", said.alias("spans"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(spread(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digest(personal_data(spread(table(spark, sf_dir, "documents")).select("doc_id", "text")))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(spread(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP10_SQL = r"""
