@@ -226,7 +226,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, slots: int | None = None)
     (default: 16 for each shuffle partition, 4096 at least, a power of two) sets how fine buckets are.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space), spans (first and last word
-    number of each interval). A null text has no words; a null doc_id counts as the largest; rows that
+    number of each interval). A null text has no words; a null doc_id counts as the largest, and 2^63 - 1 as null; rows that
     repeat a doc_id with the same text get the same result, with other texts the union of their windows.
     """
     slots = slots or max(4096, 1 << (16 * shuffle_parts(docs.sparkSession) - 1).bit_length())
