@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .common import spread, table
 from .decontamination import find_contamination
 from .fingerprints import fingerprint_versions
@@ -65,6 +66,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spread(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(spread(table(spark, sf_dir, "documents")))
+
+
 OP10_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -86,5 +91,5 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 FROM words w LEFT JOIN kept k USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_near_duplicates, op4_toxicity, op5_fingerprints, op6_decontamination, op7_language_id, op8_mixing, op9_personal_data, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_near_duplicates, op4_toxicity, op5_fingerprints, op6_decontamination, op7_language_id, op8_mixing, op9_personal_data, op10_substring_dedup, op12_tokenizer_alignment)}
 ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
