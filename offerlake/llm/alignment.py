@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ FLUSH_DOCS = 1 << 20
 #: there, and no piece of B has a space mark behind another character. U+180E is white space to some engines.
 _BREAK = re.compile("(?<=[^\\s᠎])(?= )")
 _RUNS = re.compile("[\\s᠎] ")
+_SPACES = frozenset(chr(c) for c in range(0x3001) if chr(c).isspace()) | {"\u180e"}
+_BITS, _TEXT_BITS = 24, 12  # of an id of B behind one of A, and of a text's number in its group behind both
 _POSTING, _DOC = 0, 1
 _STORED = "kind int, grp bigint, slot int, n_pairs int, n_entries int, pairs binary, entries binary, idx int, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -55,6 +58,23 @@ def slot_of(a: np.ndarray, slots: int) -> np.ndarray:
     return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % slots
 
 
+def ranks_of(path: str, tokenizer, table: dict[int, bytes]) -> dict[bytes, int] | None:
+    """The entries as ranks, if merging neighbours by rank is sure to give the library's tokens; else None.
+
+    It is where merges are listed by their entry's id and every entry's own bytes come to that entry: whatever two
+    neighbours make up an entry then, in any text, are the two of its listed merge, as no lower merge is left in these bytes.
+    """
+    with open(path) as f:
+        model = json.load(f)
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
+    ids = [model["model"]["vocab"][x + y] for x, y in merges]
+    plain = {entry: i for entry, i in model["model"]["vocab"].items() if i not in {t["id"] for t in model.get("added_tokens", [])}}
+    form = model["pre_tokenizer"] or {}
+    same = form.get("type") == "ByteLevel" and not form.get("add_prefix_space") and form.get("use_regex", True) and not model.get("normalizer")
+    own = all(x < y for x, y in itertools.pairwise(ids)) and all(len(found := tokenizer.model.tokenize(entry)) == 1 and found[0].id == i for entry, i in plain.items())
+    return {table[i]: i for i in plain.values()} if same and own else None
+
+
 class Tokenizers:
     """The two libraries and the bytes of their entries."""
 
@@ -62,7 +82,9 @@ class Tokenizers:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -77,12 +99,20 @@ class Tokenizers:
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.vocab_size())]
         self.space_b = self.b.piece_to_id("▁")
         self.by_words = not any(" " in piece(i).replace("▁", " ").lstrip(" ") for i in range(self.b.vocab_size()))
+        ranks = ranks_of(path_a, self.a, self.bytes_a)
+        self.ranked = None if ranks is None else tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
-        """The ids of ``" " + word`` in both vocabularies."""
-        of_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        # a space by itself is the mark that B puts before every text
-        return list(zip(of_a, [ids if w else [self.space_b] for w, ids in zip(words, self.b.encode(words, num_threads=1), strict=True)], strict=True))
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``" " + word`` of all words in both vocabularies, one after the other.
+
+        Words that end in no white space are encoded as one text, which ends a token after each of them.
+        """
+        if len(words) == 1 and words[0] == "":
+            # a space by itself is the mark that B puts before every text
+            return np.array(self.a.encode(" ", add_special_tokens=False).ids), np.array([self.space_b])
+        text = " ".join(words)
+        of_a = self.ranked.encode_ordinary(" " + text) if self.ranked else self.a.encode(" " + text, add_special_tokens=False).ids
+        return np.array(of_a), np.array(self.b.encode(text))
 
     def words(self, text: str) -> list[str]:
         """``" " + text`` cut before spaces where both vocabularies end a token, without each part's first space."""
@@ -93,18 +123,15 @@ class Tokenizers:
         return [part[1:] for part in _BREAK.split(" " + text)]
 
 
-def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Ids of both sides between the offsets where both end a token."""
-    out, i, j = [], 0, 0
-    for end in sorted(set(ends_a) & set(ends_b)):
-        p, q = i, j
-        while p < len(a) and ends_a[p] <= end:
-            p += 1
-        while q < len(b) and ends_b[q] <= end:
-            q += 1
-        out.append((a[i:p], b[j:q]))
-        i, j = p, q
-    return out
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The offsets where both sides end a token, and how many tokens of each side have ended there."""
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    return common, np.searchsorted(ends_a, common, side="right"), np.searchsorted(ends_b, common, side="right")
 
 
 class Aligner:
@@ -115,49 +142,71 @@ class Aligner:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
+        size = 1 + max(tokenizers.bytes_a)
+        self.length_a = np.array([len(tokenizers.bytes_a.get(i, b"")) for i in range(size)])
+        self.length_b = np.array([len(x) for x in tokenizers.bytes_b])
+        self.width = max(size, len(self.length_b))
+        self.signed = np.array([f"{sign}{i}" for sign in ",|;\n" for i in range(self.width)], dtype=object)
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.said: list[str] = []
-        self.counts: list[tuple[int, int, int, int, bool]] = []
-        self.pair_number: dict[tuple[int, int], int] = {}
-        self.pair: list[tuple[int, int]] = []
-        self.at: list[int] = [0]
-        self.pairs: list[int] = []
-        self.times: list[int] = []
+        self.said: list[str | None] = []
+        self.counts: list[np.ndarray] = [np.zeros((0, 5), dtype=np.int32)]
+        self.links: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
         self.size = 0
 
     def learn(self, words: list[str]) -> None:
+        """Numbers the words; of each n_a, n_b, n_groups, n_links and whether both sides give it back, and its links."""
+        # only at the end of a text is white space the end of a word; by themselves they lead into no other
+        plain = [w for w in words if w and w[-1] not in _SPACES] if self.tokenizers.by_words else []
+        odd = [w for w in words if not w or w[-1] in _SPACES] if self.tokenizers.by_words else words
+        for part in [plain[i : i + 4096] for i in range(0, len(plain), 4096)] + [[w] for w in odd]:
+            self._learn(part)
+
+    def _learn(self, words: list[str]) -> None:
         t = self.tokenizers
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, (a, b) in zip(part, t.encode(part), strict=True):
-                raw = (" " + word).encode()
-                parts_a, parts_b = [t.bytes_a[i] for i in a], [t.bytes_b[i] for i in b]
-                good = b"".join(parts_a) == raw and b"".join(parts_b) == raw
-                links: Counter = Counter()
-                found = align(a, b, np.cumsum([len(x) for x in parts_a]).tolist(), np.cumsum([len(x) for x in parts_b]).tolist()) if good else []
-                for left, right in found:
-                    if len(left) == len(right) == 1:
-                        links[left[0], right[0]] += 1
-                    else:
-                        other = Counter(right)
-                        for x, n in Counter(left).items():
-                            for y, m in other.items():
-                                links[x, y] += n * m
-                self.number[word] = len(self.said)
-                self.size += len(word) + 16 * (len(a) + len(b))
-                self.said.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found))
-                self.counts.append((len(a), len(b), len(found), sum(links.values()), good))
-                for pair, n in links.items():
-                    k = self.pair_number.get(pair)
-                    if k is None:
-                        k = self.pair_number[pair] = len(self.pair)
-                        self.pair.append(pair)
-                    self.pairs.append(k)
-                    self.times.append(n)
-                self.at.append(len(self.pairs))
+        a, b = t.encode(words)
+        raw = "".join([" " + w for w in words]).encode()
+        if not all(b"".join(map(table.__getitem__, ids.tolist())) == raw for table, ids in ((t.bytes_a, a), (t.bytes_b, b))):
+            if len(words) > 1:
+                for half in (words[: len(words) // 2], words[len(words) // 2 :]):
+                    self._learn(half)
+                return
+            # nothing is linked in it, nor in any text that has it
+            self.number[words[0]] = len(self.said)
+            self.said.append(None)
+            self.counts.append(np.zeros((1, 5), dtype=np.int32))
+            return
+        common, to_a, to_b = align(np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]))
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        ends = np.cumsum([1 + len(w.encode()) for w in words])
+        to_group = np.searchsorted(common, ends, side="right")
+        of_group = np.repeat(np.arange(len(common)), n_a)
+        # each A token meets all B tokens of its group
+        links = np.repeat(a, n_b[of_group]) << _BITS | b[_ranges((to_b - n_b)[of_group], n_b[of_group])]
+        sums = [np.diff(np.append(0, np.cumsum(x))[to_group], prepend=0) for x in (n_a, n_b, np.ones(len(common), np.int64), n_a * n_b)]
+        said = self._say(a, b, n_a, n_b, to_group)
+        first = len(self.said)
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        self.said += said
+        self.counts.append(np.stack([*sums, np.ones(len(words), np.int64)], axis=1).astype(np.int32))
+        self.links.append(links)
+        self.size += len(raw) + 8 * len(links) + 8 * len(a)
+
+    def _say(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, to_group: np.ndarray) -> list[str]:
+        """The groups of each word as text: every id with the sign before it, those of A and B of a group in turn."""
+        width = 2 * len(n_a)
+        count, start = np.zeros(width, np.int64), np.zeros(width, np.int64)
+        count[::2], count[1::2] = n_a, n_b
+        start[::2], start[1::2] = np.cumsum(n_a) - n_a, len(a) + np.cumsum(n_b) - n_b
+        ids = np.concatenate([a, b])[_ranges(start, count)]
+        sign = np.zeros(len(ids), np.int64)  # a comma
+        first = np.cumsum(count) - count
+        sign[first[1::2]] = 1  # a bar
+        sign[first[::2]] = 2  # a semicolon
+        sign[first[::2][np.append(0, to_group[:-1])]] = 3  # the next word
+        return "".join(self.signed[sign * self.width + ids].tolist())[1:].split("\n")
 
     def group(self, texts: list[str | None]):
         """Of each text (n_a, n_b, n_groups, n_links, groups_sha256), and of all (text, pair, times) as arrays."""
@@ -165,31 +214,24 @@ class Aligner:
         if len(self.number) > MEMO or self.size > MEMO_BYTES:
             self.clear()
         self.learn(list(set().union(*cut_up) - self.number.keys()))
-        numbers = [list(map(self.number.__getitem__, words)) for words in cut_up]
-        size = np.array([len(x) for x in numbers], dtype=np.int64)
-        flat = np.fromiter((n for x in numbers for n in x), dtype=np.int64, count=int(size.sum()))
+        self.counts, self.links = [np.concatenate(self.counts)], [np.concatenate(self.links)]
+        counts, links = self.counts[0], self.links[0]
+        last = np.cumsum(counts[:, 3], dtype=np.int64)
+        size = np.array([len(x) for x in cut_up], dtype=np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(map(self.number.__getitem__, words) for words in cut_up), dtype=np.int64, count=int(size.sum()))
         text = np.repeat(np.arange(len(texts)), size)
-        counts = np.array(self.counts, dtype=np.int64).reshape(-1, 5)
         bad = np.bincount(text, counts[flat, 4] == 0, minlength=len(texts)) > 0
+        cuts = np.append(0, np.cumsum(size)).tolist()
+        numbers = flat.tolist()
+        said = ["" if bad[i] or a == b else hashlib.sha256(";".join(map(self.said.__getitem__, numbers[a:b])).encode()).hexdigest() for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
         held = ~bad[text]
         text, flat = text[held], flat[held]
         sums = [np.bincount(text, counts[flat, k], minlength=len(texts)).astype(np.int64) for k in range(4)]
-        said = ["" if bad[i] or not x else hashlib.sha256(";".join(map(self.said.__getitem__, x)).encode()).hexdigest() for i, x in enumerate(numbers)]
-        key, n = np.unique(text * max(len(self.said), 1) + flat, return_counts=True)
-        text, flat = key // max(len(self.said), 1), key % max(len(self.said), 1)
-        at = np.array(self.at, dtype=np.int64)
-        many = at[flat + 1] - at[flat]
-        where = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at[flat], many)
-        pair = np.array(self.pairs, dtype=np.int64)[where]
-        times = np.array(self.times, dtype=np.int64)[where] * np.repeat(n, many)
-        width = max(len(self.pair), 1)
-        key = np.repeat(text, many) * width + pair
-        order = np.argsort(key, kind="stable")
-        key, times = key[order], times[order]
+        many = counts[flat, 3].astype(np.int64)
+        key = np.sort(links[_ranges(last[flat] - many, many)] << _TEXT_BITS | np.repeat(text, many))
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        times = np.add.reduceat(times, heads) if len(heads) else times
-        key = key[heads]
-        return list(zip(*(s.tolist() for s in sums), said, strict=True)), key // width, np.array(self.pair, dtype=np.int64).reshape(-1, 2)[key % width], times
+        key, times = key[heads], np.diff(np.append(heads, len(key)))
+        return list(zip(*(s.tolist() for s in sums), said, strict=True)), key & (1 << _TEXT_BITS) - 1, key >> _TEXT_BITS, times
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -210,15 +252,15 @@ def _encode_task(path_a: str, path_b: str, slots: int):
         for g, batch in enumerate(groups(batches, "text", GROUP_BYTES, GROUP_ROWS)):
             own, text, pair, times = aligner.group(batch.column(1).to_pylist())
             rows: list = [(_DOC, first + g, None, None, None, None, None, i, doc_id, *x) for i, (doc_id, x) in enumerate(zip(batch.column(0).to_pylist(), own, strict=True))]
-            slot = slot_of(pair[:, 0], slots)
-            order = np.lexsort((text, pair[:, 1], pair[:, 0], slot))
+            slot = slot_of(pair >> _BITS, slots)
+            order = np.argsort(slot, kind="stable")  # pairs and their texts ascend already
             text, pair, times, slot = text[order], pair[order], times[order], slot[order]
             edges = np.unique(np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)])))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 p = pair[a:b]
-                heads = np.flatnonzero(np.append(True, (p[1:] != p[:-1]).any(1)))
+                heads = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
                 docs = np.diff(np.append(heads, b - a))
-                rows.append((_POSTING, first + g, int(slot[a]), len(heads), int(b - a), _planes(squeeze, p[heads, 0], p[heads, 1], docs), _planes(squeeze, text[a:b], times[a:b]), *[None] * 7))
+                rows.append((_POSTING, first + g, int(slot[a]), len(heads), b - a, _planes(squeeze, p[heads] >> _BITS, p[heads] & (1 << _BITS) - 1, docs), _planes(squeeze, text[a:b], times[a:b]), *[None] * 7))
             for at in range(0, len(rows), 4096):
                 yield _batch(rows[at : at + 4096], _TYPES, _names(_STORED))
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,4 +71,5 @@ def test_no_documents(spark):
 
 
 def test_groups_end_where_both_sides_do():
-    assert align([1, 2, 3], [7, 8], [2, 3, 5], [3, 5]) == [([1, 2], [7]), ([3], [8])]
+    common, to_a, to_b = align(np.array([2, 3, 5]), np.array([3, 5]))
+    assert common.tolist() == [3, 5] and to_a.tolist() == [2, 3] and to_b.tolist() == [1, 2]
