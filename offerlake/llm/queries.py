@@ -11,6 +11,8 @@ from .alignment import align_tokenizers
 from .common import spread, table
 from .decontamination import find_contamination
 from .fingerprints import fingerprint_versions
+from .hard_negatives import mine_hard_negatives
+from .jaccard_join import jaccard_components
 from .languages import identify_languages
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
@@ -66,10 +68,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spread(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(spread(table(spark, sf_dir, "documents")))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spread(table(spark, sf_dir, "documents")))
+
+
 OP10_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -91,5 +101,38 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 FROM words w LEFT JOIN kept k USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_near_duplicates, op4_toxicity, op5_fingerprints, op6_decontamination, op7_language_id, op8_mixing, op9_personal_data, op10_substring_dedup, op12_tokenizer_alignment)}
-ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
+OP11_SQL = """
+WITH rows AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id) AS positive_rank FROM scored WHERE same QUALIFY positive_rank <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other_id) AS rank, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score, p.positive_rank
+  FROM positives p JOIN scored s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score, CAST(positive_rank AS INTEGER) AS positive_rank FROM negatives
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words
+), tokens AS (
+  SELECT r, len(s) AS n, unnest(s) AS t FROM sets
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT r AS a, r AS b FROM sets UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+), least AS (
+  SELECT a, min(doc_id) AS component_id FROM reached JOIN sets ON sets.r = reached.b GROUP BY a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least ON a = r
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_near_duplicates, op4_toxicity, op5_fingerprints, op6_decontamination, op7_language_id, op8_mixing, op9_personal_data, op10_substring_dedup, op11_hard_negatives, op12_tokenizer_alignment, op13_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_jaccard_join": OP13_SQL}
