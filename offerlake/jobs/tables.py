@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,19 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-offerlake-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder, for what is read more than once or must not change when read again."""
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bucket_of(key: str, buckets: int = BUCKETS):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _commits(spark: SparkSession, root: str) -> DataFrame | None:
+def read_if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives, or None where its folder does not exist yet."""
     try:
-        return spark.read.schema(_MANIFEST).parquet(f"{root}/commits")
+        return read()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
 
 
+def _commits(spark: SparkSession, root: str) -> DataFrame | None:
+    return read_if_there(lambda: spark.read.schema(_MANIFEST).parquet(f"{root}/commits"))
+
+
 def is_committed(spark: SparkSession, root: str, batch_id: int) -> bool:
     found = _commits(spark, root)
     return found is not None and not found.filter(F.col("batch") == batch_id).isEmpty()

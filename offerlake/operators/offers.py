@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_left, retention_cutoff
 from ..functions.values import EXTRACTOR_VERSION
+from ..jobs.tables import written
 
 KEY = ["brand_key", "normalized_code"]
 #: Details whose null falls back to the older sighting.
@@ -120,6 +121,55 @@ def merge_offers_by_date(sightings: DataFrame) -> DataFrame:
     return merged.join(listed, KEY, "left").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
 
 
+def merge_in_stretches(sightings: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``merge_offers``, exactly, and (brand_key, normalized_code, message_id, first_seq): the messages of each offer as rows.
+
+    The order of arrival is cut into ``parts`` stretches (default: as many as shuffle partitions), a key of many sightings into many of
+    them. Each stretch is summed up by its last state, its last sighting of another state and its latest date; a window over a
+    key's stretches composes these, so that every sighting knows whether it is of the last run and whether its date was the latest
+    when it came. With that the fold is an aggregation of one row each, combined before the shuffle: a field that may be null is that of
+    the last such record that has it, or else of the first sighting that has it. No task has more of a key than a
+    stretch. Arrivals of the same ``seq`` are ordered by their fields; flags, lists and conditions are not null.
+    """
+    fields = [c for c in sightings.columns if c not in (*KEY, "seq")]
+    parts = parts or int(sightings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by, part = [*KEY, "stretch"], Window.partitionBy(*KEY).orderBy("stretch")
+    whole, before = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), part.rowsBetween(Window.unboundedPreceding, -1)
+    ordered = sightings.select(*KEY, "seq", F.struct(*fields).alias("v")).repartitionByRange(parts, *KEY, "seq").withColumn("stretch", F.spark_partition_id())
+    inside = Window.partitionBy(*by).orderBy("seq", "v")
+    # written, as ranges are found by sampling and must be the same in all that follows
+    rows = written(written(ordered).withColumn("at", F.struct("stretch", F.row_number().over(inside).alias("pos"))))
+    state, date = F.struct("v.extractor_version", "v.llm_processed"), F.col("v.source_date")
+    heads = rows.groupBy(*by).agg(F.max_by(state, "at").alias("state")).select(*by, F.last("state").over(whole).alias("final"))
+    ends = rows.join(heads, by).groupBy(*by).agg(F.max(F.when(state != F.col("final"), F.col("at"))).alias("end")).select(*by, F.max("end").over(whole).alias("end"))
+    run = rows.join(ends, by).filter(F.col("end").isNull() | (F.col("at") > F.col("end"))).drop("end")
+    tops = run.groupBy(*by).agg(F.max(date).alias("top")).select(*by, F.max("top").over(before).alias("top"))
+    earlier = F.greatest("top", F.max(date).over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)))
+    run = written(run.join(tops, by).select(*KEY, "seq", "at", "v.*", F.coalesce(F.col("source_date") >= earlier, F.lit(True)).alias("record")))
+    latest = F.struct("source_date", "at")
+
+    def pick(f: str) -> Column:
+        has = F.col(f) != "" if f == "conditions" else F.col(f).isNotNull()
+        if f in FALLBACK or f == "conditions":
+            found = F.coalesce(F.max_by(f, F.when(F.col("record") & has, F.col("at"))), F.min_by(f, F.when(has, F.col("at"))))
+            return F.coalesce(found, F.lit("")) if f == "conditions" else found
+        if f in EITHER:
+            return F.bool_or(f)
+        if f == "source":
+            return F.when(F.bool_or(F.col(f) == "link"), "link").otherwise(F.max_by(f, latest))
+        return F.bool_and(f) if f == "needs_review" else F.max_by(f, latest)
+
+    # a single sighting keeps its list as it is
+    only = [F.when(F.count(F.lit(1)) == 1, F.first("categories")).alias("only")] if "categories" in fields else []
+    merged = run.groupBy(*KEY).agg(*[pick(f).alias(f) for f in fields if f not in ("categories", "message_ids")], *only)
+    if only:
+        firsts = run.select(*KEY, "at", F.posexplode("categories").alias("n", "category")).groupBy(*KEY, "category").agg(F.min(F.struct("at", "n")).alias("first"))
+        listed = firsts.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "category"))), lambda x: x["category"]).alias("categories"))
+        merged = merged.join(listed, KEY, "left").withColumn("categories", F.coalesce("only", "categories", F.array().cast("array<string>"))).drop("only")
+    sources = run.select(*KEY, "seq", F.explode("message_ids").alias("message_id")).groupBy(*KEY, "message_id").agg(F.min("seq").alias("first_seq"))
+    return merged, sources
+
+
 def offer_sources(sightings: DataFrame) -> DataFrame:
     """(brand_key, normalized_code, message_id, first_seq) of the last run: an offer's messages as rows."""
     rows = last_run(sightings).select(*KEY, "seq", F.explode("message_ids").alias("message_id"))

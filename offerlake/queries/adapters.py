@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..jobs.tables import shared_dir
+from ..jobs.tables import written as written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +17,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder, for what is read more than once."""
-    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 #: Every document is a message; pages with its number are its HTML, with a link and a picture that carry codes.
 MESSAGES = """
 SELECT d.doc_id AS message_id, d.doc_id % 97 AS thread_id, d.source AS source,

@@ -52,6 +52,12 @@ def g3_merge_by_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(O.merge_offers(_arrays(sightings(spark, sf_dir))))
 
 
+def g3_merge_in_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact fold as a scan over stretches of arrivals, with the number of messages of each offer."""
+    merged, sources = O.merge_in_stretches(_arrays(sightings(spark, sf_dir)))
+    return _flat(merged).join(sources.groupBy(*O.KEY).agg(F.count(F.lit(1)).alias("n_messages")), O.KEY)
+
+
 def g4_merge_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(O.merge_offers_by_date(_arrays(sightings(spark, sf_dir))))
 
@@ -161,7 +167,7 @@ FROM walk QUALIFY n = max(n) OVER (PARTITION BY brand_key, normalized_code)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (flagship, f1_brand_keys, f2_display_brand, g1_build_offers, g3_merge_by_arrival, g4_merge_by_date, g4_offer_sources, g5_drop_stale, g6_purge_expired, g9_lookup, h2_expiry_state, h4_format_money, h5_conditions)
+    f.__name__: f for f in (flagship, f1_brand_keys, f2_display_brand, g1_build_offers, g3_merge_by_arrival, g3_merge_in_stretches, g4_merge_by_date, g4_offer_sources, g5_drop_stale, g6_purge_expired, g9_lookup, h2_expiry_state, h4_format_money, h5_conditions)
 }
 _LEFT = "date_diff('day', DATE '1995-06-17', d)"
 ORACLE_SQL = {
@@ -170,6 +176,7 @@ ORACLE_SQL = {
     "f2_display_brand": f"WITH {MESSAGES_CTE}, {_brands('messages', 'message_id')} SELECT message_id, sender_domain, brand_key, brand FROM branded",
     "g1_build_offers": f"""WITH {_FOUND}, {_BUILT} SELECT brand_key, normalized_code, code, brand, source, needs_review, message_id, '["' || brand_key || '","' || normalized_code || '"]' AS offer_key, source_date FROM built""",
     "g3_merge_by_arrival": _FOLD,
+    "g3_merge_in_stretches": _FOLD.replace("array_to_string(list_transform(ids, lambda i: CAST(i AS VARCHAR)), ',') AS message_ids", "CAST(len(list_distinct(ids)) AS BIGINT) AS n_messages"),
     "g4_merge_by_date": f"WITH {_RUNS}, {_CATEGORIES}, m AS (SELECT brand_key, normalized_code, {_BY_DATE} FROM run_ GROUP BY ALL) SELECT m.* REPLACE (CAST(extractor_version AS BIGINT) AS extractor_version), categories FROM m JOIN cats USING (brand_key, normalized_code)",
     "g4_offer_sources": f"WITH {_RUNS} SELECT brand_key, normalized_code, message_id, min(seq) AS first_seq FROM run_ GROUP BY ALL",
     "g5_drop_stale": f"WITH {SIGHTINGS_CTE} SELECT seq, brand_key, normalized_code FROM sightings WHERE extractor_version = 5 AND llm_processed",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..jobs.tables import shared_dir
 from ..operators import sync as S
+from ..streaming.history import LogFeed, append_changes, history, planned_offset
 from ..streaming.incremental import discover, event_feed
 from .adapters import MESSAGES_CTE, messages, table
 
@@ -42,6 +43,20 @@ def a3_feed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.feed_ids(feed)
 
 
+def a3_read_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log of changes, read through the streaming source in two runs: the second starts from the first one's offsets."""
+    root = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("message_id"), F.col("event_type").alias("kind"))
+    append_changes(log, f"{root}/log")
+    feed = LogFeed(f"{root}/log")
+    oldest, newest = feed.bounds()
+    for options in ({"per_batch": (newest - oldest) // 2 + 1}, {}) if newest is not None else ({},):
+        resume = planned_offset(spark, f"{root}/state")
+        found = history(spark, feed, **options, **({} if resume is None else {"resume": resume}))
+        found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("seq bigint, message_id string, kind string").parquet(f"{root}/out")
+
+
 def j1_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("message_id"))
     return S.pending_messages(listed, _view(spark, sf_dir, _PROCESSED), model=True)
@@ -89,11 +104,12 @@ def j11_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.progress(_view(spark, sf_dir, _PROCESSED), _view(spark, sf_dir, _LEDGER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (a2_list_window, a3_feed_ids, i5_classify_error, j1_pending, j2_take_slice, j3_status, j4_discover_stream, j8_retry_ledger, j9_route_failure, j10_batch_delay, j11_progress)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (a2_list_window, a3_feed_ids, a3_read_history, i5_classify_error, j1_pending, j2_take_slice, j3_status, j4_discover_stream, j8_retry_ledger, j9_route_failure, j10_batch_delay, j11_progress)}
 _KIND = "CASE WHEN status IN (401, 403) THEN 'auth' WHEN status = 429 THEN 'rate-limit' WHEN status = 408 THEN 'network' WHEN status = 404 OR (status = 400 AND regexp_matches(body, '(?i)\\b(model|unsupported parameter)\\b')) THEN 'model' WHEN status >= 500 THEN 'server' ELSE 'schema' END"
 ORACLE_SQL = {
     "a2_list_window": f"WITH {MESSAGES_CTE} SELECT message_id, internal_date FROM messages WHERE label = 'CATEGORY_PROMOTIONS' AND internal_date >= {NOW - 45 * 86_400_000}",
     "a3_feed_ids": "SELECT DISTINCT message_id FROM (SELECT CAST(user_id AS VARCHAR) AS message_id FROM events UNION ALL SELECT CAST(user_id + 7 AS VARCHAR) FROM events WHERE event_id % 2 = 0)",
+    "a3_read_history": "SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS message_id, event_type AS kind FROM events",
     "i5_classify_error": f"SELECT event_id, {_KIND} AS kind, {_KIND} IN ('rate-limit', 'network', 'server') AS retryable FROM ({_sql(_FAILURES)})",
     "j1_pending": f"SELECT o_orderkey AS message_id FROM orders WHERE o_orderkey NOT IN (SELECT message_id FROM ({_sql(_PROCESSED)}) WHERE extractor_version = 5 AND NOT (status = 'candidates' AND NOT llm_processed))",
     "j2_take_slice": f"WITH {MESSAGES_CTE} SELECT message_id, internal_date FROM messages ORDER BY internal_date DESC, message_id LIMIT 15",
