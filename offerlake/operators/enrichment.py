@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import strict_date
 from ..functions.text import normalize_code, trim
+from ..jobs.tables import read_if_there, written
 from .sync import is_retryable
 
 BODY, CONDITIONS = 6000, 120
@@ -73,6 +78,69 @@ def run_inference(prompts: DataFrame, call: Callable[[pd.Series], pd.Series], sl
     return prompts.select("message_id", "prompt").repartition(slots).mapInPandas(run, f"message_id {kind}, response string")
 
 
+ANSWER = "key string, body string"
+CALLED = "key string, status int, body string, retry_after_ms bigint"
+
+
+def prompt_key(prompt: Column, model: str) -> Column:
+    """What an answer is kept by: the model and the whole prompt."""
+    return F.sha2(F.concat(F.lit(model), F.lit("\n"), prompt), 256)
+
+
+def logged_answers(spark: SparkSession, log: str) -> DataFrame:
+    """(key, body) of all answers in a log."""
+    kept = read_if_there(lambda: spark.read.schema(ANSWER).option("recursiveFileLookup", "true").parquet(log))
+    # an answer is there twice only if two jobs asked at the same time
+    return spark.createDataFrame([], ANSWER) if kept is None else kept.groupBy("key").agg(F.min("body").alias("body"))
+
+
+def _ask(call: Callable[[pd.Series], pd.DataFrame], log: str, batch: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Calls for what a bucket's folder lacks, and writes each batch of answers there before the next is asked for."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(log)
+        bucket, known = None, set()
+        for rows in batches:
+            for number, part in rows.groupby("bucket", sort=True):
+                folder = f"{base}/{number}"
+                if number != bucket:
+                    bucket, known = number, set()
+                    # what an attempt that was lost, or another job, has asked since the join
+                    for file in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                        if file.path.endswith(".parquet"):
+                            known |= set(pq.read_table(file.path, columns=["key"], filesystem=store)["key"].to_pylist())
+                part = part[~part["key"].isin(known)]
+                for at in range(0, len(part), batch):
+                    some = part.iloc[at : at + batch]
+                    said = call(some["prompt"]).assign(key=some["key"].to_numpy())
+                    good = said[said["status"] == 200]
+                    if len(good):
+                        store.create_dir(folder, recursive=True)
+                        name = uuid.uuid4().hex
+                        pq.write_table(pa.Table.from_pydict({"key": good["key"].tolist(), "body": good["body"].tolist()}, pa.schema([("key", pa.string()), ("body", pa.string())])), f"{folder}/_{name}", filesystem=store)
+                        store.move(f"{folder}/_{name}", f"{folder}/{name}.parquet")
+                    yield said[said["status"] != 200][["key", "status", "body", "retry_after_ms"]]
+
+    return run
+
+
+def run_logged_inference(prompts: DataFrame, call: Callable[[pd.Series], pd.DataFrame], log: str, model: str = "", slots: int = 8, batch: int = 32, buckets: int = 256) -> DataFrame:
+    """(message_id, status, body, retry_after_ms) of prompts, none of which is asked again once its answer is in ``log``.
+
+    ``call`` takes a batch of prompts and gives status, body and retry_after_ms of each; ``slots`` tasks call at a time. A status
+    of 200 is an answer. Answers are kept by the hash of model and prompt in a folder for each of ``buckets`` shares of the
+    hashes; each batch is there before the next one is asked for, so a job that dies loses what it had under way at most, and a task that runs
+    again asks only for the rest. Equal prompts are asked once. Failures are not kept: they are this run's result, and asked again by the next.
+    """
+    spark = prompts.sparkSession
+    keyed = written(prompts.select("message_id", "prompt", prompt_key(F.col("prompt"), model).alias("key")))
+    missing = keyed.join(logged_answers(spark, log).select("key"), "key", "left_anti").groupBy("key").agg(F.first("prompt").alias("prompt"))
+    dealt = missing.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).repartition(slots, "bucket").sortWithinPartitions("bucket", "key")
+    failed = written(dealt.mapInPandas(_ask(call, log, batch), CALLED))
+    good = logged_answers(spark, log).select("key", F.lit(200).alias("status"), "body", F.lit(None).cast("bigint").alias("retry_after_ms"))
+    return keyed.drop("prompt").join(good.unionByName(failed), "key").select("message_id", "status", "body", "retry_after_ms")
+
+
 def normalize_responses(responses: DataFrame) -> DataFrame:
     """(message_id, json, input_tokens, output_tokens, error) of responses (message_id, provider, body) of three shapes."""
     a = F.from_json("body", "content array<struct<type:string,name:string,input:string,text:string>>, stop_reason string, usage struct<input_tokens:bigint,output_tokens:bigint>")

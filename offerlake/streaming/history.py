@@ -12,14 +12,15 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..jobs.tables import read_if_there
 
 #: Stands in the message of the error of a cursor before the oldest change that is kept.
 EXPIRED = "HISTORY_CURSOR_EXPIRED"
 GENERATION = 1 << 32
-_SCHEMA = "seq bigint, message_id string, kind string"
-_ARROW = pa.schema([("seq", pa.int64()), ("message_id", pa.string()), ("kind", pa.string())])
+CHANGES = "seq bigint, message_id string, kind string"
 _GENERATIONS = "generation bigint, cursor bigint"
 
 
@@ -28,21 +29,22 @@ class ExpiredCursor(Exception):
         super().__init__(f"{EXPIRED}: changes after {cursor} are no longer kept, the oldest one is {oldest}")
 
 
-def append_changes(changes: DataFrame, folder: str, files: int | None = None) -> None:
-    """Adds changes (seq, message_id, kind) to a log, by ranges of ``seq``, so that readers open few row groups."""
+def append_changes(changes: DataFrame, folder: str, files: int | None = None, schema: str = CHANGES) -> None:
+    """Adds rows with a ``seq`` to a log, by ranges of it, so that readers open few row groups."""
     files = files or max(1, changes.sparkSession.sparkContext.defaultParallelism)
-    rows = changes.select(F.col("seq").cast("bigint").alias("seq"), F.col("message_id").cast("string").alias("message_id"), F.col("kind").cast("string").alias("kind"))
+    rows = changes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
     rows.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.mode("append").parquet(folder)
 
 
 class LogFeed:
-    """A folder of Parquet files with changes. What is removed from it counts as no longer kept.
+    """A folder of Parquet files with changes (``seq`` and what else ``schema`` has). What is removed from it counts as no longer kept.
 
     ``bounds`` and ``splits`` read the footers only, those of a file once.
     """
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, schema: str = CHANGES):
+        self.folder, self.schema = folder, schema
+        self.arrow = to_arrow_schema(StructType.fromDDL(schema))  # here, as tasks have no session
         self.known: dict[str, list[tuple[int, int, int]]] = {}
 
     def _store(self) -> tuple[fs.FileSystem, str]:
@@ -70,10 +72,10 @@ class LogFeed:
     def read(self, split: tuple) -> Iterator[pa.RecordBatch]:
         path, k, after, upto = split
         try:
-            rows = pq.ParquetFile(path, filesystem=self._store()[0]).read_row_group(k, columns=_ARROW.names)
+            rows = pq.ParquetFile(path, filesystem=self._store()[0]).read_row_group(k, columns=self.arrow.names)
         except FileNotFoundError:
             raise ExpiredCursor(after, None) from None
-        rows = rows.filter(pc.and_(pc.greater(rows["seq"], after), pc.less_equal(rows["seq"], upto))).cast(_ARROW)
+        rows = rows.filter(pc.and_(pc.greater(rows["seq"], after), pc.less_equal(rows["seq"], upto))).cast(self.arrow)
         yield from rows.to_batches()
 
 
@@ -123,9 +125,9 @@ class HistoryReader(DataSourceStreamReader):
 
 
 def history(spark: SparkSession, feed: LogFeed, **options: int) -> DataFrame:
-    """The changes (seq, message_id, kind) of ``feed`` as a stream, from ``cursor`` on, at most ``per_batch`` numbers a batch.
+    """The changes of ``feed`` as a stream, from ``cursor`` on, at most ``per_batch`` numbers a batch.
 
-    A feed has ``bounds()``, ``splits(after, upto)`` and ``read(split)``, and can be pickled. A cursor before the oldest change
+    A feed has a ``schema``, ``bounds()``, ``splits(after, upto)`` and ``read(split)``, and can be pickled. A cursor before the oldest change
     that is kept ends the query with an error that says ``EXPIRED``, at its start or later.
     """
 
@@ -135,7 +137,7 @@ def history(spark: SparkSession, feed: LogFeed, **options: int) -> DataFrame:
             return "offerlake_history"
 
         def schema(self) -> str:
-            return _SCHEMA
+            return feed.schema
 
         def streamReader(self, schema) -> HistoryReader:
             return HistoryReader(feed, self.options)
