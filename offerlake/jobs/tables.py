@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,9 +10,12 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 BUCKETS = 64
-_MANIFEST = "batch bigint, name string, bucket int, path string"
+#: ``kind`` is the schema, as a folder may have no rows. An appended table's rows have no bucket; ``WHOLE`` stands for all that was appended before.
+_MANIFEST = "batch bigint, name string, bucket int, path string, kind string"
+WHOLE = -1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,13 +73,31 @@ def commit_batch(appended: dict[str, DataFrame], replaced: dict[str, tuple[DataF
     manifest = []
     for name, df in appended.items():
         df.write.parquet(f"{attempt}/{name}")
-        manifest.append((batch_id, name, None, f"{attempt}/{name}"))
+        manifest.append((batch_id, name, None, f"{attempt}/{name}", df.schema.json()))
     for name, (df, key, buckets) in replaced.items():
-        df.withColumn("bucket", bucket_of(key)).repartition("bucket").write.partitionBy("bucket").parquet(f"{attempt}/{name}")
-        manifest += [(batch_id, name, b, f"{attempt}/{name}") for b in buckets]
+        if buckets:
+            df.withColumn("bucket", bucket_of(key)).repartition("bucket").write.partitionBy("bucket").parquet(f"{attempt}/{name}")
+            manifest += [(batch_id, name, b, f"{attempt}/{name}", df.schema.json()) for b in buckets]
+    _make_current(spark, root, manifest)
+
+
+def _make_current(spark: SparkSession, root: str, manifest: list[tuple]) -> None:
     spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
+def compact(spark: SparkSession, root: str, name: str, batch_id: int, rows: DataFrame) -> None:
+    """``rows``, which say the same as an appended table, take the place of all its folders, so that their number does not only grow.
+
+    ``batch_id`` comes after the batches that the rows were read from, and before those that are to follow. Folders that are not read any more may go once no
+    reader is left that began before.
+    """
+    if is_committed(spark, root, batch_id):
+        return
+    path = f"{root}/batch-{batch_id}-{uuid.uuid4().hex}/{name}"
+    rows.write.parquet(path)
+    _make_current(spark, root, [(batch_id, name, WHOLE, path, rows.schema.json())])
+
+
 def current(spark: SparkSession, root: str, name: str, buckets: list[int] | None = None) -> DataFrame | None:
     """A table as the committed batches left it, or some of its buckets; None before the first batch.
 
@@ -84,17 +106,19 @@ def current(spark: SparkSession, root: str, name: str, buckets: list[int] | None
     commits = _commits(spark, root)
     if commits is None:
         return None
-    rows = commits.filter(F.col("name") == name).groupBy("bucket", F.when(F.col("bucket").isNull(), F.col("path"))).agg(F.max_by("path", F.struct("batch", "path")).alias("path")).select("bucket", "path").collect()
-    rows = [r for r in rows if buckets is None or r["bucket"] is None or r["bucket"] in buckets]
-    if not rows:
-        return None
-    plain = [r["path"] for r in rows if r["bucket"] is None]
+    mine = commits.filter(F.col("name") == name)
+    if buckets is not None:
+        mine = mine.filter(F.col("bucket").isNull() | F.col("bucket").isin([WHOLE, *buckets]))
+    last = F.max_by(F.struct("path", "kind", "batch"), F.struct("batch", "path")).alias("last")
+    rows = mine.groupBy("bucket", F.when(F.col("bucket").isNull(), F.col("path"))).agg(last).select("bucket", "last.*").collect()
+    since = max((r["batch"] for r in rows if r["bucket"] == WHOLE), default=-1)
+    plain = [r for r in rows if r["bucket"] == WHOLE or r["bucket"] is None and r["batch"] > since]
     if plain:
-        return spark.read.parquet(*plain)
-    paths = sorted({r["path"] for r in rows})
+        return spark.read.schema(StructType.fromJson(json.loads(plain[-1]["kind"]))).parquet(*[r["path"] for r in plain])
     found = None
-    for path in paths:
-        mine = [r["bucket"] for r in rows if r["path"] == path]
-        part = spark.read.option("basePath", path).parquet(path).filter(F.col("bucket").isin(mine)).drop("bucket")
+    for path in sorted({r["path"] for r in rows}):
+        here = [r for r in rows if r["path"] == path]
+        kind = StructType.fromJson(json.loads(here[0]["kind"])).add("bucket", IntegerType())
+        part = spark.read.schema(kind).option("basePath", path).parquet(path).filter(F.col("bucket").isin([r["bucket"] for r in here])).drop("bucket")
         found = part if found is None else found.unionByName(part)
     return found

@@ -285,7 +285,8 @@ def _mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _offers_of(spark: SparkSession, root: str) -> DataFrame:
-    return current(spark, root, "offers").select("brand_key", "normalized_code", F.col("extractor_version").cast("bigint").alias("extractor_version"), "llm_processed", F.size("message_ids").cast("bigint").alias("n_messages"))
+    n = current(spark, root, "sources").groupBy(*O.KEY).agg(F.count(F.lit(1)).alias("n_messages"))
+    return current(spark, root, "offers").join(n, O.KEY).select(*O.KEY, F.col("extractor_version").cast("bigint").alias("extractor_version"), "llm_processed", "n_messages")
 
 
 def j6_run_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ def mails(spark, ids):
 
 
 def offers(spark, root):
-    return sorted((r.brand_key, r.normalized_code, tuple(sorted(r.message_ids))) for r in current(spark, root, "offers").collect())
+    ids = current(spark, root, "sources").groupBy("brand_key", "normalized_code").agg(F.sort_array(F.collect_list("message_id")).alias("ids"))
+    return sorted((r.brand_key, r.normalized_code, tuple(r.ids)) for r in current(spark, root, "offers").join(ids, ["brand_key", "normalized_code"]).collect())
 
 
 def test_backfill_in_steps_and_again(spark, tmp_path):
