@@ -76,6 +76,28 @@ def text_candidates(rows: DataFrame) -> DataFrame:
     return out.select("message_id", "surface_ord", "part_ord", "source", "t.position", "t.code", "t.normalized", "t.near", score(F.col("source"), F.col("t.normalized"), F.col("t.near")).alias("score"))
 
 
+def range_candidates(rows: DataFrame) -> DataFrame:
+    """As ``text_candidates``, by an interval join on surface and bin instead of a scan in the row.
+
+    For surfaces with very many tokens and trigger phrases. Offsets fall into bins as wide as the longest distance that counts, so
+    that a phrase can only be near to tokens of its own bin and its neighbours; a bin has at most so many ends of phrases in each. Surfaces are told apart by
+    message_id, surface_ord, part_ord and source, which are not null. A surface's bins are spread over tasks.
+    """
+    keys = ["message_id", "surface_ord", "part_ord", "source"]
+    flat = rows.select(*keys, utf16(F.col("text")).alias("flat"))
+    tokens = flat.select(*keys, F.explode(match_offsets(F.col("flat"), CODE_TOKEN)).alias("t")).select(*keys, F.col("t.start").alias("position"), F.col("t.match").alias("code"), F.upper("t.match").alias("normalized"))
+    tokens = tokens.filter(is_acceptable(F.col("code"), F.col("normalized"), F.col("source"), F.lit(True))).withColumn("bin", F.floor(F.col("position") / NEAR))
+    ends = flat.select(*keys, F.explode(trigger_offsets(F.col("flat"))).alias("end")).withColumn("own", F.floor(F.col("end") / NEAR))
+    bins = ends.select(*keys, "end", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("bin")).groupBy(*keys, "bin").agg(F.collect_set("end").alias("ends"))
+    at = F.col("position")
+    met = tokens.join(bins, [*keys, "bin"], "left").select(
+        *keys, "position", "code", "normalized",
+        F.coalesce(F.exists("ends", lambda e: (at >= e) & (at - e <= AFTER)), F.lit(False)).alias("after"), F.coalesce(F.exists("ends", lambda e: F.abs(at - e) <= NEAR), F.lit(False)).alias("near"),
+    )
+    good = met.filter(is_acceptable(F.col("code"), F.col("normalized"), F.col("source"), F.col("after")))
+    return good.select(*keys, "position", "code", "normalized", "near", score(F.col("source"), F.col("normalized"), F.col("near")).alias("score"))
+
+
 def link_candidates(messages: DataFrame) -> DataFrame:
     links = attribute_rows(messages.select("message_id", "html"), "a", "href")
     codes = link_codes(links).withColumn("normalized", normalize_code(F.col("code")))
@@ -99,8 +121,13 @@ def rank_candidates(best: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order))
 
 
-def find_candidates(messages: DataFrame) -> DataFrame:
-    return best_candidates(link_candidates(messages).unionByName(text_candidates(surfaces(messages))))
+def find_candidates(messages: DataFrame, longest: int | None = None) -> DataFrame:
+    """The best candidates of messages; surfaces of more than ``longest`` characters, if given, are scanned by ``range_candidates``."""
+    rows = surfaces(messages)
+    if longest is None:
+        return best_candidates(link_candidates(messages).unionByName(text_candidates(rows)))
+    found = text_candidates(rows.filter(F.length("text") <= longest)).unionByName(range_candidates(rows.filter(F.length("text") > longest)))
+    return best_candidates(link_candidates(messages).unionByName(found))
 
 
 def gate(messages: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -208,3 +208,15 @@ def lookup_offers(offers: DataFrame, brand: str | None = None, code: str | None
     if expires is not None:
         offers = offers.filter(F.col("expiry").between(*expires))
     return offers if category is None else offers.filter(F.array_contains("categories", category))
+
+
+def write_lookup(offers: DataFrame, path: str, files: int | None = None, block_bytes: int = 1 << 20) -> None:
+    """Offers laid out for ``lookup_offers``: by ranges of brand, in order of brand and expiry, with Bloom filters of codes.
+
+    A lookup by brand opens the row groups whose range has it, one by code those whose filter lets it through, and one by
+    expiry those whose dates meet; a row group has about ``block_bytes``. The table is written anew by a merge, as Parquet is not changed in place.
+    """
+    files = files or max(1, int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = offers.repartitionByRange(files, "brand_key", "expiry", "normalized_code").sortWithinPartitions("brand_key", "expiry", "normalized_code")
+    options = {"parquet.bloom.filter.enabled#normalized_code": "true", "parquet.bloom.filter.max.bytes": str(1 << 17), "parquet.bloom.filter.adaptive.enabled": "true", "parquet.block.size": str(block_bytes), "parquet.block.size.row.check.min": "1000"}
+    rows.write.options(**options).parquet(path)

@@ -87,6 +87,12 @@ def e5_text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.text_candidates(rows).select("message_id", F.col("position").cast("bigint").alias("position"), "code", "normalized", "near", F.col("score").cast("bigint").alias("score"))
 
 
+def e3_trigger_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tokens by the interval join."""
+    rows = messages(spark, sf_dir).select("message_id", F.lit(3).alias("surface_ord"), F.lit(0).alias("part_ord"), F.lit("text").alias("source"), "text")
+    return C.range_candidates(rows).select("message_id", F.col("position").cast("bigint").alias("position"), "code", "normalized", "near", F.col("score").cast("bigint").alias("score"))
+
+
 def e8_ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All surfaces, the best of each code, ranked (E6 to E8)."""
     return C.rank_candidates(C.find_candidates(messages(spark, sf_dir))).select("message_id", "code", "normalized", "source", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
@@ -164,7 +170,7 @@ _BEST = f"""
     SELECT mid, code, normalized, src, score FROM found QUALIFY row_number() OVER (PARTITION BY mid, normalized ORDER BY score DESC, so, po, position) = 1
   )"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (c1_strip_non_content, c2_decode_entities, c3_links, c4_visible_text, c5_tag_attributes, d1_query_params, d2_link_codes, e1_trigger_offsets, e2_scan_tokens, e5_text_candidates, e8_ranked_candidates, e9_gate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (c1_strip_non_content, c2_decode_entities, c3_links, c4_visible_text, c5_tag_attributes, d1_query_params, d2_link_codes, e1_trigger_offsets, e2_scan_tokens, e3_trigger_ranges, e5_text_candidates, e8_ranked_candidates, e9_gate)}
 ORACLE_SQL = {
     "c1_strip_non_content": f"SELECT page_id, {_stripped('html')} AS stripped FROM pages",
     "c2_decode_entities": f"SELECT page_id, {_decoded('html')} AS decoded FROM pages",
@@ -175,6 +181,7 @@ ORACLE_SQL = {
     "d2_link_codes": f"WITH {MESSAGES_CTE}, {_STRIPPED}, {_LINKS} SELECT message_id, code FROM link_codes",
     "e1_trigger_offsets": f"WITH {MESSAGES_CTE}, surf AS (SELECT message_id AS mid, 3 AS so, 0 AS po, text AS t FROM messages), {_ENDS} SELECT mid AS message_id, end_at FROM ends",
     "e2_scan_tokens": f"WITH surf AS (SELECT doc_id AS mid, 3 AS so, 0 AS po, 'text' AS src, text AS t FROM documents), {_TOKENS} SELECT mid AS doc_id, code AS token, position AS start_at FROM placed",
+    "e3_trigger_ranges": f"WITH {MESSAGES_CTE}, surf AS (SELECT message_id AS mid, 3 AS so, 0 AS po, 'text' AS src, text AS t FROM messages), {_TOKENS}, {_ENDS}, {_JUDGED} SELECT mid AS message_id, position, code, normalized, near, score FROM scored",
     "e5_text_candidates": f"WITH {MESSAGES_CTE}, surf AS (SELECT message_id AS mid, 3 AS so, 0 AS po, 'text' AS src, text AS t FROM messages), {_TOKENS}, {_ENDS}, {_JUDGED} SELECT mid AS message_id, position, code, normalized, near, score FROM scored",
     "e8_ranked_candidates": f"WITH {MESSAGES_CTE}, {_STRIPPED}, {_SURFACES}, {_TOKENS}, {_ENDS}, {_JUDGED}, {_LINKS}, {_BEST} SELECT mid AS message_id, code, normalized, src AS source, score, row_number() OVER (PARTITION BY mid ORDER BY score DESC, translate(normalized, '_-0123456789', chr(1) || chr(2) || '0123456789')) AS rank FROM best",
     "e9_gate": f"WITH {MESSAGES_CTE}, {_STRIPPED}, {_SURFACES}, {_TOKENS}, {_ENDS}, {_JUDGED}, {_LINKS}, {_BEST}, n AS (SELECT mid, count(*) AS n_candidates FROM best GROUP BY mid), t AS (SELECT DISTINCT mid FROM ends) SELECT message_id, CAST(coalesce(n_candidates, 0) AS BIGINT) AS n_candidates, t.mid IS NOT NULL AS has_trigger, coalesce(n_candidates, 0) > 0 OR t.mid IS NOT NULL AS should_extract FROM messages m LEFT JOIN n ON n.mid = m.message_id LEFT JOIN t ON t.mid = m.message_id",

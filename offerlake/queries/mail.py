@@ -78,6 +78,18 @@ def _parsed(rows: DataFrame) -> DataFrame:
     return rows.select("message_id", "thread_id", "internal_date", F.array_join("labels", ",").alias("labels"), "subject", "sender", "sender_domain", "text", "html", "failed")
 
 
+def b1_deep_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a message whose text lies under 1 to 40 levels of parts: how many parts it has, how deep they go, and the text."""
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    levels = (n % 40 + 1).cast("int")
+    leaf = F.to_json(F.struct(F.lit("text/plain").alias("mimeType"), F.struct(_base64url(text).alias("data")).alias("body")))
+    payload = F.concat(F.expr("repeat('{\"mimeType\":\"multipart/mixed\",\"parts\":[', cast(doc_id % 40 + 1 AS int))"), leaf, F.repeat(F.lit("]}"), levels))
+    rows = table(spark, sf_dir, "documents").select(n.cast("string").alias("id"), payload.alias("payload"))
+    parts = R.message_parts(rows)
+    counts = parts.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_parts"), F.max((F.length("path") - 1) / 5).cast("bigint").alias("depth"))
+    return counts.join(R.message_surfaces(parts), "message_id").select("message_id", "n_parts", "depth", "text", "failed")
+
+
 def b1_message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.message_parts(raw_messages(spark, sf_dir)).select("message_id", "path", "mime_type", "filename", "in_attachment")
 
@@ -322,7 +334,7 @@ def j12_version_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        a1_read_messages, a4_hydrate_external_parts, a7_read_responses, b1_message_parts, b2_header, b4_is_attachment, b7_message_surfaces, b9_parse_messages, e11_regate_with_ocr, g2_build_offers_from_extraction, g8_thread_url, h6_active_offers,
+        a1_read_messages, a4_hydrate_external_parts, a7_read_responses, b1_deep_parts, b1_message_parts, b2_header, b4_is_attachment, b7_message_surfaces, b9_parse_messages, e11_regate_with_ocr, g2_build_offers_from_extraction, g8_thread_url, h6_active_offers,
         i1_select_for_enrichment, i2_build_prompts, i3_run_inference, i4_normalize_responses, i6_retry_after, i7_shape_errors, i7_validate_responses, i10_enrichment_fallback, j6_run_backfill, j7_relist, j12_version_migration,
         k1_inline_images, k6_image_bytes, k9_binarize, k10_scale, k11_preprocess_images, l1_offers_json, l4_question_context,
     )
@@ -343,6 +355,7 @@ ORACLE_SQL = {
     "b9_parse_messages": f"WITH {_D} {_PARSED}",
     "a4_hydrate_external_parts": f"WITH {_D} SELECT message_id, said AS text, CASE WHEN doc_id % 9 = 0 THEN '' ELSE '<p>' || said || '</p>' END AS html, doc_id % 9 = 0 AS failed FROM d",
     "b7_message_surfaces": f"WITH {_D} SELECT message_id, said AS text, CASE WHEN there THEN '<p>' || said || '</p>' ELSE '' END AS html, false AS failed FROM d",
+    "b1_deep_parts": "SELECT CAST(doc_id AS VARCHAR) AS message_id, doc_id % 40 + 2 AS n_parts, doc_id % 40 + 1 AS depth, coalesce(text, '') AS text, false AS failed FROM documents",
     "b1_message_parts": f"WITH {_PARTS} SELECT message_id, path, mime_type, filename, filename <> '' OR path LIKE '0002.%' AS in_attachment FROM parts",
     "b2_header": f"""WITH {_PARTS} SELECT message_id, path, CASE path WHEN '0000.0000.~' THEN 'text/plain; charset="UTF-8"' WHEN '0000.0001.~' THEN 'text/html; charset=utf-8' ELSE '' END AS content_type, CASE path WHEN '~' THEN 'News ' || message_id ELSE '' END AS subject FROM parts""",
     "b4_is_attachment": f"WITH {_PARTS} SELECT message_id, path, filename <> '' OR path = '0002.~' AS attached FROM parts",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.values import SUFFIX_RULES, SYMBOLS
+from ..jobs.tables import shared_dir
 from ..operators import brand as B
 from ..operators import candidates as C
 from ..operators import offers as O
@@ -79,6 +81,13 @@ def g9_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.lookup_offers(rows, code=CODE, expires=("2026-02-01", "2026-10-31"), category="c1").select("seq", "brand_key", "expiry")
 
 
+def g9_indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookup over a table laid out for it."""
+    path = f"{shared_dir(spark)}/lookup-{uuid.uuid4().hex}"
+    O.write_lookup(_arrays(sightings(spark, sf_dir)), path)
+    return O.lookup_offers(spark.read.parquet(path), code=CODE, expires=("2026-02-01", "2026-10-31"), category="c1").select("seq", "brand_key", "expiry")
+
+
 def h2_expiry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's date as an expiry date, some of them no dates (H1 to H3, H6, H7)."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -167,7 +176,7 @@ FROM walk QUALIFY n = max(n) OVER (PARTITION BY brand_key, normalized_code)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (flagship, f1_brand_keys, f2_display_brand, g1_build_offers, g3_merge_by_arrival, g3_merge_in_stretches, g4_merge_by_date, g4_offer_sources, g5_drop_stale, g6_purge_expired, g9_lookup, h2_expiry_state, h4_format_money, h5_conditions)
+    f.__name__: f for f in (flagship, f1_brand_keys, f2_display_brand, g1_build_offers, g3_merge_by_arrival, g3_merge_in_stretches, g4_merge_by_date, g4_offer_sources, g5_drop_stale, g6_purge_expired, g9_lookup, g9_indexed_lookup, h2_expiry_state, h4_format_money, h5_conditions)
 }
 _LEFT = "date_diff('day', DATE '1995-06-17', d)"
 ORACLE_SQL = {
@@ -181,6 +190,7 @@ ORACLE_SQL = {
     "g4_offer_sources": f"WITH {_RUNS} SELECT brand_key, normalized_code, message_id, min(seq) AS first_seq FROM run_ GROUP BY ALL",
     "g5_drop_stale": f"WITH {SIGHTINGS_CTE} SELECT seq, brand_key, normalized_code FROM sightings WHERE extractor_version = 5 AND llm_processed",
     "g6_purge_expired": f"WITH {SIGHTINGS_CTE} SELECT seq, expiry FROM sightings WHERE expiry IS NULL OR CAST(expiry AS DATE) >= DATE '{TODAY}' - 30",
+    "g9_indexed_lookup": f"WITH {SIGHTINGS_CTE} SELECT seq, brand_key, expiry FROM sightings WHERE normalized_code = '{CODE}' AND expiry BETWEEN '2026-02-01' AND '2026-10-31' AND category = 'c1'",
     "g9_lookup": f"WITH {SIGHTINGS_CTE} SELECT seq, brand_key, expiry FROM sightings WHERE normalized_code = '{CODE}' AND expiry BETWEEN '2026-02-01' AND '2026-10-31' AND category = 'c1'",
     "h2_expiry_state": f"""WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%Y-%m-') || '31' WHEN o_orderkey % 11 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS x FROM orders), t AS (SELECT o_orderkey, TRY_CAST(x AS DATE) AS d FROM e)
       SELECT o_orderkey, {_LEFT} AS days_left, CASE WHEN d IS NULL THEN 'unknown' WHEN {_LEFT} < 0 THEN 'expired' ELSE 'active' END AS kind,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import trim
+from ..jobs.tables import written
 from ..operators.brand import sender_domain
 
 HEADERS = "array<struct<name:string,value:string>>"
@@ -76,12 +77,13 @@ def decode_base64url(data: Column, charset: Column) -> Column:
     return F.regexp_replace(text, "\\A\\uFEFF", "")
 
 
-def message_parts(messages: DataFrame, max_depth: int = 8) -> DataFrame:
-    """One row a part: message_id, path, mime_type, filename, headers, body, in_attachment (its own or from above).
+PARTS = ["message_id", "path", "mime_type", "filename", "headers", "body", "in_attachment", "too_deep"]
 
-    Levels are arrays of the message's row, each read from the one above, without a shuffle or a second scan. A path has a
-    four-digit number a level and ends in ``~``, so that children sort before their parent. Deeper parts than
-    ``max_depth`` raise an error.
+
+def _levels(rows: DataFrame, step: int) -> DataFrame:
+    """(message_id, found, left) of (message_id, level): the parts of ``step`` levels, and the children of the last one.
+
+    Levels are arrays of the message's row, each read from the one above, without a shuffle or a second scan.
     """
 
     def inside(x: Column) -> Column:
@@ -94,23 +96,49 @@ def message_parts(messages: DataFrame, max_depth: int = 8) -> DataFrame:
         p = x["p"]
         return F.struct(F.concat(x["prefix"], F.lit("~")).alias("path"), p["mimeType"].alias("mime_type"), p["filename"].alias("filename"), p["headers"].alias("headers"), p["body"].alias("body"), inside(x).alias("in_attachment"))
 
-    top = F.struct(F.lit("").alias("prefix"), F.lit(False).alias("above"), F.from_json("payload", PART).alias("p"))
-    rows = messages.select(F.col("id").alias("message_id"), F.array(top).alias("level_0"))
     none = F.array().cast("array<string>")
-    for depth in range(max_depth):
+    rows = rows.withColumnRenamed("level", "level_0")
+    for depth in range(step):
         rows = rows.withColumn(f"level_{depth + 1}", F.flatten(F.transform(f"level_{depth}", lambda x: F.transform(F.coalesce(x["p"]["parts"], none), child(x)))))
-    last = F.col(f"level_{max_depth}")
-    deep = F.exists(last, lambda x: F.coalesce(F.size(x["p"]["parts"]) > 0, F.lit(False)))
-    all_ = F.concat(*[F.col(f"level_{d}") for d in range(max_depth + 1)])
-    all_ = F.when(deep, F.raise_error(F.lit(f"message parts deeper than {max_depth} levels"))).otherwise(all_)
-    found = F.transform(F.filter(all_, lambda x: x["p"].isNotNull()), part)
-    # outer, as Spark would read the levels once more to leave out empty arrays before
-    return rows.select("message_id", F.explode_outer(found).alias("part")).filter("part is not null").select("message_id", "part.*")
+    all_ = F.concat(*[F.col(f"level_{d}") for d in range(step)])
+    return rows.select("message_id", F.transform(F.filter(all_, lambda x: x["p"].isNotNull()), part).alias("found"), F.col(f"level_{step}").alias("left"))
+
+
+def message_parts(messages: DataFrame, max_depth: int = 256, step: int = 9) -> DataFrame:
+    """One row a part: message_id, path, mime_type, filename, headers, body, in_attachment (its own or from above), too_deep.
+
+    A path has a four-digit number a level and ends in ``~``, so that children sort before their parent. ``step`` levels are read
+    in the message's row; only messages that name parts more often than that are read further, ``step`` levels a round, until none has
+    more. One with parts below ``max_depth`` levels, or with JSON that nests deeper than can be read, has a row ``too_deep`` instead of them.
+    """
+    top = F.struct(F.lit("").alias("prefix"), F.lit(False).alias("above"), F.from_json("payload", PART).alias("p"))
+    named = F.length("payload") - F.length(F.replace(F.col("payload"), F.lit('"parts"'), F.lit("")))
+    deep = F.coalesce(named >= step * len('"parts"'), F.lit(False))
+    first = messages.select(F.col("id").alias("message_id"), F.array(top).alias("level"), "payload", deep.alias("deep"))
+
+    def exploded(rows: DataFrame) -> DataFrame:
+        # outer, as Spark would read the levels once more to leave out empty arrays before
+        out = rows.select("message_id", F.explode_outer("found").alias("part")).filter("part is not null")
+        return out.select("message_id", "part.*", F.lit(False).alias("too_deep"))
+
+    out = exploded(_levels(first.filter("not deep").select("message_id", "level"), step))
+    # names parts, but has none: its JSON could not be read
+    unread = F.coalesce(F.size(F.col("level")[0]["p"]["parts"]) < 1, F.lit(True)).alias("unread")
+    left = written(first.filter("deep").select("message_id", "level", unread))
+    unread = left.filter("unread").select("message_id")
+    left, depth = left.filter("not unread").select("message_id", "level"), 0
+    while depth < max_depth and not left.isEmpty():
+        read = written(_levels(left, min(step, max_depth - depth)))
+        out = out.unionByName(exploded(read))
+        left, depth = read.filter("size(left) > 0").select("message_id", F.col("left").alias("level")), depth + step
+    beyond = unread.unionByName(left.filter(F.lit(depth >= max_depth)).select("message_id")).distinct()
+    marks = [F.lit(True).alias(c) if c == "too_deep" else F.lit("~" if c == "path" else None).cast(out.schema[c].dataType).alias(c) for c in PARTS[1:]]
+    return out.unionByName(beyond.select("message_id", *marks))
 
 
 def text_parts(parts: DataFrame) -> DataFrame:
     """Text and HTML parts outside attachments: message_id, path, kind, charset, data, attachment_id."""
-    rows = parts.filter(~F.col("in_attachment")).withColumn("kind", text_kind(F.col("mime_type"))).filter("kind is not null")
+    rows = parts.filter("not in_attachment and not too_deep").withColumn("kind", text_kind(F.col("mime_type"))).filter("kind is not null")
     data, kept = F.nullif(F.col("body.data"), F.lit("")), F.nullif(F.col("body.attachmentId"), F.lit(""))
     return rows.select("message_id", "path", "kind", charset_of(header(F.col("headers"), "Content-Type")).alias("charset"), data.alias("data"), F.when(data.isNull(), kept).alias("attachment_id")).filter("data is not null or attachment_id is not null")
 
@@ -119,8 +147,9 @@ def message_surfaces(parts: DataFrame, attachments: DataFrame | None = None) ->
     """(message_id, text, html, failed): decoded parts in order, joined by line breaks.
 
     Bodies kept elsewhere come from ``attachments`` (message_id, attachment_id, data) and follow the inline ones.
-    A body that is missing or no base64 makes its message ``failed``.
+    A body that is missing or no base64, or parts that nest too deep, make their message ``failed``.
     """
+    deep = parts.filter("too_deep").select("message_id", F.lit(True).alias("too_deep"))
     rows = text_parts(parts)
     if attachments is not None:
         rows = rows.join(attachments.withColumnRenamed("data", "fetched"), ["message_id", "attachment_id"], "left").withColumn("data", F.coalesce("data", "fetched"))
@@ -132,7 +161,9 @@ def message_surfaces(parts: DataFrame, attachments: DataFrame | None = None) ->
         listed = F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("said").isNotNull(), order)))
         return F.array_join(F.transform(listed, lambda x: x["said"]), "\n")
 
-    return rows.groupBy("message_id").agg(joined("text").alias("text"), joined("html").alias("html"), bad.alias("failed"))
+    found = rows.groupBy("message_id").agg(joined("text").alias("text"), joined("html").alias("html"), bad.alias("bad")).join(deep, "message_id", "full_outer")
+    none = F.lit("")
+    return found.select("message_id", F.coalesce("text", none).alias("text"), F.coalesce("html", none).alias("html"), (F.coalesce("bad", F.lit(False)) | F.coalesce("too_deep", F.lit(False))).alias("failed"))
 
 
 def parse_messages(messages: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
