@@ -28,7 +28,7 @@ _KEY = np.uint64(0xA0761D6478BD642F)
 _DOC, _HASHES = 0, 1
 _STORED = "kind int, grp bigint, idx int, doc_id bigint, n int, digest binary, slot int, body binary"
 _STORED_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-_SHARED = "grp bigint, n int, body binary"
+_BITS = 48  # of a shingle's hash; equal ones of different shingles only make a shingle seem to be in more sets
 _ALIVE = "node bigint, n int, loss double, gid bigint, shared binary, prefix array<bigint>"
 _PLACED = "node bigint, n int, loss double, gid bigint, component bigint, least int, most int, prefix array<bigint>"
 
@@ -48,7 +48,7 @@ def needed(n):
 
 
 def sets(column: pa.Array) -> list[np.ndarray]:
-    """The sorted hashes of each text's distinct shingles; a text of one to four words has one."""
+    """The sorted 64-bit hashes of each text's distinct shingles; a text of one to four words has one."""
     raw, offsets = text_buffer(column)
     words = Words(LOWER[raw], offsets, SPACE)
     hashes = words.hashes()
@@ -80,15 +80,15 @@ def _hash_task(slots: int):
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        shift = np.uint64(65 - slots.bit_length())
+        shift = np.uint64(_BITS + 1 - slots.bit_length())
         first = TaskContext.get().partitionId() << 32
         for g, batch in enumerate(groups(batches, "text", GROUP_BYTES, GROUP_ROWS)):
             found = sets(batch.column(1))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
-            rows: list = [(_DOC, first + g, i, doc_id, len(s), d, None, None) for i, (doc_id, s, d) in enumerate(zip(batch.column(0).to_pylist(), found, digests, strict=True))]
+            rows: list = [(_DOC, first + g, i, doc_id, len(s), d, i % slots, None) for i, (doc_id, s, d) in enumerate(zip(batch.column(0).to_pylist(), found, digests, strict=True))]
             once = [i for d, i in {d: i for i, d in reversed(list(enumerate(digests)))}.items() if len(found[i])]
             if once:
-                value = np.concatenate([found[i] for i in once])
+                value = np.concatenate([found[i] for i in once]) >> np.uint64(64 - _BITS)
                 doc = np.repeat(np.array(once, dtype=np.uint16), [len(found[i]) for i in once])
                 order = np.argsort(value)
                 value, doc = value[order], doc[order]
@@ -96,7 +96,7 @@ def _hash_task(slots: int):
                 edges = _edges(slot)
                 step = np.diff(value, prepend=np.uint64(0))
                 step[edges[:-1]] = value[edges[:-1]]
-                rows += [(_HASHES, first + g, b - a, None, None, None, int(slot[a]), _pack(squeeze, step[a:b], doc[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                rows += [(_HASHES, first + g, None, None, b - a, None, int(slot[a]), _pack(squeeze, step[a:b], doc[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             for at in range(0, len(rows), 4096):
                 yield _batch(rows[at : at + 4096], _STORED_TYPES, _STORED)
 
@@ -104,7 +104,7 @@ def _hash_task(slots: int):
 
 
 def _frequency_task(batches):
-    """Hashes that are in several sets, back to their groups, with the number of those sets."""
+    """Hashes that are in several sets, back to their groups, with the number of those sets. Documents go through."""
     squeeze, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     held: list = []
     size, last = 0, None
@@ -119,11 +119,18 @@ def _frequency_task(batches):
         order = shared[np.argsort(grp[shared], kind="stable")]
         value, grp, doc, df = value[order], grp[order], doc[order], df[order]
         edges = _edges(grp)
-        rows = [(int(grp[a]), b - a, _pack(squeeze, value[a:b], doc[a:b], df[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return [_batch(rows, [pa.int64(), pa.int32(), pa.binary()], _SHARED)] if rows else []
+        step = np.diff(value, prepend=np.uint64(0))
+        step[edges[:-1]] = value[edges[:-1]]
+        rows = [(_HASHES, int(grp[a]), None, None, b - a, None, None, _pack(squeeze, step[a:b], doc[a:b], df[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [_batch(rows, _STORED_TYPES, _STORED)] if rows else []
 
     for batch in batches:
-        for slot, grp, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        through = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            kind, grp, _, _, n, _, slot, body = row
+            if kind == _DOC:
+                through.append(row)
+                continue
             if slot != last and size >= SETTLE:
                 yield from settle()
                 held, size = [], 0
@@ -131,18 +138,19 @@ def _frequency_task(batches):
             step, doc = _unpack(open_, body, n, "<u8", "<u2")
             held.append((np.cumsum(step), np.full(n, grp), doc))
             size += n
+        if through:
+            yield _batch(through, _STORED_TYPES, _STORED)
     if held:
         yield from settle()
 
 
 def short(hashes: np.ndarray) -> bytes:
-    """48 bits of each hash, which tell the few thousand shingles of two compared sets apart."""
-    return np.ascontiguousarray((hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _BITS // 8]).tobytes()
 
 
 def long(body: bytes) -> np.ndarray:
-    out = np.zeros((len(body) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(body, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(body) * 8 // _BITS, 8), dtype=np.uint8)
+    out[:, : _BITS // 8] = np.frombuffer(body, dtype=np.uint8).reshape(-1, _BITS // 8)
     return out.view("<u8").ravel()
 
 
@@ -186,7 +194,8 @@ def _alive_task(group_size: int):
                         yield from settle(held, rows)
                     last, held, rows = grp, [], []
                 if body is not None:
-                    held.append(_unpack(open_, body, n, "<u8", "<u2", "<u4"))
+                    step, doc, df = _unpack(open_, body, n, "<u8", "<u2", "<u4")
+                    held.append((np.cumsum(step), doc, df))
                 else:
                     rows.append((node, idx, n))
         if held and rows:
@@ -308,18 +317,26 @@ def _fits(n: Column, least: Column, most: Column) -> Column:
     return (PERCENT * n <= 100 * most) & (PERCENT * least <= 100 * n)
 
 
+def _room(n: Column, rank: Column) -> Column:
+    """Of a set of ``n`` whose token of this rank is the first it shares with another: PERCENT times the largest size the other can have.
+
+    The overlap is at most n - rank, and similar sets of n and m overlap in PERCENT / (100 + PERCENT) of n + m.
+    """
+    return 100 * n - (100 + PERCENT) * rank
+
+
 def jaccard_components(docs: DataFrame, group_size: int = GROUP_SIZE, slots: int | None = None, stars: int = STARS) -> DataFrame:
     """Components of documents (doc_id, text) linked by a Jaccard similarity of 0.8 or more of their sets of five-word shingles.
 
     A-Z are lower-cased; words are runs of other than ASCII white space. Fewer than five words are one shingle. The join
-    is exact but for 64-bit hashes of shingles, of which 48 bits are compared between two sets.
+    is exact but for hashes of shingles: sets are known by those of 64 bits, and compared by 48 bits of each.
 
     1. Equal sets are one set from here on. How many sets have a shingle is counted by slots of hash values, and comes back
        to each set for its shared shingles. A set of which less than 0.8 is shared links to nothing and is done.
     2. Sets with the same least hash form groups, split at random where they may have more than ``group_size`` sets. A group
        stores its token union, and the sets of each token. Within a group all links are found, and make components.
     3. Sets of different groups can be similar only where they share one of their rarest shingles (``prefix``). Such a set is a query for
-       the other's group: the overlap with the union bounds all its sets, and only a group that qualifies is opened. First,
+       the other's group, if the shingle's rank leaves both room enough for the overlap they need; the overlap with the union bounds all the group's sets, and only a group that qualifies is opened. First,
        ``stars`` times, the set with the least of its own in each contested shingle's entries is a query for the groups of other components; then all sets
        outside the largest component of a shingle's entries are queries for all groups of other components there. So every two
        similar sets end in one component, though not all their links are written.
@@ -332,31 +349,34 @@ def jaccard_components(docs: DataFrame, group_size: int = GROUP_SIZE, slots: int
     if slots < 2 or slots & (slots - 1):
         raise ValueError("slots is a power of two, 2 or more")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stored = stash(rows.mapInArrow(_hash_task(slots), _STORED))
+    hashed = rows.mapInArrow(_hash_task(slots), _STORED)
+    stored = stash(hashed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_frequency_task, _STORED))
     # a row's number: of its group and of itself in that
     owned = stored.filter(F.col("kind") == _DOC).select(F.shiftleft("grp", 12).bitwiseOR(F.col("idx")).alias("row"), "grp", "idx", "doc_id", "n", "digest")
     first = cut(owned.filter("n > 0").groupBy("digest").agg(F.min(F.struct("row", "grp", "idx", "n")).alias("first")).select("digest", "first.*"))
-    hashes = stored.filter(F.col("kind") == _HASHES).select("slot", "grp", F.col("idx").alias("n"), "body")
-    shared = hashes.repartition("slot").sortWithinPartitions("slot").mapInArrow(_frequency_task, _SHARED)
+    shared = stored.filter(F.col("kind") == _HASHES)
     none = lambda kind: F.lit(None).cast(kind)
     both = shared.select("grp", "n", "body", none("bigint").alias("node"), none("int").alias("idx")).unionByName(first.select("grp", "n", none("binary").alias("body"), F.col("row").alias("node"), "idx"))
     alive = stash(both.repartition("grp").sortWithinPartitions("grp", F.col("idx").asc_nulls_first()).mapInArrow(_alive_task(group_size), _ALIVE))
     grouped = stash(alive.select("node", "n", "loss", "gid", "shared", "prefix").repartition("gid").sortWithinPartitions("gid").mapInArrow(_group_task, _PLACED))
-    prefixes = grouped.select("node", F.explode("prefix").alias("token"))
+    # unshared shingles are the rarest, so they rank before those listed
+    prefixes = grouped.select("node", F.posexplode("prefix").alias("pos", "token"), F.round(F.col("n") * F.col("loss")).cast("int").alias("own"))
+    prefixes = prefixes.select("node", "token", (F.col("own") + F.col("pos")).alias("rank"))
     placed = grouped.drop("prefix")
     for _ in range(stars):
         entries = _entries(placed, prefixes)
-        leaders = entries.groupBy("token", "component").agg(F.min(F.struct("loss", "node", "n", "gid", "least", "most")).alias("one"))
+        leaders = entries.groupBy("token", "component").agg(F.min(F.struct("loss", "node", "n", "gid", "least", "most")).alias("one"), F.max(_room(F.col("n"), F.col("rank"))).alias("room"))
         hubs = leaders.groupBy("token").agg(F.min(F.struct("one", "component")).alias("hub"))
-        near = leaders.join(hubs, "token").filter((F.col("component") != F.col("hub.component")) & _fits(F.col("hub.one.n"), F.col("one.least"), F.col("one.most")))
+        near = leaders.join(hubs, "token").filter((F.col("component") != F.col("hub.component")) & _fits(F.col("hub.one.n"), F.col("one.least"), F.col("one.most")) & (F.col("room") >= PERCENT * F.col("hub.one.n")))
         placed = _merged(placed, cut(_links(alive, placed, near.select(F.col("hub.one.node").alias("node"), F.col("one.gid").alias("gid")).distinct())))
     entries = _entries(placed, prefixes)
     sizes = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n_sets"))
     largest = cut(sizes.groupBy("token").agg(F.max(F.struct("n_sets", "component"))["component"].alias("largest")))
-    queries = entries.join(largest, "token").filter("component <> largest").select("token", "node", "n", "component", "largest")
-    targets = entries.select("token", "gid", "least", "most", F.col("component").alias("other")).distinct()
+    queries = entries.join(largest, "token").filter("component <> largest").select("token", "node", "n", "component", "largest", _room(F.col("n"), F.col("rank")).alias("own_room"))
+    targets = entries.groupBy("token", "gid", "least", "most", F.col("component").alias("other")).agg(F.max(_room(F.col("n"), F.col("rank"))).alias("room"))
     # of two smaller components, the one with the larger number asks
-    wanted = queries.join(targets, "token").filter(((F.col("other") == F.col("largest")) | (F.col("other") < F.col("component"))) & _fits(F.col("n"), F.col("least"), F.col("most")))
+    placing = (F.col("own_room") >= PERCENT * F.col("least")) & (F.col("room") >= PERCENT * F.col("n"))
+    wanted = queries.join(targets, "token").filter(((F.col("other") == F.col("largest")) | (F.col("other") < F.col("component"))) & _fits(F.col("n"), F.col("least"), F.col("most")) & placing)
     placed = _merged(placed, cut(_links(alive, placed, wanted.select("node", "gid").distinct())))
     classes = owned.join(first.select("digest", F.col("row").alias("node")), "digest", "left").join(placed.select("node", "component"), "node", "left")
     classes = cut(classes.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(-1 - F.col("row")).alias("component")))
