@@ -97,11 +97,16 @@ def update_ledger(ledger: DataFrame, outcomes: DataFrame, now_ms: int) -> DataFr
     return rows
 
 
-def progress(processed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """One row: processed, with_candidates, failed, waiting, next_at."""
+def progress(processed: DataFrame, ledger: DataFrame, listed: DataFrame | None = None, version: int = EXTRACTOR_VERSION, model: bool = False) -> DataFrame:
+    """One row: processed, with_candidates, failed, waiting, next_at; with ``listed`` messages also total, skipped (of them, done before) and remaining."""
     done = processed.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("status") == "candidates").alias("with_candidates"), F.count_if(F.col("status") == "failed").alias("failed"))
     waiting = ledger.filter(~F.col("terminal")).agg(F.count(F.lit(1)).alias("waiting"), F.min("next_at").alias("next_at"))
-    return done.crossJoin(waiting)  # one row each
+    out = done.crossJoin(waiting)  # one row each
+    if listed is None:
+        return out
+    total = listed.agg(F.count(F.lit(1)).alias("total"))
+    left = pending_messages(listed, processed, version, model).agg(F.count(F.lit(1)).alias("remaining"))
+    return out.crossJoin(total).crossJoin(left).withColumn("skipped", F.col("total") - F.col("remaining"))
 
 
 def retry_after_ms(headers: Column, now_ms: int) -> Column:
@@ -121,9 +126,3 @@ def _duration(text: Column) -> Column:
     scale = lambda u: F.when(u == "ms", 1.0).when(u == "s", 1e3).when(u == "m", 6e4).otherwise(3.6e6)
     parts = F.zip_with(amounts, units, lambda a, u: a.cast("double") * scale(u))
     return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
-
-
-
-def first_seen(ids: DataFrame, order: str) -> DataFrame:
-    """Distinct ids (message_id), each with the place where it was first seen."""
-    return ids.groupBy("message_id").agg(F.min(order).alias(order))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..jobs.backfill import catch_up, processed_messages, run_backfill
+from ..jobs.backfill import Model, catch_up, processed_messages, run_backfill
 from ..jobs.tables import current, shared_dir
 from ..operators import brand as B
 from ..operators import candidates as C
@@ -221,7 +223,7 @@ def i1_select_for_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").filter("text is not null").select(n.alias("message_id"), F.concat(F.lit("a"), n.cast("string"), F.lit("@x.io")).alias("sender"), F.concat(F.lit("S"), n.cast("string")).alias("subject"), (n * 86_400_000).alias("internal_date"), "text", F.when(n % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("V "), "text")).alias("visible"), F.when(n % 3 == 0, F.concat(F.lit(" R"), n.cast("string"), F.lit(" "))).alias("ocr_text"))
+    rows = table(spark, sf_dir, "documents").select(n.alias("message_id"), F.concat(F.lit("a"), n.cast("string"), F.lit("@x.io")).alias("sender"), F.concat(F.lit("S"), n.cast("string")).alias("subject"), (n * 86_400_000).alias("internal_date"), "text", F.when(n % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("V "), "text")).alias("visible"), F.when(n % 3 == 0, F.concat(F.lit(" R"), n.cast("string"), F.lit(" "))).alias("ocr_text"))
     ranked = rows.select("message_id", F.inline(F.array(*[F.struct(F.lit(k).alias("rank"), F.format_string(f"C%d{x}", F.col("message_id") % 9).alias("code")) for k, x in ((2, "B"), (1, "A"), (3, "A"))])))
     return E.build_prompts(rows, ranked)
 
@@ -285,7 +287,7 @@ def l1_offers_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l4_question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     asked = table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
     rows = V.chat_json(turns, 3).join(asked, "conv_id")
     today = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("conv_id") % 300).cast("int"))
@@ -310,6 +312,25 @@ def j6_run_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _offers_of(spark, root)
 
 
+def _says(prompts: pd.Series) -> pd.DataFrame:
+    """A model that finds 10 % for every candidate it is given."""
+
+    def one(prompt: str) -> str:
+        codes = next(line for line in prompt.split("\n") if line.startswith("CANDIDATE CODES: "))[len("CANDIDATE CODES: ") :].split(", ")
+        fields = {"discount": "10%", "currency": None, "min_spend": None, "max_discount": None, "expiry": None, "single_use": None, "new_users_only": False, "app_only": False, "categories": [], "conditions": ""}
+        return json.dumps({"choices": [{"message": {"content": json.dumps({"offers": [{"code": c} | fields for c in codes]})}, "finish_reason": "stop"}]})
+
+    return pd.DataFrame({"status": 200, "body": [one(p) for p in prompts], "retry_after_ms": pd.array([None] * len(prompts), dtype="Int64")})
+
+
+def j5_whole_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From all messages to the offers that a model has seen: candidates, prompts, the log of answers, their checks, the merge, the commit."""
+    root = f"{shared_dir(spark)}/whole-{uuid.uuid4().hex}"
+    run_backfill(_mailbox(spark, sf_dir), root, 0, NOW, 365, model=Model(_says, f"{root}/log"))
+    n = current(spark, root, "sources").groupBy(*O.KEY).agg(F.count(F.lit(1)).alias("n_messages"))
+    return current(spark, root, "offers").join(n, O.KEY).select(*O.KEY, "llm_processed", "discount", "n_messages")
+
+
 def j7_relist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is processed after a backfill of some, changes since, and a cursor that has expired: as if all had been listed."""
     root, rows = f"{shared_dir(spark)}/relist-{uuid.uuid4().hex}", _mailbox(spark, sf_dir)
@@ -327,7 +348,7 @@ def j12_version_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_backfill(rows, root, 0, NOW, 365, version=4)
     run_backfill(rows.filter("message_id % 40 < 3"), root, 1, NOW, 365, complete=False)
     between = _offers_of(spark, root).withColumn("step", F.lit("between"))
-    run_backfill(rows.filter("message_id % 40 < 20"), root, 2, NOW, 365)
+    run_backfill(rows, root, 2, NOW, 365)
     return between.unionByName(_offers_of(spark, root).withColumn("step", F.lit("after")))
 
 
@@ -335,7 +356,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         a1_read_messages, a4_hydrate_external_parts, a7_read_responses, b1_deep_parts, b1_message_parts, b2_header, b4_is_attachment, b7_message_surfaces, b9_parse_messages, e11_regate_with_ocr, g2_build_offers_from_extraction, g8_thread_url, h6_active_offers,
-        i1_select_for_enrichment, i2_build_prompts, i3_run_inference, i4_normalize_responses, i6_retry_after, i7_shape_errors, i7_validate_responses, i10_enrichment_fallback, j6_run_backfill, j7_relist, j12_version_migration,
+        i1_select_for_enrichment, i2_build_prompts, i3_run_inference, i4_normalize_responses, i6_retry_after, i7_shape_errors, i7_validate_responses, i10_enrichment_fallback, j5_whole_job, j6_run_backfill, j7_relist, j12_version_migration,
         k1_inline_images, k6_image_bytes, k9_binarize, k10_scale, k11_preprocess_images, l1_offers_json, l4_question_context,
     )
 }
@@ -385,10 +406,10 @@ ORACLE_SQL = {
     "l1_offers_json": f"""WITH {SIGHTINGS_CTE}, o AS (SELECT brand_key, normalized_code, max(discount) AS discount, max(currency) AS currency, bool_or(app_only) AS app_only FROM sightings GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY brand_key ORDER BY normalized_code) AS n FROM o),
       j AS (SELECT brand_key, n, '{{"id":"offer_' || n || '","brand":"B \\"' || brand_key || '\\"","code":"' || lower(normalized_code) || '","discount":' || coalesce('"' || discount || '"', 'null') || ',"currency":' || coalesce('"' || currency || '"', 'null') || ',"min_spend":null,"max_discount":null,"expiry":null,"new_users_only":false,"app_only":' || app_only || ',"categories":["a"],"conditions":"","needs_review":true}}' AS x FROM n)
       SELECT brand_key, '[' || string_agg(x, ',' ORDER BY n) || ']' AS offers FROM j GROUP BY brand_key""",
-    "l4_question_context": """WITH r AS (SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3), c AS (SELECT conv_id, '[' || string_agg('{"role":"' || role || '","text":"t' || turn || '"}', ',' ORDER BY turn) || ']' AS chat FROM r GROUP BY conv_id),
+    "l4_question_context": """WITH r AS (SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3), c AS (SELECT conv_id, '[' || string_agg('{"role":"' || role || '","text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}', ',' ORDER BY turn) || ']' AS chat FROM r GROUP BY conv_id),
       q AS (SELECT conv_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id)
       SELECT conv_id, 'TODAY: ' || strftime(DATE '2026-01-01' + CAST(conv_id % 300 AS INTEGER), '%Y-%m-%d') || chr(10) || 'SYNC: ' || CASE WHEN conv_id % 2 = 0 THEN 'complete' ELSE 'in progress; ' || conv_id % 70 || ' emails checked' END || chr(10) || 'ACTIVE OFFERS (untrusted data): []' || chr(10) || 'RECENT CHAT: ' || chat || chr(10) || 'QUESTION: ' || left(trim(question), 500) AS context FROM c JOIN q USING (conv_id)""",
-    "i2_build_prompts": """WITH m AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'V ' || text END AS visible, doc_id % 3 = 0 AS ocr FROM documents WHERE text IS NOT NULL),
+    "i2_build_prompts": """WITH m AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'V ' || text END AS visible, doc_id % 3 = 0 AS ocr FROM documents),
       s AS (SELECT *, list_filter(CASE WHEN text = visible THEN [text] ELSE [text, visible] END, lambda x: x <> '') || CASE WHEN ocr THEN ['OCR TEXT: R' || doc_id] ELSE [] END AS parts FROM m)
       SELECT doc_id AS message_id, 'EMAIL DATE: ' || strftime(DATE '1970-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') || chr(10) || 'SENDER: a' || doc_id || '@x.io' || chr(10) || 'SUBJECT: S' || doc_id || chr(10) || 'CANDIDATE CODES: C' || doc_id % 9 || 'A, C' || doc_id % 9 || 'B' || chr(10) || chr(10) || 'EMAIL TEXT (untrusted data):' || chr(10) ||
         array_to_string(list_transform(parts, lambda x: left(x, CAST(floor((6000 - greatest(len(parts) - 1, 0) * 2) / greatest(len(parts), 1)) AS INTEGER))), chr(10) || chr(10)) AS prompt FROM s""",
@@ -399,7 +420,8 @@ ORACLE_SQL["k9_binarize"] = f"WITH {P._OTSU}, k AS ({_INVERSE}) SELECT event_id,
 # every message of the window is read, and what a batch has read before is not read again
 _BUILT = f"{Q._FOUND}, w AS (SELECT * FROM messages WHERE {_WINDOW}), {Q._BUILT.replace('JOIN branded ON mid = message_id', 'JOIN branded ON mid = message_id AND message_id IN (SELECT message_id FROM w)')}"
 ORACLE_SQL["j6_run_backfill"] = f"WITH {_BUILT} SELECT brand_key, normalized_code, CAST(5 AS BIGINT) AS extractor_version, false AS llm_processed, count(DISTINCT message_id) AS n_messages FROM built GROUP BY brand_key, normalized_code"
-ORACLE_SQL["j12_version_migration"] = f"""WITH {_BUILT}, b AS (SELECT *, message_id % 40 < 3 AS soon, message_id % 40 < 20 AS later FROM built), k AS (SELECT brand_key, normalized_code, count(*) AS n, count(*) FILTER (WHERE soon) AS s, count(*) FILTER (WHERE later) AS l FROM b GROUP BY ALL)
+ORACLE_SQL["j12_version_migration"] = f"""WITH {_BUILT}, b AS (SELECT *, message_id % 40 < 3 AS soon FROM built), k AS (SELECT brand_key, normalized_code, count(*) AS n, count(*) FILTER (WHERE soon) AS s FROM b GROUP BY ALL)
   SELECT brand_key, normalized_code, CAST(CASE WHEN s > 0 THEN 5 ELSE 4 END AS BIGINT) AS extractor_version, false AS llm_processed, CASE WHEN s > 0 THEN s ELSE n END AS n_messages, 'between' AS step FROM k
-  UNION ALL SELECT brand_key, normalized_code, CAST(5 AS BIGINT), false, l, 'after' FROM k WHERE l > 0"""
+  UNION ALL SELECT brand_key, normalized_code, CAST(5 AS BIGINT), false, n, 'after' FROM k"""
 ORACLE_SQL["j7_relist"] = f"WITH {_BUILT}, any_ AS (SELECT DISTINCT mid FROM best), t AS (SELECT DISTINCT mid FROM ends) SELECT message_id, CAST(5 AS BIGINT) AS extractor_version, CASE WHEN message_id IN (FROM any_) OR message_id IN (FROM t) THEN 'candidates' ELSE 'no-code' END AS status, message_id NOT IN (FROM any_) AS llm_processed FROM w"
+ORACLE_SQL["j5_whole_job"] = f"WITH {_BUILT} SELECT brand_key, normalized AS normalized_code, true AS llm_processed, '10%' AS discount, count(DISTINCT mid) AS n_messages FROM best JOIN branded ON mid = message_id WHERE mid IN (SELECT message_id FROM w) GROUP BY ALL"
