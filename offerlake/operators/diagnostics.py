@@ -32,3 +32,25 @@ def token_usage(calls: DataFrame, rates: DataFrame) -> DataFrame:
 def review_share(offers: DataFrame) -> DataFrame:
     """By brand: offers, the share read in pictures, the share to review."""
     return offers.groupBy("brand_key").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("source") == "ocr").cast("double")).alias("ocr_share"), F.avg(F.col("needs_review").cast("double")).alias("review_share"))
+
+
+def daily_sketches(candidates: DataFrame, day: str = "day", tracked: int = 10_000) -> DataFrame:
+    """One row a day of unconfirmed candidates (normalized, brand_key, day): n, ``codes`` and ``brands`` as sketches to be stored.
+
+    ``codes`` counts the most frequent codes, each too low by at most n / (0.75 * tracked) or so, and exactly where there are no more
+    than 0.75 * tracked codes; ``brands`` estimates how many brands there are. Both are of bounded size and can be merged.
+    """
+    return candidates.groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(normalized, {tracked})").alias("codes"), F.hll_sketch_agg("brand_key").alias("brands"))
+
+
+def merged_sketches(daily: DataFrame, k: int = 50, tracked: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Of some days' sketches the ``k`` most frequent codes (normalized, n), and one row with n and the estimated number of brands.
+
+    No candidate is read again: a longer span merges the rows of its days.
+    """
+    total = daily.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("brands")), F.lit(0)).alias("brands"))
+    # grouped, as no sketch is there to be combined where there are no days
+    codes = daily.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_combine(codes, {tracked})").alias("codes"))
+    # all that the sketch tracks, as the estimate does not say which of equal counts it leaves out
+    found = codes.select(F.explode(F.expr(f"approx_top_k_estimate(codes, {tracked})")).alias("c"))
+    return found.select(F.col("c.item").alias("normalized"), F.col("c.count").alias("n")).orderBy(F.desc("n"), "normalized").limit(k), total

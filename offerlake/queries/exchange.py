@@ -14,7 +14,7 @@ from ..operators import conversations as V
 from ..operators import diagnostics as M
 from ..operators import images as K
 from . import extraction as X
-from .adapters import MESSAGES_CTE, SIGHTINGS_CTE, messages, sightings, spread, table
+from .adapters import MESSAGES_CTE, SIGHTINGS_CTE, messages, sightings, spread, table, written
 from .sync import _PROCESSED, _sql, _view
 
 
@@ -103,6 +103,17 @@ def m3_blocklist_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.blocklist_mining(found, confirmed, 20)
 
 
+def m3_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the blocklist query, from stored sketches of days that are merged."""
+    all_ = messages(spark, sf_dir)
+    found = written(C.find_candidates(all_).withColumn("brand_key", F.col("message_id") % 20))
+    rest = found.join(found.filter(F.col("source") == "link").select("normalized").distinct(), "normalized", "left_anti")
+    day = F.date_format(F.timestamp_millis(F.lit(1700000000000) + F.col("message_id") * 3600000), "yyyy-MM-dd")
+    daily = written(M.daily_sketches(rest.withColumn("day", day)))
+    codes, all_days = M.merged_sketches(daily, 20)
+    return codes.crossJoin(all_days.select("brands"))  # one row
+
+
 def m4_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("provider"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.col("l_partkey").cast("bigint").alias("input_tokens"), F.col("l_suppkey").cast("bigint").alias("output_tokens"))
     rates = spark.sql("SELECT * FROM VALUES ('A', 1.0D, 5.0D), ('N', 0.25D, 1.5D) AS t(provider, input_rate, output_rate)")
@@ -113,7 +124,7 @@ def m5_review_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.review_share(sightings(spark, sf_dir)).select("brand_key", "n", F.round("ocr_share", 9).alias("ocr_share"), F.round("review_share", 9).alias("review_share"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (k2_remote_images, k3_select_images, k4_usable_text, k5_ocr_runs, k7_otsu, k8_luma, k9_polarity, l1_offer_rows, l2_recent_turns, l3_retain_turns, l5_validate_answers, l7_turn_cards, m1_stage_funnel, m2_gate_rate, m3_blocklist_mining, m4_token_usage, m5_review_share)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (k2_remote_images, k3_select_images, k4_usable_text, k5_ocr_runs, k7_otsu, k8_luma, k9_polarity, l1_offer_rows, l2_recent_turns, l3_retain_turns, l5_validate_answers, l7_turn_cards, m1_stage_funnel, m2_gate_rate, m3_blocklist_mining, m3_daily_sketches, m4_token_usage, m5_review_share)}
 
 _TOK = r"'\b[A-Za-z0-9][A-Za-z0-9_-]{3,19}\b'"
 _READ = f"""w AS (SELECT doc_id AS message_id, unnest(regexp_extract_all(text, {_TOK})) AS text, unnest(range(0, len(regexp_extract_all(text, {_TOK})))) AS pos FROM documents),
@@ -143,6 +154,7 @@ ORACLE_SQL = {
     "m1_stage_funnel": f"SELECT coalesce(status, 'all') AS status, count(*) AS n, count(*) FILTER (WHERE n_candidates > 0) AS with_code, count(*) FILTER (WHERE llm_processed) AS enriched FROM ({_sql(_PROCESSED)}) GROUP BY ROLLUP (status)",
     "m2_gate_rate": f"{_ALL}, g AS (SELECT message_id, message_id IN (SELECT mid FROM best) OR message_id IN (SELECT mid FROM ends) AS x FROM messages) SELECT count(*) AS n, avg(CASE WHEN x THEN 1.0 ELSE 0.0 END) AS share, avg(CASE WHEN x THEN 1.0 ELSE 0.0 END) > 0.4 AS too_permissive FROM g",
     "m3_blocklist_mining": f"{_ALL} SELECT normalized, count(*) AS n, count(DISTINCT mid % 20) AS brands FROM best WHERE normalized NOT IN (SELECT normalized FROM best WHERE src = 'link') GROUP BY normalized ORDER BY n DESC, normalized LIMIT 20",
+    "m3_daily_sketches": f"{_ALL}, r AS (SELECT normalized, mid FROM best WHERE normalized NOT IN (SELECT normalized FROM best WHERE src = 'link')) SELECT normalized, count(*) AS n, (SELECT count(DISTINCT mid % 20) FROM r) AS brands FROM r GROUP BY normalized ORDER BY n DESC, normalized LIMIT 20",
     "m4_token_usage": "WITH s AS (SELECT l_returnflag AS provider, strftime(l_shipdate, '%Y-%m-%d') AS day, CAST(sum(l_partkey) AS BIGINT) AS input_tokens, CAST(sum(l_suppkey) AS BIGINT) AS output_tokens FROM lineitem GROUP BY ALL) SELECT *, round((input_tokens * CAST(CASE provider WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.25 END AS DOUBLE) + output_tokens * CAST(CASE provider WHEN 'A' THEN 5.0 WHEN 'N' THEN 1.5 END AS DOUBLE)) / 1e6, 9) AS cost FROM s",
     "m5_review_share": f"WITH {SIGHTINGS_CTE} SELECT brand_key, count(*) AS n, round(avg(CASE WHEN source = 'ocr' THEN 1.0 ELSE 0.0 END), 9) AS ocr_share, round(avg(CASE WHEN needs_review THEN 1.0 ELSE 0.0 END), 9) AS review_share FROM sightings GROUP BY brand_key",
 }
