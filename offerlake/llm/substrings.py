@@ -11,15 +11,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts
+from .common import cut, shuffle_parts
 from .vec import Words, groups, mix, window_hashes, window_index
 
 GROUP_BYTES = 8 << 20
 SECOND = np.uint64(0xA0761D6478BD642F)  # makes of a word's hash that for the second hash of windows
-NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which counts as the largest
+NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which counts as the largest; its variant is odd, those of other ids are even
 _HASH_ROWS, _SPAN_ROWS, _TEXT_ROWS = 0, 1, 2
-_ROUTED = "kind int, slot int, n int, doc_id bigint, body binary"
-_ROUTED_ARROW = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("body", pa.binary())])
+_ROUTED = "kind int, slot int, n int, doc_id bigint, variant bigint, body binary"
+_ROUTED_ARROW = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("variant", pa.int64()), ("body", pa.binary())])
 _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<first:bigint,last:bigint>>"
 _RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
 
@@ -28,30 +28,43 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _pack(doc: np.ndarray, pos: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
-    """Document ids and positions; ids come in runs and positions ascend in each, so differences are small."""
+def _pack(doc: np.ndarray, variant: np.ndarray, pos: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Document ids, variants and positions; ids come in runs and positions ascend in each, so differences are small."""
     step = np.diff(doc, prepend=0)
     gap = pos.astype(np.int64)
-    gap[1:] -= np.where(step[1:] == 0, pos[:-1], 0)
-    planes = step.view(np.uint8).reshape(-1, 8).T.tobytes() + gap.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return squeeze.compress(planes)
+    gap[1:] -= np.where((step[1:] == 0) & (variant[1:] == variant[:-1]), pos[:-1], 0)
+    planes = [step.view(np.uint8).reshape(-1, 8).T.tobytes(), gap.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()]
+    # nearly always all are 0, and left out
+    return squeeze.compress(b"".join(planes + ([variant.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()] if variant.any() else [])))
 
 
-def _unpack(body: bytes, n: int, open_: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(body: bytes, n: int, open_: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     planes = np.frombuffer(open_.decompress(body), dtype=np.uint8)
     step = np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<i8").ravel()
-    gap = np.ascontiguousarray(planes[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    gap = np.ascontiguousarray(planes[8 * n : 12 * n].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    variant = np.zeros(n, dtype=np.int64) if len(planes) == 12 * n else np.ascontiguousarray(planes[12 * n :].reshape(8, n).T).view("<i8").ravel()
     doc = np.cumsum(step)
-    fresh = step != 0
+    fresh = (step != 0) | (np.diff(variant, prepend=0) != 0)
     fresh[0] = True
     total = np.cumsum(gap)
     starts = np.flatnonzero(fresh)
     before = np.where(starts > 0, total[starts - 1], 0)
-    return doc, total - np.repeat(before, np.diff(np.append(starts, n)))
+    return doc, variant, total - np.repeat(before, np.diff(np.append(starts, n)))
 
 
-def _slots(values: np.ndarray, slots: int) -> np.ndarray:
-    return ((values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % slots
+def _slots(doc: np.ndarray, variant: np.ndarray, slots: int) -> np.ndarray:
+    values = doc.astype(np.uint64) ^ mix(variant.astype(np.uint64))
+    return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % slots
+
+
+def _later(doc: np.ndarray, variant: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which of the windows, equal ones from each head on, are of a larger doc_id than the least one of theirs."""
+    size = np.diff(np.append(heads, len(doc)))
+    later = doc > np.repeat(np.minimum.reduceat(doc, heads), size)
+    if doc.max() == NO_ID:  # that number itself comes before null
+        own = (doc == NO_ID) & (variant & 1 == 0)
+        later |= (variant & 1 == 1) & np.repeat(np.logical_or.reduceat(own, heads), size)
+    return later
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -62,12 +75,12 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(keys[a]), slice(a, b)
 
 
-def _span_rows(doc: np.ndarray, pos: np.ndarray, slots: int, squeeze, rows: list) -> None:
-    slot = _slots(doc, slots)
-    order = np.lexsort((pos, doc, slot))
-    doc, pos, slot = doc[order], pos[order], slot[order]
+def _span_rows(doc: np.ndarray, variant: np.ndarray, pos: np.ndarray, slots: int, squeeze, rows: list) -> None:
+    slot = _slots(doc, variant, slots)
+    order = np.lexsort((pos, variant, doc, slot))
+    doc, variant, pos, slot = doc[order], variant[order], pos[order], slot[order]
     for s, part in _runs(slot):
-        rows.append((_SPAN_ROWS, s, part.stop - part.start, None, _pack(doc[part], pos[part], squeeze)))
+        rows.append((_SPAN_ROWS, s, part.stop - part.start, None, None, _pack(doc[part], variant[part], pos[part], squeeze)))
 
 
 def _emit(rows: list) -> pa.RecordBatch:
@@ -87,19 +100,16 @@ def _hash_task(window: int, buckets: int, slots: int):
                 continue
             hashes = words.hashes()
             value, other = window_hashes(hashes, window)[at], window_hashes(mix(hashes ^ SECOND), window)[at]
-            doc, pos = ids[text], at - words.first[:-1][text]
+            doc, variant, pos = ids[text], batch.column(2).to_numpy()[text], at - words.first[:-1][text]
             rows: list = []
             order = np.argsort(value, kind="stable")
             sorted_ = value[order]
             fresh = np.ones(len(value), dtype=bool)
             fresh[1:] = sorted_[1:] != sorted_[:-1]
-            heads = np.flatnonzero(fresh)
-            least = np.minimum.reduceat(doc[order], heads)
-            least = np.repeat(least, np.diff(np.append(heads, len(value))))
             later = np.zeros(len(value), dtype=bool)
-            later[order] = doc[order] > least
+            later[order] = _later(doc[order], variant[order], np.flatnonzero(fresh))
             if later.any():
-                _span_rows(doc[later], pos[later], slots, squeeze, rows)
+                _span_rows(doc[later], variant[later], pos[later], slots, squeeze, rows)
             keep = np.flatnonzero(~later)
             shift = np.uint64(65 - buckets.bit_length())
             bucket = (other[keep] >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
@@ -107,7 +117,7 @@ def _hash_task(window: int, buckets: int, slots: int):
             keep, bucket = keep[turn], bucket[turn]
             sent = value[keep].astype("<u8")
             for b, part in _runs(bucket):
-                rows.append((_HASH_ROWS, b, part.stop - part.start, None, sent[part].tobytes() + _pack(doc[keep[part]], pos[keep[part]], squeeze)))
+                rows.append((_HASH_ROWS, b, part.stop - part.start, None, None, sent[part].tobytes() + _pack(doc[keep[part]], variant[keep[part]], pos[keep[part]], squeeze)))
             yield _emit(rows)
 
     return run
@@ -117,15 +127,14 @@ def _count_task(slots: int, flush: int = 1 << 20):
     """For each bucket, the least document of every hash; windows of later documents go on."""
 
     def settle(held: list, squeeze) -> pa.RecordBatch | None:
-        value, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        value, doc, variant, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(value, kind="stable")
-        value, doc, pos = value[order], doc[order], pos[order]
-        heads = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        later = doc > np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.append(heads, len(value))))
+        value, doc, variant, pos = value[order], doc[order], variant[order], pos[order]
+        later = _later(doc, variant, np.flatnonzero(np.append(True, value[1:] != value[:-1])))
         if not later.any():
             return None
         rows: list = []
-        _span_rows(doc[later], pos[later], slots, squeeze, rows)
+        _span_rows(doc[later], variant[later], pos[later], slots, squeeze, rows)
         return _emit(rows)
 
     def run(batches):
@@ -133,9 +142,9 @@ def _count_task(slots: int, flush: int = 1 << 20):
         held, size, last = [], 0, None
         for batch in batches:
             through = []
-            for kind, slot, n, doc_id, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, slot, n, doc_id, variant, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind != _HASH_ROWS:
-                    through.append((kind, slot, n, doc_id, body))
+                    through.append((kind, slot, n, doc_id, variant, body))
                     continue
                 if slot != last and size >= flush:
                     if (out := settle(held, squeeze)) is not None:
@@ -156,10 +165,10 @@ def _text_task(slots: int):
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in groups(batches, "text", GROUP_BYTES):
-            ids = _ids(batch)
+            ids, variant = _ids(batch), batch.column(2).to_numpy()
             bodies = [squeeze.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), _TEXT_ROWS, np.int32)), pa.array(_slots(ids, slots).astype(np.int32)), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), pa.array(bodies, pa.binary())],
+                [pa.array(np.full(len(ids), _TEXT_ROWS, np.int32)), pa.array(_slots(ids, variant, slots).astype(np.int32)), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), pa.array(variant), pa.array(bodies, pa.binary())],
                 schema=_ROUTED_ARROW,
             )
 
@@ -169,12 +178,15 @@ def _text_task(slots: int):
 def _cut_task(window: int):
     """Each slot brings its spans first, then its texts."""
 
-    def spans(held: list, open_) -> tuple[np.ndarray, np.ndarray]:
+    def spans(held: list, open_) -> dict[tuple[int, int], np.ndarray]:
+        """The starts of windows to remove, by document and variant."""
         if not held:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        doc, pos = (np.concatenate(x) for x in zip(*(_unpack(b, n, open_) for n, b in held), strict=True))
-        order = np.lexsort((pos, doc))
-        return doc[order], pos[order]
+            return {}
+        doc, variant, pos = (np.concatenate(x) for x in zip(*(_unpack(b, n, open_) for n, b in held), strict=True))
+        order = np.lexsort((pos, variant, doc))
+        doc, variant, pos = doc[order], variant[order], pos[order]
+        cuts = [*np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1]))).tolist(), len(doc)]
+        return {(int(doc[a]), int(variant[a])): pos[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
 
     def one(raw: bytes, starts: np.ndarray) -> tuple[int, int, str, list]:
         data = np.frombuffer(raw, dtype=np.uint8)
@@ -195,7 +207,7 @@ def _cut_task(window: int):
         held, slot, found = [], None, None
         for batch in batches:
             rows = []
-            for kind, s, n, doc_id, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, s, n, doc_id, variant, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != slot:
                     held, slot, found = [], s, None
                 if kind == _SPAN_ROWS:
@@ -204,9 +216,8 @@ def _cut_task(window: int):
                 if found is None:
                     found = spans(held, open_)
                     held = []
-                a, b = np.searchsorted(found[0], [doc_id, doc_id + 1] if doc_id != NO_ID else [doc_id, doc_id], side="left")
-                b = len(found[0]) if doc_id == NO_ID else b
-                rows.append((None if doc_id == NO_ID else doc_id, *one(open_.decompress(body), found[1][a:b])))
+                starts = found.get((doc_id, variant), np.zeros(0, np.int64))
+                rows.append((None if variant & 1 else doc_id, *one(open_.decompress(body), starts)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RESULT_ARROW.types, strict=True)], schema=_RESULT_ARROW)
 
@@ -226,13 +237,21 @@ def substring_dedup(docs: DataFrame, window: int = 13, slots: int | None = None)
     (default: 16 for each shuffle partition, 4096 at least, a power of two) sets how fine buckets are.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space), spans (first and last word
-    number of each interval). A null text has no words; a null doc_id counts as the largest, and 2^63 - 1 as null; rows that
-    repeat a doc_id with the same text get the same result, with other texts the union of their windows.
+    number of each interval). A null text has no words; a null doc_id counts as the largest. Rows that repeat a doc_id are
+    rows of their own, told apart by a hash of their text; none of them is smaller than the others.
     """
     slots = slots or max(4096, 1 << (16 * shuffle_parts(docs.sparkSession) - 1).bit_length())
     if slots < 2 or slots & (slots - 1):
         raise ValueError("slots is a power of two, 2 or more")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    said = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = rows.filter("doc_id is not null").select("doc_id", said.alias("said")).groupBy("doc_id").agg(F.min("said").alias("low"), F.max("said").alias("high"))
+    repeated = cut(ids.filter("low <> high").select("doc_id", F.lit(True).alias("repeated")))
+    variant = F.when(F.col("doc_id").isNull(), said.bitwiseOR(F.lit(1)))
+    if not repeated.isEmpty():
+        rows = rows.join(repeated, "doc_id", "left")
+        variant = variant.when(F.col("repeated"), said.bitwiseAND(F.lit(-2)))
+    rows = rows.select("doc_id", "text", variant.otherwise(0).cast("bigint").alias("variant"))
     hashed = rows.mapInArrow(_hash_task(window, slots, slots), _ROUTED)
     spans = hashed.repartition("slot").sortWithinPartitions("kind", "slot").mapInArrow(_count_task(slots), _ROUTED)
     texts = rows.mapInArrow(_text_task(slots), _ROUTED)

@@ -102,6 +102,29 @@ def test_substring_dedup(spark, docs, nothing):
     assert substring_dedup(nothing).count() == 0
 
 
+def test_substring_dedup_tells_rows_of_one_id_apart(spark):
+    """Brute force by row: a window goes if a row with a smaller doc_id has it, null being the largest."""
+    rng, words = random.Random(6), [f"v{i}" for i in range(90)]
+    shared = [" ".join(rng.choices(words, k=20)) for _ in range(8)]
+    last = (1 << 63) - 1
+    rows = [(rng.choice([0, 1, 2, 2, 2, 3, last, last - 1, -(1 << 63), None, None]), " ".join([rng.choice(shared), *rng.choices(words, k=rng.randint(0, 15)), rng.choice(shared)])) for _ in range(90)] + [(2, None), (2, ""), (None, None)]
+    rows += rows[:6]
+    rank = lambda i: 1 << 64 if i is None else i
+    least = {}
+    for i, text in rows:
+        w = (text or "").split()
+        for k in range(len(w) - 12):
+            least[tuple(w[k : k + 13])] = min(rank(i), least.get(tuple(w[k : k + 13]), 1 << 65))
+    want = []
+    for i, text in rows:
+        w = (text or "").split()
+        gone = {k + j for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < rank(i) for j in range(13)}
+        want.append((rank(i), len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    for slots in (2, 1024):
+        got = substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), slots=slots).collect()
+        assert sorted((rank(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
 def test_word_and_window_hashes_follow_the_words():
     words = Words.of(pa.array(["a bb a", None, "", "bb a  bb"]))
     assert words.count.tolist() == [3, 0, 0, 3]
