@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.html import clean_value, strip_non_content, tag_attributes
 from ..functions.text import trim
 from ..functions.values import FURNITURE
+from ..jobs.tables import written
 
 MAX_IMAGES, MIN_WIDTH, MIN_HEIGHT = 25, 200, 100
 MIN_BYTES, MAX_BYTES = 6_000, 8_000_000
@@ -92,7 +93,11 @@ def otsu_threshold(pixels: DataFrame, group: str, level: str) -> DataFrame:
 
     The windows run over at most 256 counts a group. The first of equal levels counts; with one level it is 0.
     """
-    counts = pixels.groupBy(group, F.col(level).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return threshold_of_counts(pixels.groupBy(group, F.col(level).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")), group)
+
+
+def threshold_of_counts(counts: DataFrame, group: str) -> DataFrame:
+    """As ``otsu_threshold``, of counts (group, level, n) that are summed over parts of a group."""
     upto = Window.partitionBy(group).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(group)
     rows = counts.select(group, "level", F.sum("n").over(upto).alias("w"), F.sum(F.col("n") * F.col("level")).over(upto).alias("s"), F.sum("n").over(everything).alias("wt"), F.sum(F.col("n") * F.col("level")).over(everything).alias("st"))
@@ -186,3 +191,44 @@ def preprocess_images(images: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"image": [r.image], "height": [gray.shape[0]], "width": [gray.shape[1]], "pixels": [np.where(ink, 0, 255).astype(np.uint8).tobytes()], "threshold": [threshold], "light_on_dark": [light_on_dark]})
 
     return images.select("image", "height", "width", "pixels").mapInPandas(run, f"image {kind}, height int, width int, pixels binary, threshold int, light_on_dark boolean")
+
+
+def _places(length: int, factor: float, start: int, size: int) -> tuple[int, np.ndarray]:
+    """Of ``length`` pixels that are resampled, where those begin that come from ``size`` pixels at ``start``, and their sources within these."""
+    at = np.minimum(length - 1, np.floor(np.arange(max(1, int(np.floor(length * factor + 0.5)))) / factor).astype(np.int64)) if factor != 1 else np.arange(length)
+    first, last = np.searchsorted(at, [start, start + size])
+    return int(first), at[first:last] - start
+
+
+def preprocess_tiles(tiles: DataFrame) -> DataFrame:
+    """As ``preprocess_images``, of pictures that come as tiles (image, height, width, y, x, tile_height, tile_width, pixels), too large for a row.
+
+    ``height`` and ``width`` are those of the picture, ``y`` and ``x`` the tile's place in it. Tiles are resampled and made gray by
+    themselves, as the nearest pixel is always one of some tile's own. Their histograms are summed by picture for its threshold and polarity, which go
+    back to the tiles. Gives image, y, x, height, width (of the tile, as resampled), pixels, threshold, light_on_dark; tiles that get no pixel are left out.
+    """
+    kind = tiles.schema["image"].dataType.simpleString()
+
+    def gray(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                factor = min(ENLARGE, (MAX_PIXELS / (r.height * r.width)) ** 0.5)
+                (y, rows), (x, columns) = _places(r.height, factor, r.y, r.tile_height), _places(r.width, factor, r.x, r.tile_width)
+                if not len(rows) or not len(columns):
+                    continue
+                rgba = np.frombuffer(r.pixels, dtype=np.uint8).reshape(r.tile_height, r.tile_width, 4)[rows[:, None], columns[None, :]]
+                levels = np.clip(np.rint(flatten_alpha(rgba) @ np.array([0.299, 0.587, 0.114])), 0, 255).astype(np.uint8)
+                yield pd.DataFrame({"image": [r.image], "y": [y], "x": [x], "height": [levels.shape[0]], "width": [levels.shape[1]], "pixels": [levels.tobytes()], "counts": [np.bincount(levels.ravel(), minlength=256)]})
+
+    def ink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            said = [np.where((np.frombuffer(p, dtype=np.uint8) <= t) != light, 0, 255).astype(np.uint8).tobytes() for p, t, light in zip(batch["pixels"], batch["threshold"], batch["light_on_dark"], strict=True)]
+            yield batch.assign(pixels=said)
+
+    place = f"image {kind}, y int, x int, height int, width int, pixels binary"
+    grays = written(tiles.select("image", "height", "width", "y", "x", "tile_height", "tile_width", "pixels").mapInPandas(gray, f"{place}, counts array<bigint>"))
+    counts = grays.select("image", F.posexplode("counts").alias("level", "n")).filter("n > 0").groupBy("image", "level").agg(F.sum("n").alias("n"))
+    found = counts.join(threshold_of_counts(counts, "image"), "image")
+    found = found.groupBy("image", "threshold").agg((F.sum(F.when(F.col("level") <= F.col("threshold"), F.col("n")).otherwise(0)) * 2 > F.sum("n")).alias("light_on_dark"))
+    joined = grays.drop("counts").join(found.select("image", F.col("threshold").cast("int").alias("threshold"), "light_on_dark"), "image")
+    return joined.select("image", "y", "x", "height", "width", "pixels", "threshold", "light_on_dark").mapInPandas(ink, f"{place}, threshold int, light_on_dark boolean")

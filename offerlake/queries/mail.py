@@ -152,6 +152,17 @@ def k11_preprocess_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.preprocess_images(rows).select("image", F.col("height").cast("bigint").alias("height"), F.col("width").cast("bigint").alias("width"), F.col("threshold").cast("bigint").alias("threshold"), "light_on_dark", ink.cast("bigint").alias("ink"))
 
 
+def k11_tiled_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a tile of four pixels of a picture of 64 tiles: threshold, polarity and ink of each tile."""
+    n = F.col("event_id")
+    k = (n % 64).cast("int")
+    level = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.floor("value").cast("bigint") + i * n) % 256)
+    pixels = F.unhex(F.array_join(F.transform(level, lambda v: F.concat(F.repeat(F.lpad(F.hex(v), 2, "0"), 3), F.lit("FF"))), ""))
+    tiles = table(spark, sf_dir, "events").select(F.floor(n / 64).alias("image"), F.lit(8).alias("height"), F.lit(32).alias("width"), F.floor(k / 8).cast("int").alias("y"), (k % 8 * 4).alias("x"), F.lit(1).alias("tile_height"), F.lit(4).alias("tile_width"), pixels.alias("pixels"))
+    ink = F.length(F.regexp_replace(F.hex("pixels"), "FF", "")) / 2
+    return K.preprocess_tiles(tiles).select("image", *[F.col(c).cast("bigint").alias(c) for c in ("y", "x", "height", "width", "threshold")], "light_on_dark", ink.cast("bigint").alias("ink"))
+
+
 _OFFER = """{"code":"save%d","discount":" 20%% ","currency":"inr","min_spend":%s,"max_discount":-1,"expiry":"2026-02-%s","single_use":null,"new_users_only":false,"app_only":true,"categories":["a"],"conditions":" none "}"""
 
 
@@ -357,7 +368,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         a1_read_messages, a4_hydrate_external_parts, a7_read_responses, b1_deep_parts, b1_message_parts, b2_header, b4_is_attachment, b7_message_surfaces, b9_parse_messages, e11_regate_with_ocr, g2_build_offers_from_extraction, g8_thread_url, h6_active_offers,
         i1_select_for_enrichment, i2_build_prompts, i3_run_inference, i4_normalize_responses, i6_retry_after, i7_shape_errors, i7_validate_responses, i10_enrichment_fallback, j5_whole_job, j6_run_backfill, j7_relist, j12_version_migration,
-        k1_inline_images, k6_image_bytes, k9_binarize, k10_scale, k11_preprocess_images, l1_offers_json, l4_question_context,
+        k1_inline_images, k6_image_bytes, k9_binarize, k10_scale, k11_preprocess_images, k11_tiled_images, l1_offers_json, l4_question_context,
     )
 }
 
@@ -425,3 +436,8 @@ ORACLE_SQL["j12_version_migration"] = f"""WITH {_BUILT}, b AS (SELECT *, message
   UNION ALL SELECT brand_key, normalized_code, CAST(5 AS BIGINT), false, n, 'after' FROM k"""
 ORACLE_SQL["j7_relist"] = f"WITH {_BUILT}, any_ AS (SELECT DISTINCT mid FROM best), t AS (SELECT DISTINCT mid FROM ends) SELECT message_id, CAST(5 AS BIGINT) AS extractor_version, CASE WHEN message_id IN (FROM any_) OR message_id IN (FROM t) THEN 'candidates' ELSE 'no-code' END AS status, message_id NOT IN (FROM any_) AS llm_processed FROM w"
 ORACLE_SQL["j5_whole_job"] = f"WITH {_BUILT} SELECT brand_key, normalized AS normalized_code, true AS llm_processed, '10%' AS discount, count(DISTINCT mid) AS n_messages FROM best JOIN branded ON mid = message_id WHERE mid IN (SELECT message_id FROM w) GROUP BY ALL"
+ORACLE_SQL["k11_tiled_images"] = """WITH p AS (SELECT event_id // 64 AS image, event_id % 64 AS k, (CAST(floor(value) AS BIGINT) + i * event_id) % 256 AS level FROM events, (SELECT unnest(range(0, 4)) AS i)), h AS (SELECT image, level, count(*) AS n FROM p GROUP BY ALL),
+  s AS (SELECT *, sum(n) OVER a AS w, sum(n * level) OVER a AS s, sum(n) OVER b AS wt, sum(n * level) OVER b AS st FROM h WINDOW a AS (PARTITION BY image ORDER BY level), b AS (PARTITION BY image)),
+  v AS (SELECT *, CASE WHEN w < wt THEN CAST(9 * w AS DOUBLE) * CAST(9 * (wt - w) AS DOUBLE) * power(CAST(s AS DOUBLE) / w - CAST(st - s AS DOUBLE) / (wt - w), 2) ELSE 0 END AS x FROM s),
+  t AS (SELECT image, CASE WHEN max(x) > 0 THEN arg_max(level, (x, -level)) ELSE 0 END AS threshold FROM v GROUP BY image), l AS (SELECT image, threshold, count(*) FILTER (WHERE level <= threshold) * 2 > count(*) AS light_on_dark FROM p JOIN t USING (image) GROUP BY ALL)
+  SELECT image, k // 8 * 3 AS y, k % 8 * 12 AS x, CAST(3 AS BIGINT) AS height, CAST(12 AS BIGINT) AS width, CAST(threshold AS BIGINT) AS threshold, light_on_dark, 9 * count(*) FILTER (WHERE (level <= threshold) <> light_on_dark) AS ink FROM p JOIN l USING (image) GROUP BY image, k, threshold, light_on_dark"""
