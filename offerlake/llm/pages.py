@@ -35,12 +35,13 @@ OFF_NAMES = re.compile(
 ON_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story)(?:$|[\s_-])")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_OPEN_COMMENT = re.compile(r"<!--.*", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 @dataclass
 class Node:
-    """A slot of a page: all siblings with one label. ``text`` and ``links`` count characters."""
+    """A slot of a page: all siblings with one label. ``path`` is a hash of the labels from the root on, "" for the root itself; ``links`` counts characters."""
 
     label: str
     path: str
@@ -55,6 +56,12 @@ class Page:
     blocks: list[tuple[Node, str, bool, bool]]  # slot, text, whether in what is marked up as the article, as no part of it
 
 
+def _below(path: str, label: str) -> str:
+    import xxhash
+
+    return xxhash.xxh64_hexdigest(f"{path}>{label}")
+
+
 def _attributes(source: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(source):
@@ -66,6 +73,7 @@ def parse(source: str) -> Page:
     """Slots and text blocks of a page, without inline parts that are marked up as no part of its article."""
     root = Node("", "")
     stack: list[tuple[str, Node, int, bool, bool]] = [("", root, ON, False, False)]  # tag, slot, whether off, on, link
+    places: dict[str, list[int]] = {"": []}  # of the open elements of a tag in the stack, and under "" of those of SCOPE
     blocks: list[tuple[Node, str, bool, bool]] = []
     held: list[str] = []
     linked = 0
@@ -82,10 +90,24 @@ def parse(source: str) -> Page:
                 blocks.append((node, said, on and off != OFF_BLOCK, off == OFF_BLOCK))
         linked = 0
 
+    def last(tag: str) -> int:
+        found = places.get(tag)
+        return found[-1] if found else 0
+
     def pop_to(k: int) -> None:
-        if any(t in BLOCKS for t, *_ in stack[k:]):
+        if any(stack[i][0] in BLOCKS for i in range(k, len(stack))):
             close_block()
-        del stack[k:]
+        while len(stack) > k:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if tag in SCOPE:
+                places[""].pop()
+
+    def end_open(tag: str) -> None:
+        """Ends the last open element of a tag, unless one of SCOPE was opened since."""
+        k = last(tag)
+        if k and k >= last(""):
+            pop_to(k)
 
     def say(piece: str) -> None:
         nonlocal linked
@@ -93,25 +115,25 @@ def parse(source: str) -> Page:
             held.append(piece)
             linked += len(piece) if stack[-1][4] else 0
 
-    at, end = 0, len(source)
+    at, end, ending = 0, len(source), source.rfind(">")
     while at < end:
-        m = _TOKEN.search(source, at)
+        # without another sign that ends one there is no tag, and only a comment is left to look for
+        m = _TOKEN.search(source, at) if at <= ending else _OPEN_COMMENT.search(source, at)
         if m is None:
             say(source[at:])
             break
         say(source[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or m[5] or "").lower() if m.re is _TOKEN else ""
         if not tag:
             continue
         if m[1] or m[4]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if k:
-                pop_to(k)
+            if last(tag):
+                pop_to(last(tag))
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*)?>", re.I).search(source, at)
-            at = close.end() if close else end
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+            at = source.find(">", close.end()) + 1 if close and close.end() <= ending else end
             continue
         if tag in VOID:
             if tag == "hr":
@@ -120,13 +142,9 @@ def parse(source: str) -> Page:
                 say(" " if tag == "br" else "")
             continue
         if tag in ENDS_P:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in SCOPE), 0)
-            if k and stack[k][0] == "p":
-                pop_to(k)
+            end_open("p")
         for other in SAME.get(tag, ()):
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == other or (stack[i][0] in SCOPE)), 0)
-            if k and stack[k][0] == other:
-                pop_to(k)
+            end_open(other)
         raw = m[3] or m[6] or ""
         attributes = _attributes(raw) if raw.strip(" /") else {}
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().strip()
@@ -143,50 +161,77 @@ def parse(source: str) -> Page:
             label = (f"{tag}.{re.sub(r'\d+', '', names)}" if names else tag) + ("~" if off else "")
             child = node.children.get(label)
             if child is None:
-                child = node.children[label] = Node(label, f"{node.path}>{label}")
+                child = node.children[label] = Node(label, _below(node.path, label))
             node = child
         on = on or (starts_on and not out)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            places[""].append(len(stack))
         stack.append((tag, node, off, on, link or tag == "a"))
     close_block()
     return Page(root, blocks)
 
 
-def simple_tree_match(a: Node, b: Node, seen: dict) -> tuple[int, list]:
-    """Size of the largest order-preserving match of two trees with equal roots, and the matched pairs."""
-    key = (id(a), id(b))
-    if key in seen:
-        return seen[key]
+def _heaviest(weights: list[int], places: list[int]) -> list[int]:
+    """The numbers of the heaviest subsequence whose ``places`` ascend; they are 0 .. n - 1 in some order."""
+    n = len(places)
+    best = [(0, -1)] * (n + 1)  # a Fenwick tree of the largest sums that end up to a place
+    before, ends = [-1] * n, (0, -1)
+    for k, (w, place) in enumerate(zip(weights, places, strict=True)):
+        sum_, at = (0, -1), place
+        while at:
+            sum_ = max(sum_, best[at])
+            at -= at & -at
+        before[k] = sum_[1]
+        mine = (sum_[0] + w, k)
+        ends = max(ends, mine)
+        at = place + 1
+        while at <= n:
+            best[at] = max(best[at], mine)
+            at += at & -at
+    out, k = [], ends[1]
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def simple_tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Size of the largest order-preserving match of two trees with equal roots, and the matched pairs.
+
+    Children of a slot differ in their labels, so that each can match one other at most, and of those that have one the heaviest
+    run in the same order on both sides is taken. Pairs are met from the roots down and weighed from the leaves up, without recursion.
+    """
     if a.label != b.label:
-        seen[key] = (0, [])
-        return seen[key]
-    left, right = list(a.children.values()), list(b.children.values())
-    size = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, x in enumerate(left, 1):
-        for j, y in enumerate(right, 1):
-            size[i][j] = max(size[i - 1][j], size[i][j - 1], size[i - 1][j - 1] + simple_tree_match(x, y, seen)[0])
-    pairs, i, j = [(a, b)], len(left), len(right)
-    while i and j:
-        w, under = simple_tree_match(left[i - 1], right[j - 1], seen)
-        if w and size[i][j] == size[i - 1][j - 1] + w:
-            pairs += under
-            i, j = i - 1, j - 1
-        elif size[i][j] == size[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    seen[key] = (size[-1][-1] + 1, pairs)
-    return seen[key]
+        return 0, []
+    pairs, under = [(a, b)], []
+    for x, y in pairs:  # grows as it goes
+        at = {label: k for k, label in enumerate(y.children)}
+        met = [(at[label], child) for label, child in x.children.items() if label in at]
+        under.append(range(len(pairs), len(pairs) + len(met)))
+        pairs += [(child, y.children[child.label]) for _, child in met]
+    order = [{label: k for k, label in enumerate(y.children)} for _, y in pairs]
+    size, taken = [1] * len(pairs), [[] for _ in pairs]
+    for k in range(len(pairs) - 1, -1, -1):
+        if under[k]:
+            places = [order[k][pairs[c][0].label] for c in under[k]]
+            rank = {p: i for i, p in enumerate(sorted(places))}
+            taken[k] = [under[k][i] for i in _heaviest([size[c] for c in under[k]], [rank[p] for p in places])]
+            size[k] += sum(size[c] for c in taken[k])
+    out, todo = [], [0]
+    while todo:
+        k = todo.pop()
+        out.append(pairs[k])
+        todo += taken[k]
+    return size[0], out
 
 
 def template_tree(slots: list[dict]) -> Node:
-    """The host's tree, slots in the order in which pages have them."""
-    root = Node("", "")
-    for s in sorted(slots, key=lambda s: (s["path"].count(">"), s["place"], s["path"])):
-        node, path = root, ""
-        for label in s["path"].split(">")[1:]:
-            path += ">" + label
-            node = node.children.setdefault(label, Node(label, path))
-    return root
+    """The host's tree, slots in the order in which pages have them. A slot's parent is on as many pages, so it is there too."""
+    known = {"": Node("", "")} | {s["path"]: Node(s["label"], s["path"]) for s in slots}
+    for s in sorted(slots, key=lambda s: (s["place"], s["path"])):
+        known[s["parent"]].children[s["label"]] = known[s["path"]]
+    return known[""]
 
 
 def text_hash(text: str) -> int:
@@ -211,7 +256,7 @@ def extract(page: Page, template: Node, stats: dict[str, dict]) -> tuple[str, in
 
     Where the article is marked up and not all template, only its blocks are text.
     """
-    of = {id(x): y.path for x, y in simple_tree_match(page.root, template, {})[1]}
+    of = {id(x): y.path for x, y in simple_tree_match(page.root, template)[1]}
     left = [(text, on, off) for node, text, on, off in page.blocks if not _is_template(node, text, on, stats.get(of.get(id(node), "")))]
     said = [(text, on) for text, on, off in left if not off]
     return "\n".join([text for text, on in said if on] or [text for text, _ in said]), len(page.blocks) - len(left), len(left) - len(said)
@@ -224,17 +269,16 @@ def _slots(batches):
             page = parse(source or "")
             # pages that differ in adverts or comments alone are copies
             copy = text_hash("\0".join(f"{node.path}\0{said}" for node, said, _, off in page.blocks if not off))
-            todo, place = [page.root], 0
-            while todo:
-                node = todo.pop(0)
-                todo += node.children.values()
+            todo, place = [("", page.root)], 0
+            for parent, node in todo:  # grows as it goes
+                todo += [(node.path, child) for child in node.children.values()]
                 text = "\n".join(node.pieces)
                 place += 1
                 if node.path:
-                    rows.append((host, node.path, text_hash(text), copy, 1, len(text), node.links, place))
+                    rows.append((host, node.path, text_hash(text), copy, 1, len(text), node.links, place, parent, node.label))
                     if len(node.pieces) > 1:
-                        rows += [(host, node.path, h, copy, 0, 0, 0, 0) for h in {text_hash(said) for said in node.pieces}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.string(), *[pa.int64()] * 6])], names=["host", "path", "text", "copy", "whole", "chars", "links", "place"])
+                        rows += [(host, node.path, h, copy, 0, 0, 0, 0, parent, node.label) for h in {text_hash(said) for said in node.pieces}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.string(), *[pa.int64()] * 6, pa.string(), pa.string()])], names=["host", "path", "text", "copy", "whole", "chars", "links", "place", "parent", "label"])
 
 
 def _extract(batches):
@@ -259,15 +303,15 @@ def induce_templates(pages: DataFrame) -> DataFrame:
     there are several. Equal texts of a slot are summed before the shuffle, so that a host with a third of all
     pages has no larger group than another.
     """
-    rows = pages.mapInArrow(_slots, "host string, path string, text bigint, copy bigint, whole bigint, chars bigint, links bigint, place bigint")
-    rows = rows.groupBy("host", "path", "text", "copy").agg(*[F.max(c).alias(c) for c in ("whole", "chars", "links", "place")])
-    same = stash(rows.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("whole", "chars", "links", "place")]))
-    slots = same.groupBy("host", "path").agg(F.sum("whole").alias("pages"), F.max("whole").alias("same"), (F.sum("links") / F.greatest(F.sum("chars"), F.lit(1))).alias("links"), (F.sum("place") / F.sum("whole")).alias("place"))
+    rows = pages.mapInArrow(_slots, "host string, path string, text bigint, copy bigint, whole bigint, chars bigint, links bigint, place bigint, parent string, label string")
+    rows = rows.groupBy("host", "path", "text", "copy").agg(*[F.max(c).alias(c) for c in ("whole", "chars", "links", "place", "parent", "label")])
+    same = stash(rows.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("whole", "chars", "links", "place")], *[F.max(c).alias(c) for c in ("parent", "label")]))
+    slots = same.groupBy("host", "path").agg(F.sum("whole").alias("pages"), F.max("whole").alias("same"), (F.sum("links") / F.greatest(F.sum("chars"), F.lit(1))).alias("links"), (F.sum("place") / F.sum("whole")).alias("place"), F.max("parent").alias("parent"), F.max("label").alias("label"))
     slots = stash(slots.filter(F.col("pages") >= MIN_PAGES))
     # at most as many blocks of a slot as its pages have in the mean, by the inverse of CONSTANT
     constant = same.filter(F.col("n") >= MIN_PAGES).join(slots.select("host", "path", "pages"), ["host", "path"]).filter(F.col("n") >= F.col("pages") * CONSTANT)
     constant = constant.groupBy("host", "path").agg(F.collect_list("text").alias("constant"))
-    return slots.join(constant, ["host", "path"], "left").groupBy("host").agg(F.collect_list(F.struct("path", "pages", "same", "links", "place", "constant")).alias("slots"))
+    return slots.join(constant, ["host", "path"], "left").groupBy("host").agg(F.collect_list(F.struct("path", "pages", "same", "links", "place", "parent", "label", "constant")).alias("slots"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
