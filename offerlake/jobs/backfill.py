@@ -134,12 +134,12 @@ def _commit(pending: DataFrame, root: str, batch_id: int, version: int, complete
     commit_batch({"processed": done.withColumn("batch", F.lit(batch_id))}, replaced, root, batch_id)
 
 
-def waiting(spark: SparkSession, root: str, now_ms: int) -> DataFrame | None:
-    """(message_id, next_at) of the ledger that wait for their next attempt; None if nothing does."""
+def waiting(spark: SparkSession, root: str, now_ms: int, due: bool = False) -> DataFrame | None:
+    """(message_id, next_at) of the ledger that wait for their next attempt, or those whose time has come; None if nothing does."""
     ledger = current(spark, root, "ledger")
     if ledger is None:
         return None
-    rows = ledger.filter(~F.col("terminal") & (F.col("next_at") > now_ms)).select("message_id", "next_at")
+    rows = ledger.filter(~F.col("terminal") & ((F.col("next_at") > now_ms) != F.lit(due))).select("message_id", "next_at")
     return None if rows.isEmpty() else rows
 
 
@@ -204,6 +204,14 @@ def purge(spark: SparkSession, root: str, batch_id: int, now_ms: int) -> None:
         commit_batch({}, {"offers": (kept, "brand_key", buckets), "sources": (sources, "brand_key", buckets)}, root, batch_id)
 
 
+def process_ids(messages: DataFrame, ids: DataFrame, root: str, batch_id: int, now_ms: int, version: int = EXTRACTOR_VERSION, model: Model | None = None, ocr: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Process the messages of ``ids`` (message_id) that are not done, whether or not they are in the window."""
+    if is_committed(messages.sparkSession, root, batch_id):
+        return
+    wanted = ids.select(F.col("message_id").cast(messages.schema["message_id"].dataType).alias("message_id")).distinct()
+    _commit(_pending(messages.join(wanted, "message_id", "left_semi"), root, version, now_ms, model), root, batch_id, version, False, now_ms, model, ocr)
+
+
 def catch_up(history: DataFrame, messages: DataFrame, root: str, batch_id: int, cursor: int | None, now_ms: int, days: int = 45, version: int = EXTRACTOR_VERSION, model: Model | None = None, ocr: Callable[[DataFrame], DataFrame] | None = None) -> int | None:
     """Process the messages of the changes (seq, message_id) after ``cursor``; gives the next cursor.
 
@@ -215,7 +223,6 @@ def catch_up(history: DataFrame, messages: DataFrame, root: str, batch_id: int,
     kept = history.agg(F.min("seq").alias("oldest"), F.max("seq").alias("newest")).first()
     if cursor is None or (kept["oldest"] is not None and kept["oldest"] > cursor + 1):
         run_backfill(messages, root, batch_id, now_ms, days, version, model=model, ocr=ocr)
-    elif not is_committed(spark, root, batch_id):
-        ids = history.filter(F.col("seq") > cursor).select("message_id").distinct()
-        _commit(_pending(messages.join(ids, "message_id", "left_semi"), root, version, now_ms, model), root, batch_id, version, False, now_ms, model, ocr)
+    else:
+        process_ids(messages, history.filter(F.col("seq") > cursor), root, batch_id, now_ms, version, model, ocr)
     return cursor if kept["newest"] is None else kept["newest"]

@@ -22,6 +22,15 @@ def discover(feed: DataFrame, watermark: str | None = None, at: str = "ts") -> D
     return feed.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["message_id"])
 
 
+def bodies_of(bodies: DataFrame, ids: DataFrame, buckets: int | None) -> DataFrame:
+    """The bodies in the folders of ``ids``, where they are stored by ``bucket`` of their message_id; all of them else."""
+    if buckets is None:
+        return bodies
+    key = ids.select(F.col("message_id").cast(bodies.schema["message_id"].dataType).alias("message_id"))
+    held = [r[0] for r in key.select(bucket_of("message_id", buckets)).distinct().collect()]
+    return bodies.filter(F.col("bucket").isin(held)).drop("bucket")
+
+
 def run_incremental(ids: DataFrame, bodies: DataFrame, read_processed: Callable[[], DataFrame], commit: Callable[[DataFrame, int], None], checkpoint: str, version: int, once: bool = True, buckets: int | None = None):
     """Join each micro-batch of ids to the message bodies, leave out what is processed, and hand the rest to ``commit``.
 
@@ -31,11 +40,8 @@ def run_incremental(ids: DataFrame, bodies: DataFrame, read_processed: Callable[
     """
 
     def batch(found: DataFrame, number: int) -> None:
-        ids, wanted = found.select("message_id").distinct(), bodies
-        if buckets is not None:
-            held = [r[0] for r in ids.select(bucket_of("message_id", buckets)).distinct().collect()]
-            wanted = bodies.filter(F.col("bucket").isin(held)).drop("bucket")
-        commit(pending_messages(wanted.join(ids, "message_id", "left_semi"), read_processed(), version), number)
+        ids = found.select("message_id").distinct()
+        commit(pending_messages(bodies_of(bodies, ids, buckets).join(ids, "message_id", "left_semi"), read_processed(), version), number)
 
     writer = ids.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 minutes")).start()
