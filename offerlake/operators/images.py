@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from ..jobs.tables import written
 MAX_IMAGES, MIN_WIDTH, MIN_HEIGHT = 25, 200, 100
 MIN_BYTES, MAX_BYTES = 6_000, 8_000_000
 MAX_PIXELS, ENLARGE, EMPTY = 4_000_000, 3.0, 128
+TOGETHER = 1_000_000
 
 
 def _size(c: Column) -> Column:
@@ -155,14 +156,36 @@ def flatten_alpha(rgba: np.ndarray) -> np.ndarray:
 
 def threshold_of(levels: np.ndarray) -> int:
     """As ``otsu_threshold``, of one picture."""
-    n = np.bincount(levels.ravel(), minlength=256).astype(float)
-    if not n.sum():
-        return EMPTY
-    low, total = np.cumsum(n), np.cumsum(n * np.arange(256))
-    high = low[-1] - low
+    return int(thresholds_of(np.bincount(levels.ravel(), minlength=256)[None])[0])
+
+
+def thresholds_of(counts: np.ndarray) -> np.ndarray:
+    """As ``threshold_of``, of pictures given as rows of 256 counts."""
+    n = counts.astype(float)
+    low, total = np.cumsum(n, axis=1), np.cumsum(n * np.arange(256), axis=1)
+    high = low[:, -1:] - low
     inside = (low > 0) & (high > 0)
-    mean = np.divide(total, low, out=np.zeros(256), where=low > 0) - np.divide(total[-1] - total, high, out=np.zeros(256), where=high > 0)
-    return int(np.argmax(np.where(inside, low * high * mean**2, 0)))
+    mean = np.divide(total, low, out=np.zeros(n.shape), where=low > 0) - np.divide(total[:, -1:] - total, high, out=np.zeros(n.shape), where=high > 0)
+    return np.where(low[:, -1] > 0, np.argmax(np.where(inside, low * high * mean**2, 0), axis=1), EMPTY)
+
+
+def _gray(rgb: np.ndarray) -> np.ndarray:
+    """Levels of pixels, summed in the same order whatever the shape."""
+    return np.clip(np.rint(rgb[..., 0] * 0.299 + rgb[..., 1] * 0.587 + rgb[..., 2] * 0.114), 0, 255).astype(np.uint8)
+
+
+def _histograms(levels: np.ndarray) -> np.ndarray:
+    """256 counts a picture of pictures of one shape."""
+    n = len(levels)
+    return np.bincount((levels.reshape(n, -1) + np.arange(n)[:, None] * 256).ravel(), minlength=n * 256).reshape(n, 256)
+
+
+def _alike(batch: pd.DataFrame, shape: list[str], pixels: Callable[..., int]) -> Iterator[tuple[tuple[int, ...], pd.DataFrame]]:
+    """Rows of a batch whose ``shape`` columns are equal, at most 1,024 and about ``TOGETHER`` of their ``pixels`` at a time."""
+    for key, rows in batch.groupby(shape, sort=False, dropna=False):
+        step = min(1024, max(1, TOGETHER // max(1, pixels(*key))))
+        for i in range(0, len(rows), step):
+            yield key, rows.iloc[i : i + step]
 
 
 def preprocess_images(images: DataFrame) -> DataFrame:
@@ -170,25 +193,29 @@ def preprocess_images(images: DataFrame) -> DataFrame:
     (a byte each), threshold, light_on_dark.
 
     Shrinks before alpha is flattened onto white and enlarges after it, takes luma, the threshold and the polarity.
-    One picture is in memory at a time.
+    Small pictures of one size are worked on together, large ones one at a time.
     """
     kind = images.schema["image"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                rgba = np.frombuffer(r.pixels, dtype=np.uint8).reshape(r.height, r.width, 4)
-                factor = min(ENLARGE, (MAX_PIXELS / (r.height * r.width)) ** 0.5) if r.height * r.width else ENLARGE
+            for (h, w), rows in _alike(batch, ["height", "width"], lambda h, w: min(MAX_PIXELS, 9 * h * w)):
+                n = len(rows)
+                rgba = np.frombuffer(b"".join(rows["pixels"]), dtype=np.uint8).reshape(n, h, w, 4)
+                factor = min(ENLARGE, (MAX_PIXELS / (h * w)) ** 0.5) if h * w else ENLARGE
+                # a gray pixel depends on its own color only, so that a picture can be enlarged when it is gray
                 if factor < 1:
-                    rgb = flatten_alpha(resample_nearest(rgba, factor))
+                    gray = _gray(flatten_alpha(np.stack([resample_nearest(p, factor) for p in rgba])))
                 else:
-                    rgb = resample_nearest(flatten_alpha(rgba), factor)
-                gray = np.clip(np.rint(rgb @ np.array([0.299, 0.587, 0.114])), 0, 255).astype(np.int64)
-                threshold = threshold_of(gray)
-                dark = gray <= threshold
-                light_on_dark = bool(dark.sum() * 2 > dark.size)
-                ink = dark != light_on_dark
-                yield pd.DataFrame({"image": [r.image], "height": [gray.shape[0]], "width": [gray.shape[1]], "pixels": [np.where(ink, 0, 255).astype(np.uint8).tobytes()], "threshold": [threshold], "light_on_dark": [light_on_dark]})
+                    gray = _gray(flatten_alpha(rgba))
+                    if factor != 1 and h * w:
+                        (_, y), (_, x) = _places(h, factor, 0, h), _places(w, factor, 0, w)
+                        gray = gray[:, y[:, None], x[None, :]]
+                thresholds = thresholds_of(_histograms(gray))
+                dark = gray <= thresholds[:, None, None]
+                light = dark.sum(axis=(1, 2)) * 2 > dark[0].size
+                out = np.where(dark != light[:, None, None], 0, 255).astype(np.uint8)
+                yield pd.DataFrame({"image": rows["image"].array, "height": gray.shape[1], "width": gray.shape[2], "pixels": [p.tobytes() for p in out], "threshold": thresholds, "light_on_dark": light})
 
     return images.select("image", "height", "width", "pixels").mapInPandas(run, f"image {kind}, height int, width int, pixels binary, threshold int, light_on_dark boolean")
 

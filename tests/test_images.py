@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -74,3 +75,14 @@ def test_thresholds_of_groups_without_pixels(spark):
     got = {r.g: r.threshold for r in with_empty(otsu_threshold(pixels, "g", "level"), groups, "g").collect()}
     assert got == {"a": 22, "b": 0, "c": EMPTY} and threshold_of(np.zeros((0, 0), np.int64)) == EMPTY
     assert spark.range(1).select(binarize(F.lit(5), F.lit(9), F.lit(False)), binarize(F.lit(5), F.lit(9), F.lit(True))).first() == (0, 255)
+
+
+def test_small_pictures_take_little_time_each(spark):
+    """Pictures of one size are worked on together; one at a time these take minutes."""
+    n = 60_000
+    level = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i * i * 37 + F.col("id") * 13) % 256)
+    pixels = F.unhex(F.array_join(F.transform(level, lambda v: F.concat(F.repeat(F.lpad(F.hex(v), 2, "0"), 3), F.lit("FF"))), ""))
+    rows = spark.range(n).select(F.col("id").alias("image"), F.lit(1).alias("height"), F.lit(4).alias("width"), pixels.alias("pixels"))
+    began = time.time()
+    got = preprocess_images(rows).agg(F.count(F.lit(1)), F.sum("height"), F.sum(F.length("pixels"))).first()
+    assert tuple(got) == (n, 3 * n, 36 * n) and time.time() - began < 30
