@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -238,24 +239,37 @@ def preprocess_tiles(tiles: DataFrame) -> DataFrame:
 
     def gray(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                factor = min(ENLARGE, (MAX_PIXELS / (r.height * r.width)) ** 0.5)
-                (y, rows), (x, columns) = _places(r.height, factor, r.y, r.tile_height), _places(r.width, factor, r.x, r.tile_width)
-                if not len(rows) or not len(columns):
+            for (height, width, y, x, h, w), rows in _alike(batch, ["height", "width", "y", "x", "tile_height", "tile_width"], lambda _h, _w, _y, _x, h, w: 9 * h * w):
+                factor = min(ENLARGE, (MAX_PIXELS / (height * width)) ** 0.5)
+                (y, ys), (x, xs) = _places(height, factor, y, h), _places(width, factor, x, w)
+                if not len(ys) or not len(xs):
                     continue
-                rgba = np.frombuffer(r.pixels, dtype=np.uint8).reshape(r.tile_height, r.tile_width, 4)[rows[:, None], columns[None, :]]
-                levels = np.clip(np.rint(flatten_alpha(rgba) @ np.array([0.299, 0.587, 0.114])), 0, 255).astype(np.uint8)
-                yield pd.DataFrame({"image": [r.image], "y": [y], "x": [x], "height": [levels.shape[0]], "width": [levels.shape[1]], "pixels": [levels.tobytes()], "counts": [np.bincount(levels.ravel(), minlength=256)]})
+                n = len(rows)
+                levels = _gray(flatten_alpha(np.frombuffer(b"".join(rows["pixels"]), dtype=np.uint8).reshape(n, h, w, 4)))[:, ys[:, None], xs[None, :]]
+                counts = _histograms(levels)
+                # only levels that occur, as a small tile has few
+                tile, level = np.nonzero(counts)
+                cuts = np.searchsorted(tile, np.arange(1, n))
+                yield pd.DataFrame({"image": rows["image"].array, "y": y, "x": x, "height": levels.shape[1], "width": levels.shape[2], "pixels": [p.tobytes() for p in levels], "levels": np.split(level.astype(np.int32), cuts), "counts": np.split(counts[tile, level], cuts)})
 
     def ink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            said = [np.where((np.frombuffer(p, dtype=np.uint8) <= t) != light, 0, 255).astype(np.uint8).tobytes() for p, t, light in zip(batch["pixels"], batch["threshold"], batch["light_on_dark"], strict=True)]
+            said = []
+            for p, t, light in zip(batch["pixels"], batch["threshold"].tolist(), batch["light_on_dark"].tolist(), strict=True):
+                # bytes.translate, as most tiles may be small
+                said.append(p.translate(_table(t, light)))
             yield batch.assign(pixels=said)
 
     place = f"image {kind}, y int, x int, height int, width int, pixels binary"
-    grays = written(tiles.select("image", "height", "width", "y", "x", "tile_height", "tile_width", "pixels").mapInPandas(gray, f"{place}, counts array<bigint>"))
-    counts = grays.select("image", F.posexplode("counts").alias("level", "n")).filter("n > 0").groupBy("image", "level").agg(F.sum("n").alias("n"))
+    grays = written(tiles.select("image", "height", "width", "y", "x", "tile_height", "tile_width", "pixels").mapInPandas(gray, f"{place}, levels array<int>, counts array<bigint>"))
+    counts = grays.select("image", F.inline(F.arrays_zip(F.col("levels").alias("level"), F.col("counts").alias("n")))).groupBy("image", "level").agg(F.sum("n").alias("n"))
     found = counts.join(threshold_of_counts(counts, "image"), "image")
     found = found.groupBy("image", "threshold").agg((F.sum(F.when(F.col("level") <= F.col("threshold"), F.col("n")).otherwise(0)) * 2 > F.sum("n")).alias("light_on_dark"))
-    joined = grays.drop("counts").join(found.select("image", F.col("threshold").cast("int").alias("threshold"), "light_on_dark"), "image")
+    joined = grays.drop("levels", "counts").join(found.select("image", F.col("threshold").cast("int").alias("threshold"), "light_on_dark"), "image")
     return joined.select("image", "y", "x", "height", "width", "pixels", "threshold", "light_on_dark").mapInPandas(ink, f"{place}, threshold int, light_on_dark boolean")
+
+
+@lru_cache(512)
+def _table(threshold: int, light_on_dark: bool) -> bytes:
+    """The byte that each level becomes."""
+    return bytes(0 if (level <= threshold) != light_on_dark else 255 for level in range(256))

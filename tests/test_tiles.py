@@ -1,8 +1,12 @@
 """Pictures cut into tiles are preprocessed as whole ones."""
 
+import time
+
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from offerlake.operators import images as K
 
 
@@ -35,3 +39,12 @@ def test_sixteen_tiles_equal_the_whole(spark, monkeypatch, most):
 
 def test_no_tiles(spark):
     assert K.preprocess_tiles(spark.createDataFrame([], "image string, height int, width int, y int, x int, tile_height int, tile_width int, pixels binary")).collect() == []
+
+
+def test_small_tiles_take_little_time_each(spark):
+    """Tiles of one size and place are worked on together, and give only the levels that they have."""
+    n = 30_000
+    tiles = spark.range(n).select(F.floor(F.col("id") / 2).alias("image"), F.lit(1).alias("height"), F.lit(4).alias("width"), F.lit(0).alias("y"), (F.col("id") % 2 * 2).cast("int").alias("x"), F.lit(1).alias("tile_height"), F.lit(2).alias("tile_width"), F.unhex(F.lit("000000FFFFFFFFFF")).alias("pixels"))
+    began = time.time()
+    got = K.preprocess_tiles(tiles).agg(F.count(F.lit(1)), F.sum(F.length("pixels")), F.sum("threshold"), F.sum("x")).first()
+    assert tuple(got) == (n, 18 * n, 0, 3 * n) and time.time() - began < 30
