@@ -71,7 +71,8 @@ def decode_base64url(data: Column, charset: Column) -> Column:
 
     Only other charsets than UTF-8 and ASCII go through the helper.
     """
-    raw = F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64"))
+    # two plain replacements, as a translation goes through all characters one by one
+    raw = F.try_to_binary(F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/")), F.lit("base64"))
     plain = F.lower(charset).isin("utf-8", "utf8")
     text = F.when(plain, F.make_valid_utf8(raw.cast("string"))).otherwise(_decode(F.when(~plain, raw), charset))
     return F.regexp_replace(text, "\\A\\uFEFF", "")
@@ -112,19 +113,18 @@ def message_parts(messages: DataFrame, max_depth: int = 256, step: int = 9) -> D
     more. One with parts below ``max_depth`` levels, or with JSON that nests deeper than can be read, has a row ``too_deep`` instead of them.
     """
     top = F.struct(F.lit("").alias("prefix"), F.lit(False).alias("above"), F.from_json("payload", PART).alias("p"))
-    named = F.length("payload") - F.length(F.replace(F.col("payload"), F.lit('"parts"'), F.lit("")))
-    deep = F.coalesce(named >= step * len('"parts"'), F.lit(False))
-    first = messages.select(F.col("id").alias("message_id"), F.array(top).alias("level"), "payload", deep.alias("deep"))
+    deep = F.coalesce(F.regexp_count("payload", F.lit('"parts"')) >= step, F.lit(False))
 
     def exploded(rows: DataFrame) -> DataFrame:
         # outer, as Spark would read the levels once more to leave out empty arrays before
         out = rows.select("message_id", F.explode_outer("found").alias("part")).filter("part is not null")
         return out.select("message_id", "part.*", F.lit(False).alias("too_deep"))
 
-    out = exploded(_levels(first.filter("not deep").select("message_id", "level"), step))
+    # no level instead of a filter, which would have the payload computed once more where it is an expression
+    out = exploded(_levels(messages.select(F.col("id").alias("message_id"), F.when(~deep, F.array(top)).alias("level")), step))
     # names parts, but has none: its JSON could not be read
     unread = F.coalesce(F.size(F.col("level")[0]["p"]["parts"]) < 1, F.lit(True)).alias("unread")
-    left = written(first.filter("deep").select("message_id", "level", unread))
+    left = written(messages.filter(deep).select(F.col("id").alias("message_id"), F.array(top).alias("level")).select("message_id", "level", unread))
     unread = left.filter("unread").select("message_id")
     left, depth = left.filter("not unread").select("message_id", "level"), 0
     while depth < max_depth and not left.isEmpty():

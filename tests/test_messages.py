@@ -11,7 +11,7 @@ from offerlake.operators.candidates import find_candidates, gate, rank_candidate
 from offerlake.operators.enrichment import normalize_responses, validate_responses
 from offerlake.operators.offers import merge_offers, merge_offers_by_date
 from offerlake.operators.sync import retry_after_ms
-from offerlake.sources.messages import MESSAGE, decode_base64url, parse_messages
+from offerlake.sources.messages import MESSAGE, decode_base64url, message_parts, message_surfaces, parse_messages
 
 
 def b64(text, charset="utf-8"):
@@ -121,3 +121,11 @@ def test_merges_agree_in_order_of_date(spark):
     assert fold.select(*sorted(fold.columns)).collect() == by_date.select(*sorted(fold.columns)).collect()
     late = spark.createDataFrame([("b", "C", 1, 3, 5, False, None), ("b", "C", 2, 1, 5, False, "b"), ("b", "C", 3, 2, 5, False, "c")], "brand_key string, normalized_code string, seq long, source_date long, extractor_version int, llm_processed boolean, discount string")
     assert merge_offers(late).first().discount == "b"
+
+
+def test_a_payload_is_computed_once_a_branch(spark, capsys):
+    """Where the payload is an expression, no filter on how often it names parts has it computed again, and base64 is not translated by characters."""
+    rows = spark.range(2).select(F.col("id").cast("string").alias("id"), F.concat(F.lit('{"mimeType":"text/plain","marked":'), F.col("id").cast("string"), F.lit("}")).alias("payload"))
+    message_surfaces(message_parts(rows)).explain()
+    plan = capsys.readouterr().out.split("Scan parquet")[0]
+    assert 0 < plan.count('"marked"') <= 2 and "translate(" not in plan
