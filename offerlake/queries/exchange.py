@@ -98,7 +98,8 @@ def m2_gate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m3_blocklist_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = C.find_candidates(messages(spark, sf_dir)).withColumn("brand_key", F.col("message_id") % 20)
+    # written, as the confirmed ones are candidates too
+    found = written(C.find_candidates(messages(spark, sf_dir)).withColumn("brand_key", F.col("message_id") % 20))
     confirmed = found.filter(F.col("source") == "link").select("normalized")
     return M.blocklist_mining(found, confirmed, 20)
 

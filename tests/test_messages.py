@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlake.operators.brand import brand_keys
-from offerlake.operators.candidates import find_candidates, gate, rank_candidates
+from offerlake.operators.candidates import find_candidates, gate, rank_candidates, surfaces
 from offerlake.operators.enrichment import normalize_responses, validate_responses
+from offerlake.operators.links import attribute_rows, link_codes
 from offerlake.operators.offers import merge_offers, merge_offers_by_date
 from offerlake.operators.sync import retry_after_ms
 from offerlake.sources.messages import MESSAGE, decode_base64url, message_parts, message_surfaces, parse_messages
@@ -129,3 +130,14 @@ def test_a_payload_is_computed_once_a_branch(spark, capsys):
     message_surfaces(message_parts(rows)).explain()
     plan = capsys.readouterr().out.split("Scan parquet")[0]
     assert 0 < plan.count('"marked"') <= 2 and "translate(" not in plan
+
+
+def test_html_is_read_once_a_surface(spark, capsys):
+    """Tags are taken out once for the visible text, and HTML is stripped and scanned once for attributes and for links of both kinds."""
+    rows = spark.range(1).select(F.col("id").alias("message_id"), F.lit("").alias("subject"), F.lit("").alias("text"), F.concat(F.lit("<a href='https://x.y/?code=AB12&url=https%3A%2F%2Fz.w%2F%3Fcode%3DCD34'>"), F.col("id").cast("string")).alias("html"))
+    surfaces(rows).explain()
+    assert capsys.readouterr().out.count("<[^>]+>") == 1
+    codes = link_codes(attribute_rows(rows.select("message_id", "html"), "a", "href"))
+    codes.explain()
+    assert capsys.readouterr().out.count("<!--") == 1
+    assert sorted(tuple(r) for r in codes.select("param_ord", "inner_ord", "code").collect()) == [(0, 0, "AB12"), (1, 0, "CD34")]
