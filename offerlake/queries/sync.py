@@ -108,7 +108,8 @@ def j8_retry_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j8_stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger that a stream of outcomes leaves, read in two batches by two queries that share their state."""
     root = f"{shared_dir(spark)}/retries-{uuid.uuid4().hex}"
-    append_changes(_view(spark, sf_dir, _STREAM), f"{root}/log", schema=OUTCOMES)
+    # each batch reads half of the files
+    append_changes(_view(spark, sf_dir, _STREAM), f"{root}/log", 2 * spark.sparkContext.defaultParallelism, OUTCOMES)
     feed = LogFeed(f"{root}/log", OUTCOMES)
     oldest, newest = feed.bounds()
 

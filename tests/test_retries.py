@@ -3,13 +3,14 @@
 import os
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from offerlake.operators.enrichment import logged_answers, run_logged_inference
 from offerlake.operators.sync import update_ledger
 from offerlake.streaming.history import LogFeed, append_changes, history, planned_offset
-from offerlake.streaming.retries import OUTCOMES, run_retries
+from offerlake.streaming.retries import OUTCOMES, retry_ledger, run_retries, without_settled
 
 ROWS = [
     ("a", "network", None), ("b", "schema", None), ("a", "server", 900_000), ("c", "rate-limit", 50_000), ("d", "network", None), ("c", None, None), ("a", "network", None), ("e", "refusal", None),
@@ -57,6 +58,18 @@ def test_a_waiting_message_is_due_when_its_time_comes(spark, tmp_path):
     assert [r[1:6] for r in found if r[6] == "due"] == [("x", 1, 1, 1_030_000, False)]
 
 
+def test_settled_outcomes_do_not_reach_the_state(spark, tmp_path, capsys):
+    """What a later success settles is left out before the shuffle, but not what is of a later time than it, or lies in another window."""
+    rows = [("a", 1, 10, "network"), ("b", 2, 20, "network"), ("a", 3, 30, None), ("a", 4, 40, "schema"), ("b", 5, 15, None), ("c", 6, 60, None), ("c", 7, 70, None), (None, 8, 80, "server"), (None, 9, None, None), (None, 10, 100, None), ("a", 11, 110, None)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("message_id", "seq", "at", "error"), r, strict=True))], pa.schema([("message_id", pa.string()), ("seq", pa.int64()), ("at", pa.int64()), ("error", pa.string())])) for r in rows]
+    left = lambda window: [r["seq"] for b in without_settled(iter(batches), window) for r in b.to_pylist()]
+    assert left(100) == [2, 5, 7, 9, 10, 11] and left(4) == [2, 3, 4, 5, 7, 8, 9, 10, 11] and left(1) == list(range(1, 12))
+    append_changes(outcomes(spark), str(tmp_path / "log"), 1, OUTCOMES)
+    retry_ledger(history(spark, LogFeed(str(tmp_path / "log"), OUTCOMES)), "1 hour").explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" in plan.split("MapInArrow")[0] and "Exchange" not in plan.split("MapInArrow")[1]
+
+
 def answer(folder, dies_at=None):
     """Notes each prompt that is asked; dies once at one of them."""
 
