@@ -66,18 +66,27 @@ def _decode(data: pd.Series, charset: pd.Series) -> pd.Series:
     return pd.Series([one(r, n) for r, n in zip(data, charset, strict=True)])
 
 
-def decode_base64url(data: Column, charset: Column) -> Column:
-    """Text of unpadded base64url data; null where it is no base64. Bad bytes become replacement characters.
+def base64url_bytes(data: Column) -> Column:
+    """The bytes of unpadded base64url data; null where it is no base64."""
+    # two plain replacements, as a translation goes through all characters one by one
+    return F.try_to_binary(F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/")), F.lit("base64"))
+
+
+def decode_bytes(raw: Column, charset: Column) -> Column:
+    """Text of bytes. Bad ones become replacement characters.
 
     Only other charsets than UTF-8 and ASCII go through the helper.
     """
-    # two plain replacements, as a translation goes through all characters one by one
-    raw = F.try_to_binary(F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/")), F.lit("base64"))
     plain = F.lower(charset).isin("utf-8", "utf8")
     text = F.when(plain, F.make_valid_utf8(raw.cast("string"))).otherwise(_decode(F.when(~plain, raw), charset))
     return F.regexp_replace(text, "\\A\\uFEFF", "")
 
 
+def decode_base64url(data: Column, charset: Column) -> Column:
+    """Text of unpadded base64url data; null where it is no base64."""
+    return decode_bytes(base64url_bytes(data), charset)
+
+
 PARTS = ["message_id", "path", "mime_type", "filename", "headers", "body", "in_attachment", "too_deep"]
 
 
@@ -136,34 +145,39 @@ def message_parts(messages: DataFrame, max_depth: int = 256, step: int = 9) -> D
     return out.unionByName(beyond.select("message_id", *marks))
 
 
+def _text_rows(parts: DataFrame) -> DataFrame:
+    """``text_parts`` with too_deep, and a row without a kind for each message that is too deep."""
+    rows = parts.withColumn("kind", F.when(~F.col("in_attachment") & ~F.col("too_deep"), text_kind(F.col("mime_type")))).filter("too_deep or kind is not null")
+    data, kept = F.nullif(F.col("body.data"), F.lit("")), F.nullif(F.col("body.attachmentId"), F.lit(""))
+    rows = rows.select("message_id", "path", "kind", "too_deep", charset_of(header(F.col("headers"), "Content-Type")).alias("charset"), data.alias("data"), F.when(data.isNull(), kept).alias("attachment_id"))
+    return rows.filter("too_deep or data is not null or attachment_id is not null")
+
+
 def text_parts(parts: DataFrame) -> DataFrame:
     """Text and HTML parts outside attachments: message_id, path, kind, charset, data, attachment_id."""
-    rows = parts.filter("not in_attachment and not too_deep").withColumn("kind", text_kind(F.col("mime_type"))).filter("kind is not null")
-    data, kept = F.nullif(F.col("body.data"), F.lit("")), F.nullif(F.col("body.attachmentId"), F.lit(""))
-    return rows.select("message_id", "path", "kind", charset_of(header(F.col("headers"), "Content-Type")).alias("charset"), data.alias("data"), F.when(data.isNull(), kept).alias("attachment_id")).filter("data is not null or attachment_id is not null")
+    return _text_rows(parts).filter("not too_deep").drop("too_deep")
 
 
 def message_surfaces(parts: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
     """(message_id, text, html, failed): decoded parts in order, joined by line breaks.
 
     Bodies kept elsewhere come from ``attachments`` (message_id, attachment_id, data) and follow the inline ones.
-    A body that is missing or no base64, or parts that nest too deep, make their message ``failed``.
+    A body that is missing or no base64, or parts that nest too deep, make their message ``failed``. Bodies are shuffled as
+    bytes for the join, and as text for the grouping.
     """
-    deep = parts.filter("too_deep").select("message_id", F.lit(True).alias("too_deep"))
-    rows = text_parts(parts)
+    rows = _text_rows(parts).withColumn("raw", base64url_bytes(F.col("data"))).drop("data")
     if attachments is not None:
-        rows = rows.join(attachments.withColumnRenamed("data", "fetched"), ["message_id", "attachment_id"], "left").withColumn("data", F.coalesce("data", "fetched"))
-    rows = rows.withColumn("said", decode_base64url(F.col("data"), F.col("charset")))
+        rows = rows.join(attachments.withColumnRenamed("data", "fetched"), ["message_id", "attachment_id"], "left")
+        rows = rows.withColumn("raw", F.coalesce("raw", base64url_bytes(F.col("fetched"))))
+    rows = rows.withColumn("said", decode_bytes(F.col("raw"), F.col("charset")))
     order = F.struct(F.col("attachment_id").isNotNull().alias("late"), "path", "said")
-    bad = F.bool_or(F.col("said").isNull() & (F.lit(attachments is not None) | F.col("attachment_id").isNull()))
+    bad = F.bool_or(F.col("too_deep") | F.col("said").isNull() & (F.lit(attachments is not None) | F.col("attachment_id").isNull()))
 
     def joined(kind: str) -> Column:
         listed = F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("said").isNotNull(), order)))
         return F.array_join(F.transform(listed, lambda x: x["said"]), "\n")
 
-    found = rows.groupBy("message_id").agg(joined("text").alias("text"), joined("html").alias("html"), bad.alias("bad")).join(deep, "message_id", "full_outer")
-    none = F.lit("")
-    return found.select("message_id", F.coalesce("text", none).alias("text"), F.coalesce("html", none).alias("html"), (F.coalesce("bad", F.lit(False)) | F.coalesce("too_deep", F.lit(False))).alias("failed"))
+    return rows.groupBy("message_id").agg(joined("text").alias("text"), joined("html").alias("html"), bad.alias("failed"))
 
 
 def parse_messages(messages: DataFrame, attachments: DataFrame | None = None) -> DataFrame:

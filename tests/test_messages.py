@@ -12,6 +12,7 @@ from offerlake.operators.enrichment import normalize_responses, validate_respons
 from offerlake.operators.links import attribute_rows, link_codes
 from offerlake.operators.offers import merge_offers, merge_offers_by_date
 from offerlake.operators.sync import retry_after_ms
+from offerlake.queries import mail
 from offerlake.sources.messages import MESSAGE, decode_base64url, message_parts, message_surfaces, parse_messages
 
 
@@ -141,3 +142,26 @@ def test_html_is_read_once_a_surface(spark, capsys):
     codes.explain()
     assert capsys.readouterr().out.count("<!--") == 1
     assert sorted(tuple(r) for r in codes.select("param_ord", "inner_ord", "code").collect()) == [(0, 0, "AB12"), (1, 0, "CD34")]
+
+
+def test_bodies_meet_once_and_as_bytes(spark, capsys):
+    """No join by message after the bodies are grouped, and the join with those kept elsewhere takes bytes, not base64; deep messages keep what was read."""
+    rows = [message("a", part("text/plain", "inline"), part("text/html", attachment="x1")), message("b", part("text/plain", attachment="gone")), message("c", part("text/plain", "top"), part("multipart/mixed", parts=[part("multipart/mixed", parts=[part("text/plain", "low")])])), message("d", part("image/png", name="p.png"))]
+    held = spark.createDataFrame([("a", "x1", b64("<p>later</p>"))], "message_id string, attachment_id string, data string")
+    parts = message_parts(spark.createDataFrame(rows, MESSAGE), max_depth=2, step=2)
+    for kept, want in ((held, {"a": ("inline", "<p>later</p>", False), "b": ("", "", True), "c": ("top", "", True)}), (None, {"a": ("inline", "", False), "b": ("", "", False), "c": ("top", "", True)})):
+        found = message_surfaces(parts, kept)
+        assert {r.message_id: (r.text, r.html, r.failed) for r in found.collect()} == want
+    message_surfaces(parts, held).explain()
+    plan = capsys.readouterr().out
+    assert "FullOuter" not in plan and "unbase64" in plan.split("Union")[1]
+
+
+def test_messages_are_written_compressed(spark, tmp_path, monkeypatch):
+    said = "a word or two, " * 2000
+    spark.createDataFrame([(n, f"{n} {said}", len(said)) for n in range(6)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(mail, "shared_dir", lambda _: str(tmp_path))
+    got = {r.message_id: (r.text, r.failed) for r in mail.a1_read_messages(spark, str(tmp_path)).collect()}
+    assert got == {str(n): (f"{n} {said}", n % 9 == 0) for n in range(6)}
+    # each text is in its message three times, as base64
+    assert 0 < sum(f.stat().st_size for f in tmp_path.glob("messages-*/part-*")) < 6 * len(said)
