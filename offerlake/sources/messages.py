@@ -18,12 +18,14 @@ HEADERS = "array<struct<name:string,value:string>>"
 MESSAGE = "id string, threadId string, internalDate string, labelIds array<string>, payload string"
 #: The type recurses, so children stay JSON text until their own level is read.
 PART = f"mimeType string, filename string, headers {HEADERS}, body struct<attachmentId:string,size:bigint,data:string>, parts array<string>"
+#: Bodies are strings of any length, of which the reader takes 20,000,000 characters if it is not told.
+LONG = {"maxStringLen": str(2**31 - 1)}
 #: A label that browsers read as another charset.
 LABELS = {"iso-8859-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252"}
 
 
 def read_messages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return spark.read.schema(MESSAGE).option("multiLine", multi_line).json(path)
+    return spark.read.schema(MESSAGE).options(multiLine=multi_line, **LONG).json(path)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +102,7 @@ def _levels(rows: DataFrame, step: int) -> DataFrame:
         return x["above"] | F.coalesce(is_attachment(x["p"]["filename"], x["p"]["headers"]), F.lit(False))
 
     def child(x: Column) -> Callable[[Column, Column], Column]:
-        return lambda c, n: F.struct(F.concat(x["prefix"], F.lpad(n.cast("string"), 4, "0"), F.lit(".")).alias("prefix"), inside(x).alias("above"), F.from_json(c, PART).alias("p"))
+        return lambda c, n: F.struct(F.concat(x["prefix"], F.lpad(n.cast("string"), 4, "0"), F.lit(".")).alias("prefix"), inside(x).alias("above"), F.from_json(c, PART, LONG).alias("p"))
 
     def part(x: Column) -> Column:
         p = x["p"]
@@ -121,7 +123,7 @@ def message_parts(messages: DataFrame, max_depth: int = 256, step: int = 9) -> D
     in the message's row; only messages that name parts more often than that are read further, ``step`` levels a round, until none has
     more. One with parts below ``max_depth`` levels, or with JSON that nests deeper than can be read, has a row ``too_deep`` instead of them.
     """
-    top = F.struct(F.lit("").alias("prefix"), F.lit(False).alias("above"), F.from_json("payload", PART).alias("p"))
+    top = F.struct(F.lit("").alias("prefix"), F.lit(False).alias("above"), F.from_json("payload", PART, LONG).alias("p"))
     deep = F.coalesce(F.regexp_count("payload", F.lit('"parts"')) >= step, F.lit(False))
 
     def exploded(rows: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def message_surfaces(parts: DataFrame, attachments: DataFrame | None = None) ->
 
 def parse_messages(messages: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
     """message_id, thread_id, internal_date, labels, subject, sender, sender_domain, text, html, failed."""
-    top = messages.withColumn("h", F.from_json("payload", PART)["headers"])
+    top = messages.withColumn("h", F.from_json("payload", PART, LONG)["headers"])
     top = top.select(F.col("id").alias("message_id"), F.col("threadId").alias("thread_id"), F.coalesce(F.col("internalDate").cast("bigint"), F.lit(0)).alias("internal_date"), F.col("labelIds").alias("labels"), header(F.col("h"), "Subject").alias("subject"), header(F.col("h"), "From").alias("sender"))
     bodies = message_surfaces(message_parts(messages), attachments)
     rows = top.withColumn("sender_domain", sender_domain(F.col("sender"))).join(bodies, "message_id", "left")

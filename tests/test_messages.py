@@ -165,3 +165,24 @@ def test_messages_are_written_compressed(spark, tmp_path, monkeypatch):
     assert got == {str(n): (f"{n} {said}", n % 9 == 0) for n in range(6)}
     # each text is in its message three times, as base64
     assert 0 < sum(f.stat().st_size for f in tmp_path.glob("messages-*/part-*")) < 6 * len(said)
+
+
+def test_deep_messages_of_odd_texts(spark, tmp_path):
+    """Documents without text are messages too, and a text that begins with U+FEFF keeps it, near the top and below many levels."""
+    said = [None, "", "\ufeff", "\ufeffmark", "\ufeff\ufeffmarks", "mid\ufeffdle", " ", "word"]
+    rows = [(n, said[n % 8], len(said[n % 8] or "")) for n in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in mail.b1_deep_parts(spark, str(tmp_path)).collect()), key=lambda r: int(r[0]))
+    assert got == [(str(n), n + 2, n + 1, text or "", False) for n, text, _ in rows]
+    assert {r.message_id: r.text for r in mail.b7_message_surfaces(spark, str(tmp_path)).collect()} == {str(n): text or "" for n, text, _ in rows}
+
+
+def test_bodies_longer_than_the_reader_takes(spark, tmp_path, monkeypatch):
+    """Their base64 has more than 20,000,000 characters, near the top and below ten levels."""
+    long = F.repeat(F.lit("word "), 3_010_000)
+    spark.range(0, 18, 9, 2).select(F.col("id").alias("doc_id"), long.alias("text"), F.length(long).cast("bigint").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(mail, "shared_dir", lambda _: str(tmp_path))
+    told = mail.b1_deep_parts(spark, str(tmp_path)).select("message_id", "n_parts", "depth", F.length("text"), "failed").collect()
+    assert sorted(map(tuple, told)) == [("0", 2, 1, 15_050_000, False), ("9", 11, 10, 15_050_000, False)]
+    told = mail.a1_read_messages(spark, str(tmp_path)).select("message_id", "subject", F.length("text")).collect()
+    assert sorted(map(tuple, told)) == [("0", "News 0", 15_050_000), ("9", "News 9", 15_050_000)]
